@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbscore.catalog.registered import hash_sql, query, rounded, summary_sql, table
 from plumbscore.operators.features import hash_split, prepare
 from plumbscore.plans.training import coefficient_table, fit, fit_score, score, train_evaluate
-from plumbscore.session import scratch_path
+from plumbscore.session import scratch_path, spread
 from plumbscore.sources.model_store import load_model, model_path, registry, save_model
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -18,9 +18,10 @@ TEST_SQL = f"SELECT l_quantity, l_quantity > 25 AS target FROM lineitem WHERE {L
 
 def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items whose target is whether the quantity is above 25."""
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
         *LINE_KEY, "l_quantity", F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("target")
     )
+    return spread(lines)
 
 
 def _rule_predictions(spark: SparkSession, folder: str, name: str, **params: int) -> DataFrame:
@@ -58,9 +59,10 @@ def nn_rule(spark: SparkSession, folder: str) -> DataFrame:
 def grouped_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with one feature that falls into five far-apart groups."""
     group = F.substring("o_orderpriority", 1, 1).cast("int")
-    return table(spark, folder, "orders").select(
+    orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderpriority", (group * 1000 + F.pmod("o_orderkey", F.lit(10))).cast("double").alias("x")
     )
+    return spread(orders)
 
 
 @query(

@@ -102,7 +102,7 @@ def count_rows(spark: SparkSession, folder: str) -> DataFrame:
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder tree written with one sub-folder per event type."""
     path = scratch_path(spark, "listing")
-    table(spark, folder, "events").repartition("event_type").write.partitionBy("event_type").parquet(path)
+    table(spark, folder, "events").hint("rebalance", "event_type").write.partitionBy("event_type").parquet(path)
     files = list_files(spark, path, recursive=True, pattern="*.parquet")
     return (
         files.withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))

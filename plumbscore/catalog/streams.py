@@ -28,7 +28,8 @@ def stream_window_auc(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of the closed daily windows, from streamed score counts."""
     path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
     schema = table(spark, folder, "events").schema
-    stream = event_time(parquet_stream(spark, os.path.join(folder, "events.parquet"), schema), "ts")
+    # Written as a pattern, the path may be one file or a folder of files.
+    stream = event_time(parquet_stream(spark, os.path.join(folder, "{events}.parquet"), schema), "ts")
     entries = [F.struct(F.lit(n).alias("model"), s.alias("score")) for n, s in model_scores().items()]
     scored = stream.select("ts", bought().alias("y"), F.explode(F.array(*entries)).alias("e")).select("ts", "y", "e.*")
     counts = score_counts(scored, "ts", "1 day", "1 hour")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbscore.session import BROADCAST_BYTES, materialize
+
 
 def vector_columns(array: str, size: int) -> list[Column]:
     """The elements of an array column as double columns."""
@@ -58,6 +60,13 @@ def cluster_sums(
     return per_cluster.groupBy(*keys).agg(F.collect_list(entry).alias("__clusters"))
 
 
+def _sums_side(sums: DataFrame, features: int) -> DataFrame:
+    """The sums of all keys, to be broadcast when they are few."""
+    written = materialize(sums, "cluster-sums")
+    size = written.agg(F.sum(F.size("__clusters")).alias("entries")).first()["entries"] or 0
+    return F.broadcast(written) if size * (features + 4) * 8 <= BROADCAST_BYTES else written
+
+
 def silhouette(
     df: DataFrame, features: Sequence[str | Column], cluster: str = "prediction", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -72,7 +81,7 @@ def silhouette(
         *keys, F.col(cluster).alias("__cluster"), F.array(*columns).alias("__x"), _total([x * x for x in columns]).alias("__xx")
     )
     if keys:
-        renamed = sums.select(*[F.col(k).alias("__k_" + k) for k in keys], "__clusters")
+        renamed = _sums_side(sums.select(*[F.col(k).alias("__k_" + k) for k in keys], "__clusters"), len(columns))
         same = None
         for key in keys:
             match = slim[key].eqNullSafe(renamed["__k_" + key])

@@ -105,26 +105,38 @@ def _f_score(beta: float = 1.0) -> Column:
     return F.when(bottom > 0, F.try_divide((1 + weight) * _precision() * _tpr(), bottom)).otherwise(0.0)
 
 
+def _with_ends(curve: DataFrame, keys: Sequence[str], point: Column, first: Column, last: Column | None) -> DataFrame:
+    """One point per threshold, and the end points beside the first and the last threshold."""
+    points = [point, F.when(_is_first(), first)]
+    if last is not None:
+        points.append(F.when(F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg"), last))
+    return curve.select(*keys, F.explode(F.array_compact(F.array(*points))).alias("point")).select(*keys, "point.*")
+
+
+def _point(threshold: Column, **values: Column) -> Column:
+    return F.struct(threshold.alias("threshold"), *[v.alias(name) for name, v in values.items()])
+
+
 def roc_points(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(threshold, fpr, tpr)`` with (0, 0) at threshold infinity and (1, 1) at -infinity."""
-    points = curve.select(*keys, "threshold", _fpr().alias("fpr"), _tpr().alias("tpr"))
-    present = curve.groupBy(*keys).agg(F.count("*").alias("__rows")).where("__rows > 0")
-    ends = F.explode(
-        F.array(
-            F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")),
-            F.struct(F.lit(float("-inf")).alias("threshold"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr")),
-        )
+    return _with_ends(
+        curve,
+        keys,
+        _point(F.col("threshold"), fpr=_fpr(), tpr=_tpr()),
+        _point(F.lit(float("inf")), fpr=F.lit(0.0), tpr=F.lit(0.0)),
+        _point(F.lit(float("-inf")), fpr=F.lit(1.0), tpr=F.lit(1.0)),
     )
-    return points.unionByName(present.select(*keys, ends.alias("end")).select(*keys, "end.*"))
 
 
 def pr_points(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(threshold, recall, precision)``, led by recall 0 with the first point's precision."""
-    points = curve.select(*keys, "threshold", _tpr().alias("recall"), _precision().alias("precision"))
-    lead = curve.where(_is_first()).select(
-        *keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("recall"), _precision().alias("precision")
+    return _with_ends(
+        curve,
+        keys,
+        _point(F.col("threshold"), recall=_tpr(), precision=_precision()),
+        _point(F.lit(float("inf")), recall=F.lit(0.0), precision=_precision()),
+        None,
     )
-    return points.unionByName(lead)
 
 
 def f_points(curve: DataFrame, keys: Sequence[str] = (), beta: float = 1.0) -> DataFrame:

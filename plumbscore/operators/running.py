@@ -1,10 +1,11 @@
 """Running values along an order, spread over tasks even when one key holds most rows.
 
-A plain ``Window.partitionBy(key).orderBy(t)`` sorts each key in one task. Here each key is
-cut into slices of the order column. A window inside (key, slice) gives local values; a
-second window over one row per (key, slice) gives what each slice takes over from the
-slices before or behind it; joining the two is exact. The cut points come from a sample,
-so they decide only how even the slices are, never the result.
+A plain ``Window.partitionBy(key).orderBy(t)`` sorts each key in one task. That is kept for
+keys of ordinary size. A key with more rows is cut into slices of the order column: a window
+inside (key, slice) gives local values, a second window over one row per (key, slice) gives
+what each slice takes over from the slices before or behind it, and joining the two is
+exact. The cut points come from a sample, so they decide only how even the slices are,
+never the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ ROWS_PER_SLICE = 250_000
 MAX_SLICES = 4096
 SAMPLED_ROWS_PER_SLICE = 200
 
-_KEY, _SLICE, _POSITION = "__key", "__slice", "__position"
+_KEY, _SLICE, _POSITION, _LARGE = "__key", "__slice", "__position", "__large"
 _ORDINAL, _ONE = "__ordinal", "__one"
 _KINDS = ("sum", "sum_before", "total", "last", "last_before", "next")
 
@@ -57,28 +58,28 @@ def running(
     """``df`` plus one column per entry of ``values``, along ``order`` within ``keys``.
 
     ``order`` is a number or a time, not null, and unique within a key. ``df`` is written
-    once to the shared folder. Tables of at most ``rows_per_slice`` rows take one plain
-    window; larger ones are sliced.
+    once to the shared folder. Keys of at most ``rows_per_slice`` rows take a plain window;
+    larger ones are sliced.
     """
     columns = df.columns
+    names = [v.name for v in values]
     table = materialize(df, "running")
     rows = table.count()
-    keyed = table.withColumn(_KEY, F.struct(*keys)) if keys else table
+    limit = max(rows_per_slice, math.ceil(rows / MAX_SLICES))
+    keyed = table.withColumn(_KEY, F.struct(*keys) if keys else F.lit(0))
+    large = _large_keys(keyed, limit) if keys and rows > limit else None
+    if rows <= limit or (keys and large is None):
+        return _with_local(keyed, order, values, [_KEY] if keys else [], descending).select(*columns, *names)
+
+    marked = keyed.withColumn(_LARGE, F.lit(True))
+    if large is not None:
+        # Fewer than MAX_SLICES keys can have more than rows / MAX_SLICES rows.
+        marked = keyed.join(F.broadcast(large), _KEY, "left")
+    sliced = _slice_rows(marked, order, limit)
     key = [_KEY] if keys else []
-
-    if rows <= rows_per_slice:
-        for value in values:
-            keyed = keyed.withColumn(value.name, _within(value, order, key, descending))
-        return keyed.select(*columns, *[v.name for v in values])
-
-    cuts = _cut_points(table, order, rows, rows_per_slice)
-    sliced = _slice_rows(keyed, order, cuts)
-    handed_over = _handed_over(sliced, order, values, key, descending)
-    local = sliced
-    for value in values:
-        if value.kind != "total":
-            local = local.withColumn(value.name, _within(value, order, [*key, _SLICE], descending))
-    joined = local.join(handed_over, [*key, _SLICE])
+    carried = _handed_over(sliced.where(_LARGE), order, values, key, descending)
+    local = _with_local(sliced, order, values, [*key, _SLICE], descending)
+    joined = local.join(carried, [*key, _SLICE], "left")
     return joined.select(*columns, *[_combine(v).alias(v.name) for v in values])
 
 
@@ -109,26 +110,33 @@ def _numeric(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def _cut_points(table: DataFrame, order: str, rows: int, rows_per_slice: int) -> list[float]:
-    """Ascending cut points taken over all keys: a (key, slice) is never larger than its slice."""
-    slices = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
-    fraction = min(1.0, SAMPLED_ROWS_PER_SLICE * slices / rows)
-    sample = table.select(_numeric(table, order).alias(_POSITION))
-    if fraction < 1.0:
-        sample = sample.sample(fraction, seed=17)
-    steps = [i / slices for i in range(1, slices)]
-    found = sample.agg(F.percentile_approx(_POSITION, steps, 20 * slices).alias("cuts")).first()["cuts"]
-    return sorted({c for c in found or [] if not math.isnan(c) and not math.isinf(c)})
+def _large_keys(keyed: DataFrame, limit: int) -> DataFrame | None:
+    """The keys with more than ``limit`` rows, or None when there are none."""
+    counted = keyed.groupBy(_KEY).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    found = materialize(counted.select(_KEY, F.lit(True).alias(_LARGE)), "large-keys")
+    return None if found.isEmpty() else found
+
 
+def _slice_rows(marked: DataFrame, order: str, limit: int) -> DataFrame:
+    """Number the slices of large keys by common cut points; other keys are one slice.
 
-def _slice_rows(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
-    positioned = df.withColumn(_POSITION, _numeric(df, order))
+    The cuts split all rows of large keys evenly, so no (key, slice) is larger than a slice.
+    """
+    positioned = marked.withColumn(_POSITION, _numeric(marked, order))
+    split_rows = positioned.where(_LARGE).select(_POSITION)
+    rows = split_rows.count()
+    slices = math.ceil(rows / limit)
+    steps = [i / slices for i in range(1, slices)]
+    sample = split_rows.sample(min(1.0, SAMPLED_ROWS_PER_SLICE * slices / rows), seed=17)
+    found = sample.agg(F.percentile_approx(_POSITION, steps, 20 * slices).alias("cuts")).first()["cuts"] if steps else []
+    cuts = sorted({c for c in found or [] if not math.isnan(c) and not math.isinf(c)})
     if not cuts:
         return positioned.withColumn(_SLICE, F.lit(0)).drop(_POSITION)
     bucketizer = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=_POSITION, outputCol=_SLICE, handleInvalid="keep"
     )
-    return bucketizer.transform(positioned).withColumn(_SLICE, F.col(_SLICE).cast("int")).drop(_POSITION)
+    slice_number = F.when(F.col(_LARGE), F.col(_SLICE).cast("int")).otherwise(F.lit(0))
+    return bucketizer.transform(positioned).withColumn(_SLICE, slice_number).drop(_POSITION)
 
 
 def _ordered(column: str, keys: Sequence[str], descending: bool) -> Window:
@@ -154,10 +162,16 @@ def _within(value: Running, order: str, keys: Sequence[str], descending: bool) -
     return F.last(value.column, ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def _with_local(
+    df: DataFrame, order: str, values: Sequence[Running], parts: Sequence[str], descending: bool
+) -> DataFrame:
+    return df.withColumns({value.name: _within(value, order, parts, descending) for value in values})
+
+
 def _handed_over(
     sliced: DataFrame, order: str, values: Sequence[Running], key: Sequence[str], descending: bool
 ) -> DataFrame:
-    """One row per (key, slice), at most MAX_SLICES + 1 per key, with the carried values."""
+    """One row per (large key, slice), at most MAX_SLICES + 1 per key, with the carried values."""
     aggregates = []
     for value in values:
         column = F.col(value.column)
@@ -175,7 +189,7 @@ def _handed_over(
     for value in values:
         column = "__carry_" + value.name
         if value.kind == "total":
-            found = F.sum(column).over(Window.partitionBy(*key))
+            found = F.coalesce(F.sum(column).over(Window.partitionBy(*key)), F.lit(0))
         else:
             window = _ordered(_SLICE, key, (value.kind == "next") != descending)
             window = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -191,7 +205,7 @@ def _handed_over(
 def _combine(value: Running) -> Column:
     carried = F.col("__carry_" + value.name)
     if value.kind == "total":
-        return F.coalesce(carried, F.lit(0))
+        return F.coalesce(carried, F.col(value.name))
     if value.kind.startswith("sum"):
         return F.col(value.name) + F.coalesce(carried, F.lit(0))
     return F.coalesce(F.col(value.name), carried)

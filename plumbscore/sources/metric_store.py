@@ -26,7 +26,8 @@ def _folder(root: str, mode: str) -> str:
 def append_metrics(metrics: DataFrame, root: str, mode: str, batch: int | None = None) -> None:
     """Store ``(seq, date, model, metric, value)`` rows under a batch number.
 
-    ``batch`` defaults to a column of that name.
+    ``batch`` defaults to a column of that name. Rebalancing keeps the files few, and adaptive
+    execution splits a batch that is too large for one task.
     """
     numbered = metrics.withColumn("batch", F.lit(batch).cast("bigint")) if batch is not None else metrics
     (
@@ -38,7 +39,7 @@ def append_metrics(metrics: DataFrame, root: str, mode: str, batch: int | None =
             F.col("value").cast("double"),
             F.col("batch").cast("bigint"),
         )
-        .repartition("batch")
+        .hint("rebalance", "batch")
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .partitionBy("batch")

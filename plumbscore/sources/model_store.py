@@ -68,5 +68,5 @@ def select_models(listing: DataFrame, names: str) -> DataFrame:
 
 def select_by_requests(listing: DataFrame, requests: DataFrame, column: str) -> DataFrame:
     """The registry rows named in a table of comma-separated selections."""
-    wanted = requests.select(F.explode(split_text(column)).alias("model"))
+    wanted = requests.select(F.explode(split_text(column)).alias("model")).distinct()
     return listing.join(wanted, "model", "left_semi")
