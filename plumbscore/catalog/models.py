@@ -21,7 +21,7 @@ def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         *LINE_KEY, "l_quantity", F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("target")
     )
-    return spread(lines)
+    return spread(lines, *LINE_KEY)
 
 
 def _rule_predictions(spark: SparkSession, folder: str, name: str, **params: int) -> DataFrame:
@@ -62,7 +62,7 @@ def grouped_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderpriority", (group * 1000 + F.pmod("o_orderkey", F.lit(10))).cast("double").alias("x")
     )
-    return spread(orders)
+    return spread(orders, "o_orderkey")
 
 
 @query(

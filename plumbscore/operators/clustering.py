@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbscore.session import BROADCAST_BYTES, materialize
+from plumbscore.operators.joins import BROADCAST_BYTES, join_same
+from plumbscore.session import materialize
 
 
 def vector_columns(array: str, size: int) -> list[Column]:
@@ -81,12 +82,7 @@ def silhouette(
         *keys, F.col(cluster).alias("__cluster"), F.array(*columns).alias("__x"), _total([x * x for x in columns]).alias("__xx")
     )
     if keys:
-        renamed = _sums_side(sums.select(*[F.col(k).alias("__k_" + k) for k in keys], "__clusters"), len(columns))
-        same = None
-        for key in keys:
-            match = slim[key].eqNullSafe(renamed["__k_" + key])
-            same = match if same is None else same & match
-        rows = slim.join(renamed, same)
+        rows = join_same(slim, _sums_side(sums, len(columns)), keys)
     else:
         rows = slim.withColumn("__clusters", sums.select("__clusters").scalar())
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbscore.operators.joins import join_same
 from plumbscore.operators.running import ROWS_PER_SLICE, Running, running
 
 
@@ -46,13 +47,7 @@ def nearest(
     gap_before = F.col(time) - F.col("__before.at")
     gap_after = F.col("__after.at") - F.col(time)
     closer = F.when(F.col("__before").isNull() | (gap_after < gap_before), F.col("__after")).otherwise(F.col("__before"))
-    answers = placed.select(*[F.col(c).alias("__a_" + c) for c in [*by, time]], closer.alias("__near"))
-    same = None
-    for column in [*by, time]:
-        match = probes[column].eqNullSafe(answers["__a_" + column])
-        same = match if same is None else same & match
-    return probes.join(answers, same, "left").select(
-        *[probes[c] for c in probes.columns],
-        F.col("__near.at").alias("nearest_time"),
-        F.col("__near.value").alias("nearest_value"),
+    answers = placed.select(
+        *by, time, closer["at"].alias("nearest_time"), closer["value"].alias("nearest_value")
     )
+    return join_same(probes, answers, [*by, time], "left")

@@ -18,13 +18,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbscore.operators.joins import broadcast_if_small, join_same
 from plumbscore.session import materialize
 
-ROWS_PER_SLICE = 250_000
+ROWS_PER_SLICE = 100_000
 MAX_SLICES = 4096
 SAMPLED_ROWS_PER_SLICE = 200
 
-_KEY, _SLICE, _POSITION, _LARGE = "__key", "__slice", "__position", "__large"
+CARRIED_BYTES = 256
+
+_SLICE, _POSITION, _LARGE = "__slice", "__position", "__large"
 _ORDINAL, _ONE = "__ordinal", "__one"
 _KINDS = ("sum", "sum_before", "total", "last", "last_before", "next")
 
@@ -61,26 +64,29 @@ def running(
     once to the shared folder. Keys of at most ``rows_per_slice`` rows take a plain window;
     larger ones are sliced.
     """
-    columns = df.columns
     names = [v.name for v in values]
     table = materialize(df, "running")
     rows = table.count()
     limit = max(rows_per_slice, math.ceil(rows / MAX_SLICES))
-    keyed = table.withColumn(_KEY, F.struct(*keys) if keys else F.lit(0))
-    large = _large_keys(keyed, limit) if keys and rows > limit else None
-    if rows <= limit or (keys and large is None):
-        return _with_local(keyed, order, values, [_KEY] if keys else [], descending).select(*columns, *names)
-
-    marked = keyed.withColumn(_LARGE, F.lit(True))
-    if large is not None:
+    if rows <= limit:
+        return table.withColumns(_local(values, order, keys, descending))
+    if keys:
+        large = _large_keys(table, keys, limit)
+        if large.isEmpty():
+            return table.withColumns(_local(values, order, keys, descending))
         # Fewer than MAX_SLICES keys can have more than rows / MAX_SLICES rows.
-        marked = keyed.join(F.broadcast(large), _KEY, "left")
+        marked = join_same(table, F.broadcast(large), keys, "left")
+    else:
+        marked = table.withColumn(_LARGE, F.lit(True))
+
     sliced = _slice_rows(marked, order, limit)
-    key = [_KEY] if keys else []
-    carried = _handed_over(sliced.where(_LARGE), order, values, key, descending)
-    local = _with_local(sliced, order, values, [*key, _SLICE], descending)
-    joined = local.join(carried, [*key, _SLICE], "left")
-    return joined.select(*columns, *[_combine(v).alias(v.name) for v in values])
+    carried = broadcast_if_small(_handed_over(sliced.where(_LARGE), order, values, keys, descending), CARRIED_BYTES)
+    # Without keys every total comes from the slices.
+    wanted = [v for v in values if keys or v.kind != "total"]
+    local = sliced.withColumns(_local(wanted, order, [*keys, _SLICE], descending))
+    joined = join_same(local, carried, [*keys, _SLICE], "left")
+    combined = [_combine(v, v in wanted).alias(v.name) for v in values]
+    return joined.select(*[c for c in df.columns if c not in names], *combined)
 
 
 def rank_rows(
@@ -110,11 +116,10 @@ def _numeric(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def _large_keys(keyed: DataFrame, limit: int) -> DataFrame | None:
-    """The keys with more than ``limit`` rows, or None when there are none."""
-    counted = keyed.groupBy(_KEY).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    found = materialize(counted.select(_KEY, F.lit(True).alias(_LARGE)), "large-keys")
-    return None if found.isEmpty() else found
+def _large_keys(table: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The keys with more than ``limit`` rows."""
+    counted = table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return materialize(counted.select(*keys, F.lit(True).alias(_LARGE)), "large-keys")
 
 
 def _slice_rows(marked: DataFrame, order: str, limit: int) -> DataFrame:
@@ -152,7 +157,8 @@ def _within(value: Running, order: str, keys: Sequence[str], descending: bool) -
     if value.kind == "sum_before":
         return F.coalesce(F.sum(value.column).over(before), F.lit(0))
     if value.kind == "total":
-        return F.coalesce(F.sum(value.column).over(Window.partitionBy(*keys)), F.lit(0))
+        whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.coalesce(F.sum(value.column).over(whole), F.lit(0))
     if value.kind == "last":
         return F.last(value.column, ignorenulls=True).over(here)
     if value.kind == "last_before":
@@ -162,14 +168,14 @@ def _within(value: Running, order: str, keys: Sequence[str], descending: bool) -
     return F.last(value.column, ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _with_local(
-    df: DataFrame, order: str, values: Sequence[Running], parts: Sequence[str], descending: bool
-) -> DataFrame:
-    return df.withColumns({value.name: _within(value, order, parts, descending) for value in values})
+def _local(
+    values: Sequence[Running], order: str, parts: Sequence[str], descending: bool
+) -> dict[str, Column]:
+    return {value.name: _within(value, order, parts, descending) for value in values}
 
 
 def _handed_over(
-    sliced: DataFrame, order: str, values: Sequence[Running], key: Sequence[str], descending: bool
+    sliced: DataFrame, order: str, values: Sequence[Running], keys: Sequence[str], descending: bool
 ) -> DataFrame:
     """One row per (large key, slice), at most MAX_SLICES + 1 per key, with the carried values."""
     aggregates = []
@@ -183,15 +189,15 @@ def _handed_over(
         else:
             summary = F.max_by(column, position)
         aggregates.append(summary.alias("__carry_" + value.name))
-    table = sliced.groupBy(*key, _SLICE).agg(*aggregates)
+    table = sliced.groupBy(*keys, _SLICE).agg(*aggregates)
 
     carried = []
     for value in values:
         column = "__carry_" + value.name
         if value.kind == "total":
-            found = F.coalesce(F.sum(column).over(Window.partitionBy(*key)), F.lit(0))
+            found = F.coalesce(F.sum(column).over(Window.partitionBy(*keys)), F.lit(0))
         else:
-            window = _ordered(_SLICE, key, (value.kind == "next") != descending)
+            window = _ordered(_SLICE, keys, (value.kind == "next") != descending)
             window = window.rowsBetween(Window.unboundedPreceding, -1)
             found = (
                 F.sum(column).over(window)
@@ -199,13 +205,13 @@ def _handed_over(
                 else F.last(column, ignorenulls=True).over(window)
             )
         carried.append(found.alias(column))
-    return table.select(*key, _SLICE, *carried)
+    return table.select(*keys, _SLICE, *carried)
 
 
-def _combine(value: Running) -> Column:
+def _combine(value: Running, has_local: bool) -> Column:
     carried = F.col("__carry_" + value.name)
     if value.kind == "total":
-        return F.coalesce(carried, F.col(value.name))
+        return F.coalesce(carried, F.col(value.name)) if has_local else carried
     if value.kind.startswith("sum"):
         return F.col(value.name) + F.coalesce(carried, F.lit(0))
     return F.coalesce(F.col(value.name), carried)

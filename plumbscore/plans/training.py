@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from plumbscore.functions import result_json
 from plumbscore.operators.curves import binary_counts, binary_summary, roc_extract, score_pairs, threshold_curve
 from plumbscore.operators.features import hash_split, prepare, random_split
+from plumbscore.session import materialize
 from plumbscore.sources.model_store import feature_pipeline_path, model_path, save_model
 
 # Model names and their default parameters.
@@ -188,13 +189,15 @@ def train_evaluate(
         train, test = hash_split(prepared.data, key or df.columns, weights, salt)
     if seed is not None and name != "logisticRegression":
         params = {"seed": seed, **params}
-    model = fit(name, train, **params)
+    # Iterative fits read their input several times: write the vectors once instead.
+    model = fit(name, materialize(train.select("features", "label"), "train"), **params)
     if data_dir:
         save_model(prepared.model, feature_pipeline_path(data_dir))
         save_model(model, model_path(data_dir, name))
     scored = score(model, test)
     if name in CLUSTERERS:
-        return cluster_silhouette(scored).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
+        clustered = materialize(scored.select("features", "prediction"), "clustered")
+        return cluster_silhouette(clustered).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
 
     curve = threshold_curve(binary_counts(score_pairs(scored, positive_label=positive_label)))
     points = roc_extract(curve, roc_size).agg(

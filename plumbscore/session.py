@@ -66,11 +66,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a small table so that every core has work in an iterative fit.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a small table by ``keys`` so that every core has work in an iterative fit.
 
     For tables read straight from files: a small file may be one partition. Tables of at
     least two partitions per core stay as they are, so large inputs are never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *keys)
