@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from plumbscore.catalog.registered import (
     summary_sql,
     table,
 )
-from plumbscore.operators.clustering import silhouette, vector_columns
+from plumbscore.operators.clustering import silhouette, vector_columns, vector_silhouette
 from plumbscore.operators.curves import (
     binary_counts,
     binary_metrics,
@@ -183,12 +184,29 @@ def roc_even(spark: SparkSession, folder: str) -> DataFrame:
 )
 def silhouette_fixed(spark: SparkSession, folder: str) -> DataFrame:
     """Silhouette of the embeddings by their label; the SQL compares all pairs."""
-    return rounded(
-        silhouette(table(spark, folder, "embeddings"), vector_columns("embedding", 64), "label").withColumn(
-            "clusters", F.col("clusters").cast("bigint")
-        ),
-        ["silhouette"],
-    )
+    embeddings = table(spark, folder, "embeddings")
+    vectors = embeddings.select(array_to_vector("embedding").alias("features"), "label")
+    return rounded(vector_silhouette(vectors, "features", "label"), ["silhouette"])
+
+
+@query(
+    "silhouette_of_arrays",
+    """WITH e AS (SELECT vec_id, vec_id % 3 AS part, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+       sizes AS (SELECT part, label, count(*) AS n FROM e GROUP BY 1, 2),
+       d AS (SELECT a.vec_id, a.part, a.label AS mine, b.label AS other, sum(list_distance(a.v, b.v) ** 2) AS total
+             FROM e AS a JOIN e AS b ON a.part = b.part GROUP BY 1, 2, 3, 4),
+       ab AS (SELECT vec_id, d.part, max(n) FILTER (WHERE mine = other) AS own,
+                max(total / nullif(n - 1, 0)) FILTER (WHERE mine = other) AS a,
+                min(total / n) FILTER (WHERE mine <> other) AS b
+              FROM d JOIN sizes ON sizes.label = d.other AND sizes.part = d.part GROUP BY 1, 2)
+       SELECT part, count(*) AS rows, (SELECT count(*) FROM sizes WHERE sizes.part = ab.part) AS clusters,
+         round(avg(CASE WHEN own = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6)
+         AS silhouette FROM ab GROUP BY part""",
+)
+def silhouette_of_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per third of the embeddings, straight from the arrays."""
+    parts = table(spark, folder, "embeddings").withColumn("part", F.pmod("vec_id", F.lit(3)))
+    return rounded(silhouette(parts, vector_columns("embedding", 64), "label", ["part"]), ["silhouette"])
 
 
 @query(
@@ -219,4 +237,4 @@ def silhouette_by_key(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("l_tax") * 100).alias("tax_percent"),
     )
     found = silhouette(lines, ["l_quantity", "percent", "tax_percent"], "l_returnflag", ["l_linestatus"])
-    return rounded(found.withColumn("clusters", F.col("clusters").cast("bigint")), ["silhouette"])
+    return rounded(found, ["silhouette"])

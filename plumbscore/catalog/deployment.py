@@ -127,7 +127,7 @@ def canaries(spark: SparkSession, folder: str) -> DataFrame:
     trained = points.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz"))
     baseline = baseline_silhouette(trained, ["x1", "x2"], CENTRES)
     found = canary(points, "ts", "1 day", ["x1", "x2"], CENTRES, baseline, 0.01)
-    return rounded(found.withColumn("clusters", F.col("clusters").cast("bigint")), ["silhouette", "drift"])
+    return rounded(found, ["silhouette", "drift"])
 
 
 USER_HASH = hash_sql("CAST(event_id AS VARCHAR)", "traffic")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbscore.operators.joins import BROADCAST_BYTES, join_same
 from plumbscore.session import materialize
 
+UNROLLED_TERMS = 128
 
 def vector_columns(array: str, size: int) -> list[Column]:
     """The elements of an array column as double columns."""
@@ -43,29 +46,28 @@ def nearest_centre(features: Sequence[str | Column], centres: Sequence[Sequence[
 def cluster_sums(
     df: DataFrame, features: Sequence[str | Column], cluster: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Per key, one array with size ``n``, sums ``s`` and squared norm ``q`` of each cluster.
-
-    The array has one entry per cluster of the model, so a key takes k * (features + 2) numbers.
-    """
+    """``n``, feature sums ``s`` and summed squared norm ``q`` per key and cluster."""
     columns = _doubles(features)
     sums = [F.sum(x).alias(f"__s{i}") for i, x in enumerate(columns)]
-    per_cluster = df.groupBy(*keys, F.col(cluster).alias("__cluster")).agg(
-        F.count("*").alias("__n"), F.sum(_total([x * x for x in columns])).alias("__q"), *sums
-    )
-    entry = F.struct(
-        F.col("__cluster").alias("cluster"),
-        F.col("__n").cast("double").alias("n"),
-        F.col("__q").alias("q"),
-        F.array(*[f"__s{i}" for i in range(len(columns))]).alias("s"),
+    found = df.groupBy(*keys, F.col(cluster).alias("cluster")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(_total([x * x for x in columns])).alias("q"), *sums
     )
-    return per_cluster.groupBy(*keys).agg(F.collect_list(entry).alias("__clusters"))
+    return found.select(*keys, "cluster", "n", "q", F.array(*[f"__s{i}" for i in range(len(columns))]).alias("s"))
 
 
-def _sums_side(sums: DataFrame, features: int) -> DataFrame:
-    """The sums of all keys, to be broadcast when they are few."""
-    written = materialize(sums, "cluster-sums")
-    size = written.agg(F.sum(F.size("__clusters")).alias("entries")).first()["entries"] or 0
-    return F.broadcast(written) if size * (features + 4) * 8 <= BROADCAST_BYTES else written
+def vector_silhouette(df: DataFrame, features: str = "features", cluster: str = "prediction") -> DataFrame:
+    """``(rows, clusters, silhouette)`` of a whole table; null below two clusters.
+
+    Runs Spark's evaluator on a vector column and a numeric cluster column.
+    """
+    table = df.select(features, F.col(cluster).cast("double").alias(cluster))
+    found = table.agg(F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters")).first()
+    value = None
+    if found["clusters"] >= 2:
+        value = ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(table)
+    return df.sparkSession.createDataFrame(
+        [(found["rows"], found["clusters"], value)], "rows bigint, clusters bigint, silhouette double"
+    )
 
 
 def silhouette(
@@ -74,40 +76,89 @@ def silhouette(
     """Mean silhouette per key, with ``rows`` and ``clusters``; null below two clusters.
 
     Two passes over the rows and no row pairs: the mean squared distance of x to a cluster
-    is |x|^2 + q/n - 2 x.s/n, from the sums of that cluster.
+    is |x|^2 + q/n - 2 x.s/n, from the sums of that cluster. Without keys the whole table
+    goes through :func:`vector_silhouette`.
     """
     columns = _doubles(features)
-    sums = cluster_sums(df, features, cluster, keys)
-    slim = df.select(
-        *keys, F.col(cluster).alias("__cluster"), F.array(*columns).alias("__x"), _total([x * x for x in columns]).alias("__xx")
+    if not keys:
+        return vector_silhouette(df.select(array_to_vector(F.array(*columns)).alias("features"), cluster), "features", cluster)
+
+    sums = materialize(cluster_sums(df, features, cluster, keys), "cluster-sums")
+    small = sums.count() * (len(columns) + 4) * 8 <= BROADCAST_BYTES
+    most = max(1, UNROLLED_TERMS // len(columns))
+    labels = [r["cluster"] for r in sums.select("cluster").distinct().limit(most + 1).collect()]
+    measure = _with_columns_per_cluster if len(labels) <= most else _with_cluster_array
+    slim = df.select(*keys, F.col(cluster).alias("__cluster"), F.array(*columns).alias("__x")).withColumn(
+        "__xx", _total([F.col("__x")[i] * F.col("__x")[i] for i in range(len(columns))])
     )
-    if keys:
-        rows = join_same(slim, _sums_side(sums, len(columns)), keys)
-    else:
-        rows = slim.withColumn("__clusters", sums.select("__clusters").scalar())
-
-    def mean_distance(entry: Column) -> Column:
-        dot = _total([F.col("__x")[i] * entry["s"][i] for i in range(len(columns))])
-        return F.col("__xx") + entry["q"] / entry["n"] - 2.0 * dot / entry["n"]
-
-    own = F.filter("__clusters", lambda e: e["cluster"] == F.col("__cluster"))[0]
-    others = F.filter("__clusters", lambda e: e["cluster"] != F.col("__cluster"))
-    measured = rows.withColumns(
-        {
-            "__clusters_found": F.size("__clusters"),
-            "__own": own,
-            "__b": F.array_min(F.transform(others, mean_distance)),
-        }
-    ).withColumn("__a", F.try_divide(mean_distance(F.col("__own")) * F.col("__own.n"), F.col("__own.n") - 1))
+    measured = measure(slim, sums, labels, len(columns), keys, small)
     score = (
-        F.when(F.col("__own.n") == 1, 0.0)
+        F.when(F.col("__n") == 1, 0.0)
         .when(F.col("__a") < F.col("__b"), 1 - F.try_divide(F.col("__a"), F.col("__b")))
         .when(F.col("__a") > F.col("__b"), F.try_divide(F.col("__b"), F.col("__a")) - 1)
         .otherwise(0.0)
     )
     found = measured.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.max("__clusters_found").alias("clusters"), F.avg(score).alias("__mean")
+        F.count("*").alias("rows"), F.max("__clusters").cast("bigint").alias("clusters"), F.avg(score).alias("__mean")
+    )
+    return found.select(*keys, "rows", "clusters", F.when(F.col("clusters") >= 2, F.col("__mean")).alias("silhouette"))
+
+
+def _mean_distance(entry: Column, size: int) -> Column:
+    """Mean squared distance of a row to the cluster whose sums are in ``entry``."""
+    dot = _total([F.col("__x")[i] * entry["s"][i] for i in range(size)])
+    return F.col("__xx") + (entry["q"] - 2.0 * dot) / entry["n"]
+
+
+def _join_sums(slim: DataFrame, packed: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """One row of sums per key beside every row; broadcast when their size was found small."""
+    return join_same(slim, F.broadcast(packed) if small else packed, keys)
+
+
+def _with_columns_per_cluster(
+    slim: DataFrame, sums: DataFrame, labels: Sequence, size: int, keys: Sequence[str], small: bool
+) -> DataFrame:
+    """``__n, __a, __b`` with one column per cluster, which compiles to straight code."""
+    entry = F.struct("n", "q", "s")
+    packed = sums.groupBy(*keys).agg(
+        F.count("*").alias("__clusters"),
+        *[F.max_by(entry, F.when(F.col("cluster") == label, 1)).alias(f"__c{i}") for i, label in enumerate(labels)],
+    )
+    rows = _join_sums(slim, packed, keys, small)
+    own_n, own_distance, others = F.lit(None).cast("double"), F.lit(None).cast("double"), []
+    for i, label in enumerate(labels):
+        mine, sums_of = F.col("__cluster") == label, F.col(f"__c{i}")
+        own_n = F.when(mine, sums_of["n"]).otherwise(own_n)
+        own_distance = F.when(mine, F.col(f"__d{i}")).otherwise(own_distance)
+        others.append(F.when(~mine, F.col(f"__d{i}")))
+    nearest_other = F.least(*others) if len(others) > 1 else F.lit(None).cast("double")
+    distances = {f"__d{i}": _mean_distance(F.col(f"__c{i}"), size) for i in range(len(labels))}
+    measured = rows.withColumns(distances).withColumns({"__n": own_n, "__own": own_distance, "__b": nearest_other})
+    return measured.withColumn("__a", F.try_divide(F.col("__own") * F.col("__n"), F.col("__n") - 1))
+
+
+def _with_cluster_array(
+    slim: DataFrame, sums: DataFrame, labels: Sequence, size: int, keys: Sequence[str], small: bool
+) -> DataFrame:
+    """``__n, __a, __b`` from one array of all clusters, for many clusters or features."""
+    packed = sums.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "n", "q", "s")).alias("__all"))
+    rows = _join_sums(slim, packed, keys, small).withColumns(
+        {
+            "__clusters": F.size("__all"),
+            "__own": F.filter("__all", lambda e: e["cluster"] == F.col("__cluster"))[0],
+            "__others": F.filter("__all", lambda e: e["cluster"] != F.col("__cluster")),
+        }
     )
-    return found.select(
-        *keys, "rows", "clusters", F.when(F.col("clusters") >= 2, F.col("__mean")).alias("silhouette")
+
+    def distance(entry: Column) -> Column:
+        products = F.zip_with("__x", entry["s"], lambda x, s: x * s)
+        dot = F.aggregate(products, F.lit(0.0), lambda total, part: total + part)
+        return F.col("__xx") + (entry["q"] - 2.0 * dot) / entry["n"]
+
+    return rows.withColumns(
+        {
+            "__n": F.col("__own.n"),
+            "__a": F.try_divide(distance(F.col("__own")) * F.col("__own.n"), F.col("__own.n") - 1),
+            "__b": F.array_min(F.transform("__others", distance)),
+        }
     )

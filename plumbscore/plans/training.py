@@ -13,13 +13,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbscore.functions import result_json
+from plumbscore.operators.clustering import vector_silhouette
 from plumbscore.operators.curves import binary_counts, binary_summary, roc_extract, score_pairs, threshold_curve
 from plumbscore.operators.features import hash_split, prepare, random_split
 from plumbscore.session import materialize
@@ -148,18 +148,6 @@ def coefficient_map(weights: Mapping[str, float]) -> Column:
     return F.create_map(*[F.lit(part) for pair in weights.items() for part in pair])
 
 
-def cluster_silhouette(scored: DataFrame, features: str = "features", prediction: str = "prediction") -> DataFrame:
-    """``(rows, clusters, silhouette)`` of a clustered table; null below two clusters."""
-    table = scored.select(features, prediction)
-    found = table.agg(F.count("*").alias("rows"), F.count_distinct(prediction).alias("clusters")).first()
-    value = None
-    if found["clusters"] >= 2:
-        value = ClusteringEvaluator(featuresCol=features, predictionCol=prediction).evaluate(table)
-    return scored.sparkSession.createDataFrame(
-        [(found["rows"], found["clusters"], value)], "rows bigint, clusters bigint, silhouette double"
-    )
-
-
 def train_evaluate(
     df: DataFrame,
     target: str,
@@ -197,7 +185,7 @@ def train_evaluate(
     scored = score(model, test)
     if name in CLUSTERERS:
         clustered = materialize(scored.select("features", "prediction"), "clustered")
-        return cluster_silhouette(clustered).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
+        return vector_silhouette(clustered).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
 
     curve = threshold_curve(binary_counts(score_pairs(scored, positive_label=positive_label)))
     points = roc_extract(curve, roc_size).agg(

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbscore.functions import normalise_weights
-from plumbscore.operators.clustering import nearest_centre, silhouette
+from plumbscore.operators.clustering import nearest_centre, silhouette, vector_silhouette
 from plumbscore.operators.curves import binary_metrics
 from plumbscore.operators.sampling import assign, traffic_models
-from plumbscore.plans.training import CLUSTERERS, cluster_silhouette, score
+from plumbscore.plans.training import CLUSTERERS, score
 from plumbscore.sources.metric_store import MODES, all_metrics, append_metrics
 from plumbscore.streaming.streams import trigger
 
@@ -129,7 +129,7 @@ class Monitor:
 
     def _canary(self, rows: DataFrame) -> list[tuple[str, str, float]]:
         if self.canary_model is not None:
-            found = cluster_silhouette(self.canary_model.transform(rows))
+            found = vector_silhouette(self.canary_model.transform(rows))
         elif self.canary_centres is not None:
             placed = rows.withColumn("prediction", nearest_centre(self.canary_features, self.canary_centres))
             found = silhouette(placed, self.canary_features)
