@@ -157,9 +157,8 @@ def rates(spark: SparkSession, folder: str) -> DataFrame:
                 (a.conversions + b.conversions) / (a.n + b.n) AS pooled, a.n AS n1, b.n AS n2
               FROM r AS a JOIN r AS b ON a.date = b.date AND a.model < b.model)
         SELECT date, model_a, model_b, round(p1 - p2, 6) AS difference,
-          round((p1 - p2) / sqrt(pooled * (1 - pooled) * (1e0 / n1 + 1e0 / n2)), 6) AS z,
-          abs((p1 - p2) / sqrt(pooled * (1 - pooled) * (1e0 / n1 + 1e0 / n2))) > 1.959963984540054 AS significant
-        FROM p""",
+          round((p1 - p2) / spread, 6) AS z, abs((p1 - p2) / spread) > 1.959963984540054 AS significant
+        FROM (SELECT *, nullif(sqrt(pooled * (1 - pooled) * (1e0 / n1 + 1e0 / n2)), 0) AS spread FROM p) AS s""",
 )
 def compare(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of variants per day, with the z of their difference."""

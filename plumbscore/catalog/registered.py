@@ -74,7 +74,8 @@ def summary_sql(source: str, keys: Sequence[str] = ()) -> str:
         coalesce(tp / nullif(pos, 0)::DOUBLE, 0) AS tpr,
         coalesce(fp / nullif(neg, 0)::DOUBLE, 0) AS fpr,
         tp / (tp + fp)::DOUBLE AS prec,
-        2e0 * tp / (tp + fp + pos) AS f1
+        2e0 * tp / (tp + fp + pos) AS f1,
+        tp::HUGEINT * neg - fp::HUGEINT * pos AS height
       FROM c
     ),
     l AS (
@@ -88,8 +89,8 @@ def summary_sql(source: str, keys: Sequence[str] = ()) -> str:
           coalesce(sum(n * (tp - p / 2e0)) / nullif(max(pos) * max(neg), 0), 0) END AS auc,
         sum((tpr - coalesce(tpr_before, 0)) * (prec + coalesce(prec_before, prec)) / 2) AS auprc,
         arg_min(score, (-f1, score)) AS f1_threshold, max(f1) AS max_f1,
-        CASE WHEN max(tpr - fpr) > 0 THEN arg_max(fpr, (tpr - fpr, fpr, tpr)) ELSE 1 END AS ks_fpr,
-        CASE WHEN max(tpr - fpr) > 0 THEN arg_max(tpr, (tpr - fpr, fpr, tpr)) ELSE 1 END AS ks_tpr,
+        CASE WHEN max(tpr - fpr) > 0 THEN arg_max(fpr, (height, fp, tp)) ELSE 1 END AS ks_fpr,
+        CASE WHEN max(tpr - fpr) > 0 THEN arg_max(tpr, (height, fp, tp)) ELSE 1 END AS ks_tpr,
         greatest(max(tpr - fpr), 0) AS max_ks
       FROM l {group}
     )"""

@@ -100,9 +100,9 @@ def _is_first() -> Column:
 
 
 def _f_score(beta: float = 1.0) -> Column:
-    weight = beta * beta
-    bottom = _precision() * weight + _tpr()
-    return F.when(bottom > 0, F.try_divide((1 + weight) * _precision() * _tpr(), bottom)).otherwise(0.0)
+    """F from whole counts with one division, so that equal values are equal numbers."""
+    weight = F.lit(beta * beta)
+    return F.try_divide((1 + weight) * F.col("tp"), weight * F.col("pos") + F.col("tp") + F.col("fp"))
 
 
 def _with_ends(curve: DataFrame, keys: Sequence[str], point: Column, first: Column, last: Column | None) -> DataFrame:
@@ -155,13 +155,16 @@ def binary_summary(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Equal F1 values resolve to the lowest threshold, equal KS values to the point furthest
     along the curve. Without negatives the ROC area is 1, without positives it is 0.
     """
-    tpr_before = _share(_tp_before(), F.col("pos"), 0.0)
     precision_before = F.when(_is_first(), _precision()).otherwise(_share(_tp_before(), _tp_before() + _fp_before(), 1.0))
-    roc_area = _share(F.col("n"), F.col("neg"), 0.0) * (tpr_before + _tpr()) / 2
+    # Twice the trapezoid in whole numbers: exact in any order of summing, so equal models tie.
+    roc_area = F.col("n").cast("decimal(18,0)") * (F.col("tp") + _tp_before()).cast("decimal(19,0)")
     pr_area = _share(F.col("p"), F.col("pos"), 0.0) * (precision_before + _precision()) / 2
     f1 = _f_score()
     best_f1 = F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("negated")))
-    best_ks = F.max(F.struct((_tpr() - _fpr()).alias("ks"), _fpr().alias("fpr"), _tpr().alias("tpr")))
+    height = F.col("tp").cast("decimal(18,0)") * F.col("neg").cast("decimal(18,0)") - F.col("fp").cast(
+        "decimal(18,0)"
+    ) * F.col("pos").cast("decimal(18,0)")
+    best_ks = F.max(F.struct(height.alias("height"), "fp", "tp", _fpr().alias("fpr"), _tpr().alias("tpr")))
     end = F.struct(F.lit(0.0).alias("ks"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
     found = curve.groupBy(*keys).agg(
         F.max("pos").alias("positives"),
@@ -171,13 +174,18 @@ def binary_summary(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         best_f1.alias("best_f1"),
         best_ks.alias("best_ks"),
     )
-    ks = F.greatest("best_ks", end)
+    inner = F.struct(
+        (F.col("best_ks.tpr") - F.col("best_ks.fpr")).alias("ks"), F.col("best_ks.fpr"), F.col("best_ks.tpr")
+    )
+    ks = F.greatest(inner, end)
+    whole = 2.0 * F.col("positives").cast("double") * F.col("negatives").cast("double")
+    auc = F.when(F.col("positives") > 0, F.try_divide(F.col("roc_area").cast("double"), whole)).otherwise(0.0)
     return found.where("positives + negatives > 0").select(
         *keys,
         "positives",
         "negatives",
-        F.when(F.col("negatives") == 0, 1.0).otherwise(F.col("roc_area")).alias("auc"),
-        "auprc",
+        F.when(F.col("negatives") == 0, 1.0).otherwise(auc).alias("auc"),
+        F.least("auprc", F.lit(1.0)).alias("auprc"),
         (-F.col("best_f1.negated")).alias("f1_threshold"),
         F.col("best_f1.f1").alias("max_f1"),
         ks["fpr"].alias("ks_fpr"),

@@ -79,7 +79,7 @@ def running(
     else:
         marked = table.withColumn(_LARGE, F.lit(True))
 
-    sliced = _slice_rows(marked, order, limit)
+    sliced = _slice_rows(marked, order, rows if not keys else marked.where(_LARGE).count(), limit)
     carried = broadcast_if_small(_handed_over(sliced.where(_LARGE), order, values, keys, descending), CARRIED_BYTES)
     # Without keys every total comes from the slices.
     wanted = [v for v in values if keys or v.kind != "total"]
@@ -122,14 +122,13 @@ def _large_keys(table: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return materialize(counted.select(*keys, F.lit(True).alias(_LARGE)), "large-keys")
 
 
-def _slice_rows(marked: DataFrame, order: str, limit: int) -> DataFrame:
-    """Number the slices of large keys by common cut points; other keys are one slice.
+def _slice_rows(marked: DataFrame, order: str, rows: int, limit: int) -> DataFrame:
+    """Number the slices of the ``rows`` rows of large keys by common cut points; other keys are one slice.
 
     The cuts split all rows of large keys evenly, so no (key, slice) is larger than a slice.
     """
     positioned = marked.withColumn(_POSITION, _numeric(marked, order))
     split_rows = positioned.where(_LARGE).select(_POSITION)
-    rows = split_rows.count()
     slices = math.ceil(rows / limit)
     steps = [i / slices for i in range(1, slices)]
     sample = split_rows.sample(min(1.0, SAMPLED_ROWS_PER_SLICE * slices / rows), seed=17)
