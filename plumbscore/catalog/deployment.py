@@ -15,7 +15,7 @@ from plumbscore.catalog.registered import (
     table,
 )
 from plumbscore.operators.nearest import nearest
-from plumbscore.operators.sampling import assign
+from plumbscore.operators.sampling import assign, window_sample
 from plumbscore.plans.deployment import (
     ab_compare,
     ab_rates,
@@ -70,6 +70,20 @@ def window_auc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(window_metrics(scored_events(spark, folder), "ts", "1 day"), SUMMARY_DOUBLES)
 
 
+SAMPLE_HASH = hash_sql("strftime(date, '%Y-%m-%d %H:%M:%S') || ':' || event_id", "window")
+
+
+@query(
+    "window_auc_sampled",
+    f"""WITH {summary_sql(f"SELECT * FROM ({SCORED_SQL}) AS e WHERE {SAMPLE_HASH} < 0.5", ["date", "model"])}
+        SELECT date, model, {SUMMARY_COLUMNS} FROM s""",
+)
+def window_auc_sampled(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures per day and model on a fresh half of each day's events."""
+    sampled = window_sample(scored_events(spark, folder), "event_id", "ts", "1 day", 0.5)
+    return rounded(window_metrics(sampled, "ts", "1 day"), SUMMARY_DOUBLES)
+
+
 @query(
     "champion",
     f"""WITH {DAILY_SQL},

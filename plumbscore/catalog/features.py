@@ -31,6 +31,8 @@ from plumbscore.operators.features import (
     random_split,
 )
 from plumbscore.operators.sampling import assign, period_sample, random_sample
+from plumbscore.session import scratch_path
+from plumbscore.sources.model_store import feature_pipeline_path, load_model, save_model
 
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 HOLED_SQL = """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, nullif(l_discount, 0.05) AS l_discount,
@@ -94,15 +96,15 @@ def label_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return label_frequency(table(spark, folder, "orders"), "o_orderpriority")
 
 
-@query(
-    "feature_pipeline",
-    f"""WITH f AS (SELECT l_orderkey, l_linenumber, {FILLED_SQL}, l_returnflag FROM ({HOLED_SQL}) AS h
+PIPELINE_SQL = f"""WITH f AS (SELECT l_orderkey, l_linenumber, {FILLED_SQL}, l_returnflag FROM ({HOLED_SQL}) AS h
                    WHERE l_returnflag IS NOT NULL),
         ranks AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS DOUBLE)
                   AS label FROM f GROUP BY 1)
         SELECT l_orderkey, l_linenumber, l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3, label
-        FROM f JOIN ranks USING (l_returnflag)""",
-)
+        FROM f JOIN ranks USING (l_returnflag)"""
+
+
+@query("feature_pipeline", PIPELINE_SQL)
 def feature_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Filled, assembled and indexed rows; rows without a target are left out."""
     data = prepare(_with_holes(spark, folder), "l_returnflag", LINE_FEATURES).data
@@ -110,6 +112,19 @@ def feature_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return data.select("l_orderkey", "l_linenumber", *[values[i].alias(f"f{i}") for i in range(4)], "label")
 
 
+@query("feature_pipeline_roundtrip", PIPELINE_SQL)
+def feature_pipeline_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The fitted assembler and indexer, saved, loaded and applied."""
+    lines = _with_holes(spark, folder)
+    path = feature_pipeline_path(scratch_path(spark, "pipeline"))
+    save_model(prepare(lines, "l_returnflag", LINE_FEATURES).model, path)
+    known = fill_numbers(lines.where(F.col("l_returnflag").isNotNull()), LINE_FEATURES)
+    values = vector_to_array("features")
+    return load_model(path).transform(known).select(
+        "l_orderkey", "l_linenumber", *[values[i].alias(f"f{i}") for i in range(4)], "label"
+    )
+
+
 @query(
     "score_pairs",
     """SELECT l_orderkey, l_linenumber, l_quantity / 64 AS score,

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbscore.catalog.registered import hash_sql, query, rounded, summary_sql, table
 from plumbscore.operators.features import hash_split, prepare
-from plumbscore.plans.training import coefficient_table, fit, fit_score, score, train_evaluate
-from plumbscore.session import scratch_path, spread
+from plumbscore.plans.deployment import champion, window_metrics
+from plumbscore.plans.training import coefficient_table, fit, fit_score, score, score_all, train_evaluate
+from plumbscore.session import materialize, scratch_path, spread
 from plumbscore.sources.model_store import load_model, model_path, registry, save_model
 
+DEPLOYED = {"logisticRegression": {}, "neuralNetwork": {"seed": 1}, "randomForest": {"seed": 1}}
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_HASH = hash_sql("l_orderkey || ':' || l_linenumber", "split")
 TEST_SQL = f"SELECT l_quantity, l_quantity > 25 AS target FROM lineitem WHERE {LINE_HASH} >= 0.8"
@@ -78,9 +80,10 @@ def kmeans_groups(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("prediction")
 
 
-EVALUATE_SQL = f"""WITH majority AS (
+MAJORITY_SQL = """majority AS (
       SELECT l_quantity > 25 AS target FROM lineitem GROUP BY 1
-      ORDER BY count(*) DESC, CAST(CAST(l_quantity > 25 AS INTEGER) AS VARCHAR) LIMIT 1),
+      ORDER BY count(*) DESC, CAST(CAST(l_quantity > 25 AS INTEGER) AS VARCHAR) LIMIT 1)"""
+EVALUATE_SQL = f"""WITH {MAJORITY_SQL},
     {summary_sql(f"SELECT CASE WHEN target = (FROM majority) THEN 1e0 ELSE 0e0 END AS score, "
                  f"CASE WHEN target = (FROM majority) THEN 1 ELSE 0 END AS y FROM ({TEST_SQL}) AS t")}
     SELECT positives, negatives, round(auc, 6) AS auc, round(auprc, 6) AS auprc, round(max_f1, 6) AS max_f1,
@@ -179,3 +182,31 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy((F.col("before") > 0.5).alias("positive")).agg(
         F.count("*").alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("changed")
     )
+
+
+MONTHS_SQL = """SELECT m.model, time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS date,
+    CASE WHEN (l_quantity > 25) = (FROM majority) THEN 1e0 ELSE 0e0 END AS score,
+    CASE WHEN (l_quantity > 25) = (FROM majority) THEN 1 ELSE 0 END AS y
+  FROM lineitem, (VALUES ('logisticRegression'), ('neuralNetwork'), ('randomForest')) AS m(model)"""
+
+
+@query(
+    "deployed_models",
+    f"""WITH {MAJORITY_SQL}, {summary_sql(MONTHS_SQL, ["date", "model"])},
+        r AS (SELECT date, model, auc, row_number() OVER (PARTITION BY date ORDER BY auc DESC, model) AS place FROM s)
+        SELECT date, model AS winner, round(auc, 6) AS winner_value, lag(model) OVER (ORDER BY date) AS champion
+        FROM r WHERE place = 1""",
+)
+def deployed_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Three trained models score all rows; champions per 30 days of shipping."""
+    lines = rule_lines(spark, folder)
+    prepared = prepare(lines, "target", ["l_quantity"])
+    train = materialize(hash_split(prepared.data, LINE_KEY)[0].select("features", "label"), "train")
+    models = {name: fit(name, train, **params) for name, params in DEPLOYED.items()}
+    shipped = table(spark, folder, "lineitem").select(
+        "l_shipdate", "l_quantity", F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("target")
+    )
+    labelled = prepared.model.transform(shipped)
+    scored = score_all(models, labelled, ["l_shipdate", "label"])
+    pairs = scored.withColumn("y", F.when(F.col("label") == 0, 1.0).otherwise(0.0))
+    return rounded(champion(window_metrics(pairs, "l_shipdate", "30 days")), ["winner_value"])

@@ -40,6 +40,13 @@ def period_sample(df: DataFrame, key: str, period: int, fraction: float) -> Data
     return df.where(hash_uniform(key, salt=f"period-{period}") < F.lit(float(fraction)))
 
 
+def window_sample(df: DataFrame, key: str, time: str, period: str, fraction: float) -> DataFrame:
+    """A replayed stream: in every tumbling window a fresh sample of the rows."""
+    start = F.window(time, period)["start"].cast("string")
+    uniform = hash_uniform("__window", key, salt="window")
+    return df.withColumn("__window", start).where(uniform < F.lit(float(fraction))).drop("__window")
+
+
 def random_sample(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
     """Spark's own sample."""
     return df.sample(fraction=fraction, seed=seed)

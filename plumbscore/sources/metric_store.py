@@ -47,16 +47,25 @@ def append_metrics(metrics: DataFrame, root: str, mode: str, batch: int | None =
     )
 
 
-def all_metrics(spark: SparkSession, root: str, mode: str) -> DataFrame:
-    """The whole series of a mode; empty when nothing was stored."""
+def _read(spark: SparkSession, folder: str, *path: str) -> DataFrame:
     try:
-        return spark.read.schema(METRIC_SCHEMA).parquet(_folder(root, mode))
+        return spark.read.schema(METRIC_SCHEMA).option("basePath", folder).parquet(os.path.join(folder, *path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], METRIC_SCHEMA)
 
 
+def all_metrics(spark: SparkSession, root: str, mode: str) -> DataFrame:
+    """The whole series of a mode; empty when nothing was stored."""
+    return _read(spark, _folder(root, mode))
+
+
+def batch_metrics(spark: SparkSession, root: str, mode: str, batch: int) -> DataFrame:
+    """The metrics of one batch, read from its own folder without listing the others."""
+    return _read(spark, _folder(root, mode), f"batch={batch}")
+
+
 def read_metrics(spark: SparkSession, root: str, mode: str, limit: int = READ_LIMIT) -> DataFrame:
     """The first ``limit`` rows of a mode by sequence number."""
     return latest_metrics(all_metrics(spark, root, mode), "seq", limit)

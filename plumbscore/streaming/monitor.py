@@ -17,7 +17,7 @@ from plumbscore.operators.clustering import nearest_centre, silhouette, vector_s
 from plumbscore.operators.curves import binary_metrics
 from plumbscore.operators.sampling import assign, traffic_models
 from plumbscore.plans.training import CLUSTERERS, score
-from plumbscore.sources.metric_store import MODES, all_metrics, append_metrics
+from plumbscore.sources.metric_store import MODES, all_metrics, append_metrics, batch_metrics
 from plumbscore.streaming.streams import trigger
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -112,12 +112,15 @@ class Monitor:
         return {name: (1 - self.explore) * value / total + floor for name, value in grown.items()}
 
     def _earlier(self, rows: DataFrame, batch_id: int) -> dict[tuple[str, str], float]:
-        """The stored rows of the batch before this one: a few per model."""
-        stored = all_metrics(rows.sparkSession, self.store, self.mode).where(F.col("batch") < batch_id)
-        last = stored.agg(F.max("batch").alias("last")).first()["last"]
-        if last is None:
-            return {}
-        return {(r["model"], r["metric"]): r["value"] for r in stored.where(F.col("batch") == last).collect()}
+        """The stored rows of the last batch before this one: a few per model."""
+        spark = rows.sparkSession
+        found = batch_metrics(spark, self.store, self.mode, batch_id - 1).collect()
+        if not found and batch_id > 0:
+            # The batch before had no rows: look for the latest that did.
+            stored = all_metrics(spark, self.store, self.mode).where(F.col("batch") < batch_id)
+            last = stored.agg(F.max("batch").alias("last")).first()["last"]
+            found = [] if last is None else stored.where(F.col("batch") == last).collect()
+        return {(r["model"], r["metric"]): r["value"] for r in found}
 
     def _aucs(self, tables: Mapping[str, DataFrame]) -> dict[str, float]:
         """AUC of each model on its own rows, in one job."""

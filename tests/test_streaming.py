@@ -73,6 +73,7 @@ def test_replayed_batches_change_nothing(spark, folder, mode):
     for batch in (0, 1, 1, 2):
         monitor.process(rows.where(F.col("event_id") % 3 == batch), batch)
     monitor.process(rows.where("false"), 3)
+    assert monitor._earlier(rows, 4) == monitor._earlier(rows, 3)
     before = sorted(map(tuple, all_metrics(spark, store, mode).collect()))
     monitor.process(rows.where(F.col("event_id") % 3 == 1), 1)
     stored = all_metrics(spark, store, mode)
