@@ -161,9 +161,9 @@ def binary_summary(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     pr_area = _share(F.col("p"), F.col("pos"), 0.0) * (precision_before + _precision()) / 2
     f1 = _f_score()
     best_f1 = F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("negated")))
-    height = F.col("tp").cast("decimal(18,0)") * F.col("neg").cast("decimal(18,0)") - F.col("fp").cast(
-        "decimal(18,0)"
-    ) * F.col("pos").cast("decimal(18,0)")
+    # tpr - fpr times pos * neg: whole numbers, so equal distances tie.
+    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
+    height = tp * neg - fp * pos
     best_ks = F.max(F.struct(height.alias("height"), "fp", "tp", _fpr().alias("fpr"), _tpr().alias("tpr")))
     end = F.struct(F.lit(0.0).alias("ks"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
     found = curve.groupBy(*keys).agg(
