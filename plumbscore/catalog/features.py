@@ -153,10 +153,11 @@ def indicators(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", inside)
 
 
-@query("random_columns")
+@query("random_columns", "SELECT event_id, TRUE AS in_range FROM events")
 def random_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Seeded random numbers per row; they depend on the partitioning, so there is no SQL."""
-    return table(spark, folder, "events").select("event_id", F.rand(7).alias("x"), F.rand(11).alias("y"))
+    """Seeded random numbers per row; their values depend on the partitioning, their range does not."""
+    drawn = table(spark, folder, "events").select("event_id", F.rand(7).alias("x"), F.rand(11).alias("y"))
+    return drawn.select("event_id", F.expr("x >= 0 AND x < 1 AND y >= 0 AND y < 1 AND x != y").alias("in_range"))
 
 
 @query(
@@ -186,11 +187,11 @@ def split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("random_split")
+@query("random_split", "SELECT o_orderkey, o_custkey FROM orders")
 def split_randomly(spark: SparkSession, folder: str) -> DataFrame:
-    """Spark's own split; it depends on the partitioning, so there is no SQL."""
-    train, test = random_split(table(spark, folder, "orders").select("o_orderkey"), seed=3)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    """Spark's own split; which part a row is in depends on the partitioning, but it is in exactly one."""
+    train, test = random_split(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), seed=3)
+    return train.unionByName(test)
 
 
 TRAFFIC_HASH = hash_sql("CAST(user_id AS VARCHAR)", "traffic")

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbscore.catalog.deployment import CENTRES, SCORED_SQL, bought, model_scores
-from plumbscore.catalog.registered import SUMMARY_COLUMNS, SUMMARY_DOUBLES, query, rounded, summary_sql, table
+from plumbscore.catalog.registered import (
+    SUMMARY_COLUMNS,
+    SUMMARY_DOUBLES,
+    hash_sql,
+    query,
+    rounded,
+    summary_sql,
+    table,
+)
 from plumbscore.plans.deployment import metrics_of_counts
 from plumbscore.session import scratch_path
 from plumbscore.sources.metric_store import all_metrics
@@ -77,17 +85,72 @@ CHUNK_SQL = "CASE " + " ".join(
 )
 def stream_champion(spark: SparkSession, folder: str) -> DataFrame:
     """A champion monitor over four batches."""
-    stored = run_monitor(spark, folder, "champion").where(F.col("model") != "kmeans")
+    return _monitored(spark, folder, "champion")
+
+
+MODELS = ["logisticRegression", "neuralNetwork", "randomForest"]
+EQUAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', 1e0 / 3)" for m in MODELS) + ") AS v(model, split)"
+
+
+def _routed_sql(seq: int, mode: str, splits: str, tag: str) -> str:
+    """CTEs up to ``auc_<tag>``: events of one batch sent to models by the shares in ``splits``."""
+    event_hash = hash_sql("CAST(event_id AS VARCHAR)", f"{mode}-{seq}")
+    return f"""
+    upper_{tag} AS (SELECT model, coalesce(sum(split) OVER (ORDER BY model ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND 1 PRECEDING), 0) AS low, sum(split) OVER (ORDER BY model) AS high FROM ({splits}) AS p),
+    sent_{tag} AS (SELECT e.model, e.score, e.y FROM ({SCORED_SQL}) AS e JOIN upper_{tag} AS u
+             ON e.model = u.model AND {event_hash} >= u.low AND {event_hash} < u.high
+             WHERE {CHUNK_SQL} = {seq}),
+    auc_{tag} AS (WITH {summary_sql(f"SELECT * FROM sent_{tag}", ["model"])} SELECT model, auc FROM s)"""
+
+
+def _bandit_sql() -> str:
+    """Four batches, each routed by the shares that the earlier ones led to."""
+    steps = ["gain_0 AS (SELECT model, 0e0 AS gain FROM (" + EQUAL_SQL + ") AS v)"]
+    for seq in range(len(CHUNK_STARTS)):
+        steps.append(
+            f"""share_{seq} AS (SELECT model, gain, 0.9e0 * exp(4 * gain) / (SELECT sum(exp(4 * gain)) FROM gain_{seq})
+                  + 0.1e0 / 3 AS split FROM gain_{seq})"""
+        )
+        steps.append(_routed_sql(seq, "multiarm", f"SELECT * FROM share_{seq}", f"b{seq}"))
+        steps.append(
+            f"""gain_{seq + 1} AS (SELECT model, gain + coalesce(auc, 0.5) AS gain
+                  FROM gain_{seq} LEFT JOIN auc_b{seq} USING (model))"""
+        )
+    rows = " UNION ALL ".join(
+        f"""SELECT CAST({seq} AS BIGINT) AS seq, model, 'auc' AS metric, round(auc, 6) AS value FROM auc_b{seq}
+        UNION ALL SELECT {seq}, model, 'split', round(split, 6) FROM share_{seq}
+        UNION ALL SELECT {seq}, model, 'gain', round(gain, 6) FROM gain_{seq + 1}"""
+        for seq in range(len(CHUNK_STARTS))
+    )
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+def _abtest_sql() -> str:
+    """Four batches, each routed by equal shares."""
+    batches = range(len(CHUNK_STARTS))
+    steps = ", ".join(_routed_sql(seq, "abtesting", EQUAL_SQL, f"b{seq}") for seq in batches)
+    rows = " UNION ALL ".join(
+        f"""SELECT CAST({seq} AS BIGINT) AS seq, model, 'auc' AS metric, round(auc, 6) AS value FROM auc_b{seq}
+        UNION ALL SELECT {seq}, model, 'split', round(split, 6) FROM ({EQUAL_SQL}) AS v"""
+        for seq in batches
+    )
+    return f"WITH {steps} {rows}"
+
+
+def _monitored(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    """The metrics of the models that take traffic."""
+    stored = run_monitor(spark, folder, mode).where(F.col("model") != "kmeans")
     return rounded(stored.select("seq", "model", "metric", "value"), ["value"])
 
 
-@query("stream_bandit")
+@query("stream_bandit", _bandit_sql())
 def stream_bandit(spark: SparkSession, folder: str) -> DataFrame:
-    """A bandit monitor over four batches; each depends on the last, so there is no SQL."""
-    return rounded(run_monitor(spark, folder, "multiarm").select("seq", "model", "metric", "value"), ["value"])
+    """A bandit monitor over four batches, each routed by what the earlier ones measured."""
+    return _monitored(spark, folder, "multiarm")
 
 
-@query("stream_abtest")
+@query("stream_abtest", _abtest_sql())
 def stream_abtest(spark: SparkSession, folder: str) -> DataFrame:
     """An A/B monitor over four batches."""
-    return rounded(run_monitor(spark, folder, "abtesting").select("seq", "model", "metric", "value"), ["value"])
+    return _monitored(spark, folder, "abtesting")

@@ -41,8 +41,8 @@ def work_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="plumbscore-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbscore-"))
+        folder = context.getCheckpointDir()
     return os.path.join(folder, f"plumbscore-{context.applicationId}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -36,6 +37,12 @@ class LoadSpec:
                 raise ValueError(f"{name} must be true or false, not {text!r}")
             object.__setattr__(self, name, text)
 
+    @classmethod
+    def from_json(cls, text: str) -> LoadSpec:
+        """The request in a JSON object; only ``filepath`` is required."""
+        given = json.loads(text)
+        return cls(**{name: given[name] for name in REQUEST_SCHEMA.names if name in given})
+
 
 def load_csv(spark: SparkSession, spec: LoadSpec) -> DataFrame:
     """Read a delimited file; without a header the columns are ``_c0, _c1, ...``.

@@ -89,8 +89,10 @@ class Monitor:
         earlier = self._earlier(rows, batch_id)
         if self.mode == "champion":
             aucs = self._aucs({name: rows for name in self.names})
-            winner = min(aucs, key=lambda name: (-aucs[name], name))
-            found = [(name, "auc", aucs[name]) for name in self.names] + [(winner, "winner", aucs[winner])]
+            found = [(name, "auc", value) for name, value in aucs.items()]
+            if aucs:
+                winner = min(aucs, key=lambda name: (-aucs[name], name))
+                found.append((winner, "winner", aucs[winner]))
             return found + [(name, "champion", value) for (name, metric), value in earlier.items() if metric == "winner"]
 
         gains = {name: earlier.get((name, "gain"), 0.0) for name in self.names}

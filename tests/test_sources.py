@@ -66,6 +66,9 @@ def test_load_defaults_to_text_without_header(spark, patients):
 
 def test_load_spec_flags():
     assert LoadSpec("x", True, ",", "FALSE") == LoadSpec("x", "true", ",", False)
+    assert LoadSpec.from_json('{"filepath": "x", "sep": "\\t", "other": 1}') == LoadSpec("x", sep="\t")
+    with pytest.raises(TypeError):
+        LoadSpec.from_json("{}")
     with pytest.raises(ValueError, match="hasHeader"):
         LoadSpec("x", "yes")
 

@@ -124,6 +124,13 @@ def test_fitted_models_and_canary_in_a_monitor(spark, folder):
     assert 0.3 < values["kmeans", "silhouette"] < 1
 
 
+def test_a_batch_without_scores(spark, folder):
+    store = scratch_path(spark, "unscored")
+    nothing = {"a": lambda df: df.withColumn("score", F.lit(None).cast("double"))}
+    Monitor("champion", nothing, store, "event_id", "ts").process(monitor_input(spark, folder), 0)
+    assert all_metrics(spark, store, "champion").count() == 0
+
+
 def test_restarts_continue_the_batches(spark, folder):
     stored = run_monitor(spark, folder, "multiarm")
     assert sorted({r.seq for r in stored.collect()}) == [0, 1, 2, 3]
