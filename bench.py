@@ -43,7 +43,7 @@ HEADLINES = [
 def main() -> None:
     """Run every headline query once cold and then ``BENCH_RUNS`` times."""
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

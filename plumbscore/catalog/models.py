@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbscore.catalog.registered import hash_sql, query, rounded, summary_sql, table
 from plumbscore.operators.features import hash_split, prepare
-from plumbscore.plans.deployment import champion, window_metrics
+from plumbscore.plans.deployment import baseline_silhouette, canary, champion, window_metrics
 from plumbscore.plans.training import coefficient_table, fit, fit_score, score, score_all, train_evaluate
 from plumbscore.session import materialize, scratch_path, spread
 from plumbscore.sources.model_store import load_model, model_path, registry, save_model
@@ -210,3 +210,34 @@ def deployed_models(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_all(models, labelled, ["l_shipdate", "label"])
     pairs = scored.withColumn("y", F.when(F.col("label") == 0, 1.0).otherwise(0.0))
     return rounded(champion(window_metrics(pairs, "l_shipdate", "30 days")), ["winner_value"])
+
+
+@query(
+    "canary_model",
+    f"""WITH x AS (SELECT time_bucket(INTERVAL 90 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS date,
+                     o_orderpriority AS c, 1000e0 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER) + o_orderkey % 10 AS x,
+                     {ORDER_TEST_HASH} < 0.8 AS trained FROM orders),
+        parts AS (SELECT date AS part, c, x FROM x UNION ALL SELECT TIMESTAMP '1900-01-01', c, x FROM x WHERE trained),
+        k AS (SELECT part, c, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS q FROM parts GROUP BY 1, 2),
+        d AS (SELECT p.part, p.x, p.c, p.c = k.c AS own, k.n, p.x * p.x + k.q / k.n - 2 * p.x * k.s / k.n AS mean
+              FROM (SELECT DISTINCT * FROM parts) AS p JOIN k ON p.part = k.part),
+        s AS (SELECT part, x, c, max(mean * n / nullif(n - 1, 0)) FILTER (WHERE own) AS a, max(n) FILTER (WHERE own) AS n,
+                min(mean) FILTER (WHERE NOT own) AS b FROM d GROUP BY 1, 2, 3),
+        r AS (SELECT part, count(*) AS rows, count(DISTINCT c) AS clusters,
+                avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette
+              FROM parts JOIN s USING (part, x, c) GROUP BY 1)
+        SELECT part AS date, rows, clusters, round(silhouette, 6) AS silhouette,
+          round(silhouette - (SELECT silhouette FROM r WHERE part = TIMESTAMP '1900-01-01'), 6) AS drift,
+          abs(silhouette - (SELECT silhouette FROM r WHERE part = TIMESTAMP '1900-01-01')) > 0.1 AS drifted
+        FROM r WHERE part > TIMESTAMP '1900-01-01'""",
+)
+def canary_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A fitted clustering as canary over 90 days of orders, against its training rows."""
+    group = F.substring("o_orderpriority", 1, 1).cast("int")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderdate", (group * 1000 + F.pmod("o_orderkey", F.lit(10))).cast("double").alias("x")
+    )
+    trained = materialize(hash_split(spread(orders, "o_orderkey"), "o_orderkey")[0].select("x"), "train")
+    model = fit("kmeans", trained, columns=["x"], seed=1)
+    baseline = baseline_silhouette(trained, ["x"], model)
+    return rounded(canary(orders, "o_orderdate", "90 days", ["x"], model, baseline), ["silhouette", "drift"])

@@ -54,7 +54,7 @@ def run_monitor(spark: SparkSession, folder: str, mode: str) -> DataFrame:
         name: (lambda df, value=value: df.withColumn("score", value)) for name, value in model_scores().items()
     }
     monitor = Monitor(
-        mode, scorers, store, "event_id", "ts", eta=4.0, canary_centres=CENTRES, canary_features=["x1", "x2"]
+        mode, scorers, store, "event_id", "ts", eta=4.0, canary=CENTRES, canary_features=["x1", "x2"]
     )
     for begin, end in zip(CHUNK_STARTS, [*CHUNK_STARTS[1:], "9999-01-01"]):
         chunk = events.where(f"ts >= timestamp_ntz'{begin}' AND ts < timestamp_ntz'{end}'")

@@ -22,8 +22,8 @@ from plumbscore.operators.joins import broadcast_if_small, join_same
 from plumbscore.session import materialize
 
 ROWS_PER_SLICE = 100_000
-MAX_SLICES = 4096
-SAMPLED_ROWS_PER_SLICE = 200
+MAX_SLICES = 16_384
+SAMPLED_ROWS_PER_SLICE = 100
 
 CARRIED_BYTES = 256
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbscore.operators.clustering import nearest_centre, silhouette
 from plumbscore.operators.curves import binary_counts, binary_summary, threshold_curve
 from plumbscore.operators.running import ROWS_PER_SLICE, Running, running
+from plumbscore.plans.training import score
 
 Z_95 = 1.959963984540054  # Fixed value: two-sided 95% point of the normal distribution.
 
@@ -25,23 +27,28 @@ def window_start(time: str, period: str) -> Column:
 
 
 def window_counts(
-    scored: DataFrame, time: str, period: str, score: str = "score", y: str = "y", keys: Sequence[str] = ("model",)
+    scored: DataFrame,
+    time: str,
+    period: str,
+    score_column: str = "score",
+    y: str = "y",
+    keys: Sequence[str] = ("model",),
 ) -> DataFrame:
     """Positives and negatives per window, key and score. Counts of disjoint inputs add up."""
-    return binary_counts(scored.withColumn("date", window_start(time, period)), score, y, ["date", *keys])
+    return binary_counts(scored.withColumn("date", window_start(time, period)), score_column, y, ["date", *keys])
 
 
 def window_metrics(
     scored: DataFrame,
     time: str,
     period: str,
-    score: str = "score",
+    score_column: str = "score",
     y: str = "y",
     keys: Sequence[str] = ("model",),
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Binary summary per window and key."""
-    return metrics_of_counts(window_counts(scored, time, period, score, y, keys), ["date", *keys], rows_per_slice)
+    return metrics_of_counts(window_counts(scored, time, period, score_column, y, keys), ["date", *keys], rows_per_slice)
 
 
 def metrics_of_counts(
@@ -67,34 +74,40 @@ def champion(metrics: DataFrame, time: str = "date", model: str = "model", value
     return running(best, time, [Running("champion", "winner", "last_before")])
 
 
+def place(
+    df: DataFrame, features: Sequence[str | Column], clusters: PipelineModel | Sequence[Sequence[float]]
+) -> DataFrame:
+    """Add ``prediction``, the cluster of each row, by a fitted model or by given centres."""
+    if isinstance(clusters, PipelineModel):
+        return score(clusters, df, "prediction")
+    return df.withColumn("prediction", nearest_centre(features, clusters))
+
+
 def canary(
     df: DataFrame,
     time: str,
     period: str,
     features: Sequence[str | Column],
-    centres: Sequence[Sequence[float]],
+    clusters: PipelineModel | Sequence[Sequence[float]],
     baseline: float,
     tolerance: float = 0.1,
 ) -> DataFrame:
-    """Silhouette of each window around the trained centres, and its drift from ``baseline``.
+    """Silhouette of each window under trained clusters, and its drift from ``baseline``.
 
     ``drifted`` is true when the drift exceeds ``tolerance`` either way; null when a window
     fills fewer than two clusters.
     """
-    assigned = df.withColumn("date", window_start(time, period)).withColumn(
-        "prediction", nearest_centre(features, centres)
-    )
-    measured = silhouette(assigned, features, "prediction", ["date"])
+    placed = place(df, features, clusters).withColumn("date", window_start(time, period))
+    measured = silhouette(placed, features, "prediction", ["date"])
     drift = F.col("silhouette") - F.lit(float(baseline))
     return measured.withColumn("drift", drift).withColumn("drifted", F.abs(drift) > F.lit(float(tolerance)))
 
 
 def baseline_silhouette(
-    df: DataFrame, features: Sequence[str | Column], centres: Sequence[Sequence[float]]
+    df: DataFrame, features: Sequence[str | Column], clusters: PipelineModel | Sequence[Sequence[float]]
 ) -> float | None:
-    """Silhouette of the training rows around their centres."""
-    assigned = df.withColumn("prediction", nearest_centre(features, centres))
-    return silhouette(assigned, features, "prediction").first()["silhouette"]
+    """Silhouette of the training rows under their own clusters."""
+    return silhouette(place(df, features, clusters), features, "prediction").first()["silhouette"]
 
 
 def ab_rates(

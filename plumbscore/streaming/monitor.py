@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbscore.functions import normalise_weights
-from plumbscore.operators.clustering import nearest_centre, silhouette, vector_silhouette
 from plumbscore.operators.curves import binary_metrics
-from plumbscore.operators.sampling import assign, traffic_models
+from plumbscore.operators.sampling import assign, period_sample, traffic_models
+from plumbscore.plans.deployment import baseline_silhouette
 from plumbscore.plans.training import CLUSTERERS, score
 from plumbscore.sources.metric_store import MODES, all_metrics, append_metrics, batch_metrics
 from plumbscore.streaming.streams import trigger
@@ -52,9 +52,8 @@ class Monitor:
     weights: Sequence[float] | None = None
     eta: float = 1.0
     explore: float = 0.1
-    canary_model: PipelineModel | None = None
-    canary_centres: Sequence[Sequence[float]] | None = None
-    canary_features: Sequence[str] = field(default_factory=tuple)
+    canary: PipelineModel | Sequence[Sequence[float]] | None = None
+    canary_features: Sequence[str] = ()
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -133,14 +132,9 @@ class Monitor:
         return {r["model"]: r["auc"] for r in binary_metrics(scored, keys=["model"]).select("model", "auc").collect()}
 
     def _canary(self, rows: DataFrame) -> list[tuple[str, str, float]]:
-        if self.canary_model is not None:
-            found = vector_silhouette(self.canary_model.transform(rows))
-        elif self.canary_centres is not None:
-            placed = rows.withColumn("prediction", nearest_centre(self.canary_features, self.canary_centres))
-            found = silhouette(placed, self.canary_features)
-        else:
+        if self.canary is None:
             return []
-        return [(CLUSTERERS[0], "silhouette", found.first()["silhouette"])]
+        return [(CLUSTERERS[0], "silhouette", baseline_silhouette(rows, self.canary_features, self.canary))]
 
 
 def start(
@@ -153,3 +147,24 @@ def start(
         .foreachBatch(monitor.process)
     )
     return trigger(writer, period_seconds).start()
+
+
+def start_sampling(
+    table: DataFrame, monitor: Monitor, fraction: float, checkpoint: str, period_seconds: float
+) -> StreamingQuery:
+    """Simulate a stream: every period, run the monitor on a fresh sample of a static table.
+
+    Spark's rate source is the clock, and the number of its batch draws the sample, so a
+    batch that is repeated after a failure draws the same rows.
+    """
+    clock = table.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def process(_: DataFrame, batch_id: int) -> None:
+        monitor.process(period_sample(table, monitor.key, batch_id, fraction), batch_id)
+
+    writer = (
+        clock.writeStream.queryName(f"sampling-{monitor.mode}")
+        .option("checkpointLocation", os.path.join(checkpoint, f"sampling-{monitor.mode}"))
+        .foreachBatch(process)
+    )
+    return trigger(writer, period_seconds).start()

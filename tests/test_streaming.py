@@ -14,7 +14,7 @@ from plumbscore.plans.training import fit
 from plumbscore.session import scratch_path
 from plumbscore.sources.files import LoadSpec
 from plumbscore.sources.metric_store import all_metrics
-from plumbscore.streaming.monitor import Monitor, model_scorer, start
+from plumbscore.streaming.monitor import Monitor, model_scorer, start, start_sampling
 from plumbscore.streaming.streams import csv_stream, event_time, parquet_stream, score_counts, start_counts, stop
 
 
@@ -68,7 +68,7 @@ def scorers():
 @pytest.mark.parametrize("mode", ["champion", "abtesting", "multiarm"])
 def test_replayed_batches_change_nothing(spark, folder, mode):
     store = scratch_path(spark, f"replay-{mode}")
-    monitor = Monitor(mode, scorers(), store, "event_id", "ts", canary_centres=[[10.0], [100.0]], canary_features=["x"])
+    monitor = Monitor(mode, scorers(), store, "event_id", "ts", canary=[[10.0], [100.0]], canary_features=["x"])
     rows = monitor_input(spark, folder)
     for batch in (0, 1, 1, 2):
         monitor.process(rows.where(F.col("event_id") % 3 == batch), batch)
@@ -118,7 +118,7 @@ def test_fitted_models_and_canary_in_a_monitor(spark, folder):
     clusters = fit("kmeans", rows, columns=["x"], k=2, seed=1)
     store = scratch_path(spark, "fitted")
     named = {n: model_scorer(m, 1) for n, m in models.items()}
-    Monitor("champion", named, store, "event_id", "ts", canary_model=clusters).process(rows, 0)
+    Monitor("champion", named, store, "event_id", "ts", canary=clusters, canary_features=["x"]).process(rows, 0)
     values = {(r.model, r.metric): r.value for r in all_metrics(spark, store, "champion").collect()}
     assert values["randomForest", "auc"] > 0.95 and values["logisticRegression", "auc"] > 0.9
     assert 0.3 < values["kmeans", "silhouette"] < 1
@@ -155,3 +155,17 @@ def test_start_and_stop_with_a_period(spark, folder, tmp_path):
         stop(query)
     assert not query.isActive
     assert all_metrics(spark, store, "abtesting").where("metric = 'auc'").count() == 1
+
+
+def test_sampling_a_static_table_every_period(spark, folder):
+    store = scratch_path(spark, "sampled")
+    monitor = Monitor("champion", scorers(), store, "event_id", "ts")
+    query = start_sampling(monitor_input(spark, folder), monitor, 0.5, scratch_path(spark, "sampled-check"), 0.5)
+    try:
+        deadline = time.time() + 90
+        while all_metrics(spark, store, "champion").agg(F.count_distinct("batch")).first()[0] < 2 and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        stop(query)
+    found = {r.batch: r.value for r in all_metrics(spark, store, "champion").where("metric = 'auc' and model = 'poor'").collect()}
+    assert len(found) >= 2 and len(set(found.values())) == len(found)
