@@ -118,13 +118,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 ORACLE = """
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents
 ), pieces AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' '))) AS s FROM words
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words
 ), item_words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM benchmark
 ), item_pieces AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' '))) AS s
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS s
   FROM item_words WHERE len(w) >= 5
 ), sizes AS (
   SELECT item_id, count(*) AS n_shingles FROM item_pieces GROUP BY item_id
