@@ -1,6 +1,6 @@
 """Operators for preparing training text, each with a query on the given tables."""
 
-from plumbscore.llm import chat, decontaminate, licenses, packing, quality, simhash, toxicity  # noqa: F401
+from plumbscore.llm import chat, decontaminate, fingerprints, licenses, packing, quality, simhash, toxicity  # noqa: F401
 from plumbscore.llm.registered import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
