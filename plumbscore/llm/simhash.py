@@ -239,7 +239,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 def _one_of_each(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose key is in ``kept``; of rows that repeat a key, the smallest."""
     columns = docs.columns
-    matched = docs.join(kept.withColumnRenamed(key, "__kept"), F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    # The kept keys grow with the documents, so they are never sent to every task.
+    own = kept.withColumnRenamed(key, "__kept").hint("merge")
+    matched = docs.join(own, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
     # Repeated keys are rare, so only they are sorted out.
     again = materialize(matched.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "again")
     if again.isEmpty():
