@@ -190,8 +190,9 @@ def fit(
     Without rows, or with one label only, the tables stay zero and the intercept is the
     smoothed log odds of the labels.
     """
-    x, y = np.asarray(x, dtype=float).reshape(len(y), -1), np.asarray(y, dtype=float)
-    width = x.shape[1] if len(y) else len(FEATURES)
+    y = np.asarray(y, dtype=float)
+    x = np.asarray(x, dtype=float).reshape(len(y), -1 if len(y) else len(FEATURES))
+    width = x.shape[1]
     edges = [_edges(x[:, j], bins) if len(y) else np.empty(0) for j in range(width)]
     coarse = [_edges(x[:, j], coarse_bins) if len(y) else np.empty(0) for j in range(width)]
     share = (y.sum() + 0.5) / (len(y) + 1.0)
@@ -240,8 +241,7 @@ def labelled_sample(labels: DataFrame, key: str, label: str, limit: int = MAX_LA
 def fit_labelled(featured: DataFrame, sample: DataFrame, key: str, label: str, limit: int = MAX_LABELLED) -> AdditiveModel:
     """Fit on the rows of ``sample``, of which at most ``limit`` reach the driver."""
     rows = featured.join(sample, key).orderBy(F.xxhash64(key), key).limit(limit).select("x", label).toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
-    return fit(x, rows[label].to_numpy())
+    return fit(np.array(rows["x"].tolist(), dtype=float), rows[label].to_numpy())
 
 
 def score(featured: DataFrame, model: AdditiveModel) -> DataFrame:
