@@ -27,6 +27,7 @@ from plumbscore.operators.curves import (
     roc_extract,
     roc_points,
     threshold_curve,
+    unscored,
 )
 
 QUANTITY_SQL = """SELECT l_quantity / 50 AS score, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS y,
@@ -238,3 +239,38 @@ def silhouette_by_key(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = silhouette(lines, ["l_quantity", "percent", "tax_percent"], "l_returnflag", ["l_linestatus"])
     return rounded(found, ["silhouette"])
+
+
+GAPS_SQL = """SELECT l_quantity / 50 AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_returnflag AS flag,
+  l_tax = 0 OR l_discount = 0.05 OR l_linenumber IN (1, 2) AS gap FROM lineitem"""
+
+
+@query(
+    "binary_metrics_with_gaps",
+    f"""WITH {summary_sql(f"SELECT score, y FROM ({GAPS_SQL}) AS t WHERE NOT gap")}
+    SELECT {SUMMARY_COLUMNS}, (SELECT count(*) FROM ({GAPS_SQL}) AS t WHERE gap) AS unscored FROM s""",
+)
+def binary_metrics_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Null and NaN scores and labels are left out of the curve and counted."""
+    nan = F.lit(float("nan"))
+    score = F.when(F.col("l_tax") == 0, nan).when(F.col("l_discount") == 0.05, None).otherwise(F.col("l_quantity") / 50)
+    y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
+    y = F.when(F.col("l_linenumber") == 1, None).when(F.col("l_linenumber") == 2, nan).otherwise(y)
+    pairs = table(spark, folder, "lineitem").select(score.alias("score"), y.alias("y"))
+    found = rounded(binary_metrics(pairs), SUMMARY_DOUBLES)
+    return found.select("*", unscored(pairs).scalar().alias("unscored"))
+
+
+HOT_SQL = """SELECT l_extendedprice AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+  CASE WHEN l_linenumber <= 2 THEN -1 ELSE l_suppkey END AS key FROM lineitem"""
+
+
+@query("binary_metrics_hot_key", f"WITH {summary_sql(HOT_SQL, ['key'])} SELECT key, {SUMMARY_COLUMNS} FROM s")
+def metrics_hot_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures per key on a fine score; one key holds about a third of all rows and is cut into slices."""
+    pairs = table(spark, folder, "lineitem").select(
+        F.col("l_extendedprice").alias("score"),
+        F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"),
+        F.when(F.col("l_linenumber") <= 2, F.lit(-1).cast("long")).otherwise(F.col("l_suppkey")).alias("key"),
+    )
+    return rounded(binary_metrics(pairs, keys=["key"], rows_per_slice=1_000), SUMMARY_DOUBLES)

@@ -246,15 +246,15 @@ def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "parse_values",
     """SELECT p_partkey, TRY_CAST(p_retailprice || '' AS DOUBLE) AS price, TRY_CAST(p_name AS DOUBLE) AS name_number,
-       TRY_CAST('2024-01-' || p_size AS TIMESTAMP) AS day FROM part WHERE p_size >= 10""",
+       TRY_CAST('2024-01-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS TIMESTAMP) AS day FROM part""",
 )
 def parse_values(spark: SparkSession, folder: str) -> DataFrame:
     """Text to numbers and times; what does not parse is null."""
-    part = table(spark, folder, "part").where("p_size >= 10").select(
+    part = table(spark, folder, "part").select(
         "p_partkey",
         "p_name",
         F.col("p_retailprice").cast("string").alias("price_text"),
-        F.concat(F.lit("2024-01-"), F.col("p_size").cast("string")).alias("day_text"),
+        F.concat(F.lit("2024-01-"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("day_text"),
     )
     return part.select(
         "p_partkey",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbscore.catalog.registered import query, table
 from plumbscore.operators.aggregates import row_count
-from plumbscore.session import scratch_path
+from plumbscore.session import materialize, scratch_path
 from plumbscore.sources.files import (
     LoadSpec,
     TableCache,
@@ -48,12 +48,12 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "csv_headerless",
     """SELECT CAST(p_partkey AS VARCHAR) AS _c0, p_name AS _c1, p_brand AS _c2, p_type AS _c3,
-       CAST(p_size AS VARCHAR) AS _c4 FROM part""",
+       CAST(p_size AS VARCHAR) AS _c4, p_retailprice AS _c5 FROM part""",
 )
 def csv_headerless(spark: SparkSession, folder: str) -> DataFrame:
     """A tab-separated file without header: numbered columns of text."""
     path = _csv_copy(spark, folder, "part", header=False, sep="\t")
-    return load_csv(spark, LoadSpec(path, sep="\t")).select("_c0", "_c1", "_c2", "_c3", "_c4")
+    return load_csv(spark, LoadSpec(path, sep="\t")).withColumn("_c5", F.col("_c5").cast("double"))
 
 
 @query(
@@ -66,11 +66,15 @@ def load_cached(spark: SparkSession, folder: str) -> DataFrame:
     cache = TableCache(spark)
     spec = LoadSpec(_csv_copy(spark, folder, "orders"), True, ",", True)
     first, second = cache.load(spec), cache.load(spec)
-    cache.release()
     both = first.select("o_orderstatus", "o_totalprice").unionAll(second.select("o_orderstatus", "o_totalprice"))
-    return both.groupBy("o_orderstatus").agg(
+    counted = both.groupBy("o_orderstatus").agg(
         F.count("*").alias("row_copies"), F.round(F.sum("o_totalprice"), 2).alias("total")
     )
+    if "InMemoryTableScan" not in counted._jdf.queryExecution().executedPlan().toString():
+        raise RuntimeError("the load was not read from the cache")
+    found = materialize(counted, "cached")
+    cache.release()
+    return found
 
 
 @query(
@@ -140,7 +144,7 @@ def requests_from_json(spark: SparkSession, folder: str) -> DataFrame:
     "select_models",
     """SELECT p_partkey, p_brand AS model FROM part WHERE p_brand IN (
          SELECT trim(unnest(string_split('Brand#' || c_nationkey || ', Brand#' || (c_custkey % 5), ',')))
-         FROM customer WHERE c_acctbal > 9000)""",
+         FROM customer)""",
 )
 def select_models(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of a listing that are named in comma-separated selections."""
@@ -148,7 +152,7 @@ def select_models(spark: SparkSession, folder: str) -> DataFrame:
     names = F.concat(
         F.lit("Brand#"), F.col("c_nationkey").cast("string"), F.lit(", Brand#"), (F.col("c_custkey") % 5).cast("string")
     )
-    requests = table(spark, folder, "customer").where("c_acctbal > 9000").select(names.alias("names"))
+    requests = table(spark, folder, "customer").select(names.alias("names"))
     return select_by_requests(listing, requests, "names")
 
 
@@ -179,10 +183,10 @@ def metric_sink(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "metric_scan",
     """SELECT event_id AS seq, ts AS date, event_type AS model, 'value' AS metric, value, event_id % 4 AS batch
-       FROM events ORDER BY event_id LIMIT 1000""",
+       FROM events""",
 )
 def metric_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 1000 stored metrics by number."""
+    """All stored metrics in order."""
     root = scratch_path(spark, "metrics")
     append_metrics(_event_metrics(spark, folder), root, "abtesting")
     return read_metrics(spark, root, "abtesting")
@@ -191,7 +195,7 @@ def metric_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "metrics_latest",
     """SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderdate AS date, o_totalprice AS value
-       FROM orders ORDER BY o_orderkey LIMIT 1000""",
+       FROM orders ORDER BY o_orderkey DESC LIMIT 1000""",
 )
 def metrics_latest(spark: SparkSession, folder: str) -> DataFrame:
     """Document numbers kept as text sort as numbers."""
@@ -200,7 +204,7 @@ def metrics_latest(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("value"),
     )
-    return latest_metrics(documents, "_id")
+    return latest_metrics(documents, "_id", 1000)
 
 
 @query(

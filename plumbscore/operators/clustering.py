@@ -14,6 +14,7 @@ from plumbscore.session import materialize
 
 UNROLLED_TERMS = 128
 
+
 def vector_columns(array: str, size: int) -> list[Column]:
     """The elements of an array column as double columns."""
     return [F.col(array)[i].cast("double") for i in range(size)]
@@ -58,9 +59,10 @@ def cluster_sums(
 def vector_silhouette(df: DataFrame, features: str = "features", cluster: str = "prediction") -> DataFrame:
     """``(rows, clusters, silhouette)`` of a whole table; null below two clusters.
 
-    Runs Spark's evaluator on a vector column and a numeric cluster column.
+    Runs Spark's evaluator on a vector column and a numeric cluster column. Rows without a
+    cluster are left out; ``unclustered`` counts them.
     """
-    table = df.select(features, F.col(cluster).cast("double").alias(cluster))
+    table = df.where(F.col(cluster).isNotNull()).select(features, F.col(cluster).cast("double").alias(cluster))
     found = table.agg(F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters")).first()
     value = None
     if found["clusters"] >= 2:
@@ -70,6 +72,11 @@ def vector_silhouette(df: DataFrame, features: str = "features", cluster: str =
     )
 
 
+def unclustered(df: DataFrame, cluster: str = "prediction", keys: Sequence[str] = ()) -> DataFrame:
+    """Number of rows per key that have no cluster."""
+    return df.groupBy(*keys).agg(F.count_if(F.col(cluster).isNull()).alias("unclustered"))
+
+
 def silhouette(
     df: DataFrame, features: Sequence[str | Column], cluster: str = "prediction", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -77,9 +84,11 @@ def silhouette(
 
     Two passes over the rows and no row pairs: the mean squared distance of x to a cluster
     is |x|^2 + q/n - 2 x.s/n, from the sums of that cluster. Without keys the whole table
-    goes through :func:`vector_silhouette`.
+    goes through :func:`vector_silhouette`. Rows without a cluster are left out whatever the
+    number of clusters; ``unclustered`` counts them.
     """
     columns = _doubles(features)
+    df = df.where(F.col(cluster).isNotNull())
     if not keys:
         return vector_silhouette(df.select(array_to_vector(F.array(*columns)).alias("features"), cluster), "features", cluster)
 

@@ -30,26 +30,31 @@ def score_pairs(
     return scored.select(
         *keep,
         vector_to_array(probability)[positive_label].alias("score"),
-        F.when(F.col(label) == positive_label, 1.0).otherwise(0.0).alias("y"),
+        # A row without a label stays without one.
+        F.when(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")), (F.col(label) == positive_label).cast("double")).alias("y"),
     )
 
 
 def binary_counts(df: DataFrame, score: str = "score", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     """Positives ``p`` and negatives ``n`` per key and distinct score; y > 0.5 is positive.
 
-    Counts add up, so batches can be counted apart and summed. Rows without a score or a
-    label cannot stand on a curve and are left out; ``unscored`` counts them.
+    Counts add up, so batches can be counted apart and summed. Rows whose score or label is
+    null or NaN cannot stand on a curve and are left out; ``unscored`` counts them.
     """
     return (
-        df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+        df.where(~_lacks(score) & ~_lacks(y))
         .groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(y) > 0.5).alias("p"), F.count_if(F.col(y) <= 0.5).alias("n"))
     )
 
 
 def unscored(df: DataFrame, score: str = "score", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
-    """Number of rows per key that lack a score or a label."""
-    return df.groupBy(*keys).agg(F.count_if(F.col(score).isNull() | F.col(y).isNull()).alias("unscored"))
+    """Number of rows per key that lack a score or a label: null or NaN."""
+    return df.groupBy(*keys).agg(F.count_if(_lacks(score) | _lacks(y)).alias("unscored"))
+
+
+def _lacks(column: str) -> Column:
+    return F.col(column).isNull() | F.isnan(F.col(column).cast("double"))
 
 
 def threshold_curve(
@@ -162,7 +167,7 @@ def binary_summary(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     f1 = _f_score()
     best_f1 = F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("negated")))
     # tpr - fpr times pos * neg: whole numbers, so equal distances tie.
-    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
+    tp, fp, pos, neg = (F.col(c).cast("decimal(18,0)") for c in ("tp", "fp", "pos", "neg"))
     height = tp * neg - fp * pos
     best_ks = F.max(F.struct(height.alias("height"), "fp", "tp", _fpr().alias("fpr"), _tpr().alias("tpr")))
     end = F.struct(F.lit(0.0).alias("ks"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))

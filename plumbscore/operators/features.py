@@ -32,6 +32,11 @@ def check_features(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError("features must be numbers; load the file with inferred types or leave out: " + ", ".join(wrong))
 
 
+def _as_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Truth values as 0 and 1, so that missing ones are filled like missing numbers."""
+    return df.withColumns({f: F.col(f).cast("int") for f in features if isinstance(df.schema[f].dataType, T.BooleanType)})
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A fitted assembler and indexer with the table they produced."""
@@ -52,7 +57,7 @@ def prepare(df: DataFrame, target: str, columns: Sequence[str] | None = None) ->
     features = feature_columns(df, target, columns)
     check_features(df, features)
     missing = df.agg(F.count_if(F.col(target).isNull()).alias("rows_without_target"))
-    known = fill_numbers(df.where(F.col(target).isNotNull()), features)
+    known = fill_numbers(_as_numbers(df.where(F.col(target).isNotNull()), features), features)
     indexer = StringIndexer(inputCol=target, outputCol="label")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     model = Pipeline(stages=[assembler, indexer]).fit(known)
@@ -61,7 +66,7 @@ def prepare(df: DataFrame, target: str, columns: Sequence[str] | None = None) ->
 
 def feature_array(df: DataFrame, features: Sequence[str], output: str = "feature_array") -> DataFrame:
     """The filled features as an array of doubles, in column order."""
-    filled = fill_numbers(df, features)
+    filled = fill_numbers(_as_numbers(df, features), features)
     return filled.withColumn(output, F.array(*[F.col(f).cast("double") for f in features]))
 
 

@@ -148,14 +148,27 @@ def ab_compare(rates: DataFrame, models: Sequence[str], keys: Sequence[str] = ()
     return compared.select(*keys, "pair.*").withColumn("significant", F.abs("z") > F.lit(Z_95))
 
 
+MAX_MODELS = 1000
+
+
 def hedge_splits(
     metrics: DataFrame, eta: float = 1.0, time: str = "date", model: str = "model", value: str = "auc"
 ) -> DataFrame:
     """Traffic shares ``split`` per window by exponential weights of all earlier values.
 
     The share is proportional to exp(eta * sum of earlier values), as in Hedge (Freund and
-    Schapire, 1997); the first window shares equally.
+    Schapire, 1997); the first window shares equally. A model without a value in a window
+    gains 0.5 there, as in the streaming monitor, and keeps its share. There are at most
+    ``MAX_MODELS`` models.
     """
+    names = sorted(r[0] for r in metrics.select(model).distinct().limit(MAX_MODELS + 1).collect() if r[0] is not None)
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    if names:
+        listed = F.explode(F.array(*[F.lit(n) for n in names])).alias(model)
+        known = metrics.groupBy(time, model).agg(F.max(value).alias(value))
+        grid = known.select(time).distinct().select(time, listed)
+        metrics = grid.join(known, [time, model], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.5)))
     summed = running(metrics.select(time, model, value), time, [Running("gain", value, "sum_before")], keys=[model])
     window = Window.partitionBy(time)
     weighed = summed.withColumn("__w", F.exp(F.lit(float(eta)) * (F.col("gain") - F.max("gain").over(window))))

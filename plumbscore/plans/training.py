@@ -161,13 +161,16 @@ def train_evaluate(
     data_dir: str = "",
     positive_label: int = 0,
     roc_size: int = 1000,
+    roc_mode: str = "even",
     **params: Any,
 ) -> DataFrame:
     """Split, fit, save, score and measure; one row with the result.
 
     Rows are split by a hash of ``key``, or of all columns without one, salted by the seed
     unless ``split_salt`` is given; ``random=True`` takes Spark's own split. Models go below
-    ``data_dir``, nothing is saved without it.
+    ``data_dir``, nothing is saved without it. The result holds about ``roc_size`` points of the
+    ROC: spread over all thresholds with both ends, or the first ones if ``roc_mode`` is ``first``.
+    Rows without a target are left out and counted in ``rowsWithoutTarget``.
     """
     prepared = prepare(df, target, columns)
     if random:
@@ -188,7 +191,7 @@ def train_evaluate(
         return vector_silhouette(clustered).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
 
     curve = threshold_curve(binary_counts(score_pairs(scored, positive_label=positive_label)))
-    points = roc_extract(curve, roc_size).agg(
+    points = roc_extract(curve, roc_size, roc_mode).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("threshold")).alias("order"), "fpr", "tpr"))).alias("points")
     )
     result = binary_summary(curve).select(
@@ -202,6 +205,7 @@ def train_evaluate(
         points.select(F.transform("points", lambda p: F.struct(p["fpr"].alias("fpr"), p["tpr"].alias("tpr"))))
         .scalar()
         .alias("roc"),
+        prepared.rows_without_target.scalar().alias("rowsWithoutTarget"),
     )
     if name == "logisticRegression":
         weights_by_feature = {

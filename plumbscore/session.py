@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,8 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        # Several processes, as in local-cluster, need a shared folder like any cluster.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbscore-"))
         folder = context.getCheckpointDir()
@@ -63,14 +65,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Repartition by ``keys`` so that every core has work in an iterative fit.
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a small table by ``keys`` so that every core has work in an iterative fit.
-
-    For tables read straight from files: a small file may be one partition. Tables of at
-    least two partitions per core stay as they are, so large inputs are never shuffled.
+    Into ``partitions``, or as many as ``spark.sql.shuffle.partitions`` states, so a seeded
+    fit does not depend on how the table was stored or on the size of the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *keys)
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The fields of a load request.
 REQUEST_SCHEMA = T.StructType(
     [
         T.StructField("filepath", T.StringType()),

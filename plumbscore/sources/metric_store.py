@@ -12,9 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names of the deployment modes.
 MODES = ("champion", "abtesting", "multiarm")
 METRIC_SCHEMA = "seq bigint, date timestamp_ntz, model string, metric string, value double, batch bigint"
-READ_LIMIT = 1000
 
 
 def _folder(root: str, mode: str) -> str:
@@ -66,14 +66,23 @@ def batch_metrics(spark: SparkSession, root: str, mode: str, batch: int) -> Data
     return _read(spark, _folder(root, mode), f"batch={batch}")
 
 
-def read_metrics(spark: SparkSession, root: str, mode: str, limit: int = READ_LIMIT) -> DataFrame:
-    """The first ``limit`` rows of a mode by sequence number."""
-    return latest_metrics(all_metrics(spark, root, mode), "seq", limit)
+def read_metrics(spark: SparkSession, root: str, mode: str, newest: int | None = None) -> DataFrame:
+    """The series of a mode in order; all of it, or the rows of the ``newest`` sequence numbers."""
+    return latest_metrics(all_metrics(spark, root, mode), "seq", newest)
 
 
-def latest_metrics(df: DataFrame, sequence: str, limit: int = READ_LIMIT) -> DataFrame:
-    """The first ``limit`` rows by a sequence number that may be stored as text."""
-    return df.orderBy(F.col(sequence).try_cast("bigint")).limit(limit)
+def latest_metrics(df: DataFrame, sequence: str, newest: int | None = None) -> DataFrame:
+    """Rows ordered by a sequence number that may be stored as text, then by all other columns.
+
+    With ``newest``, only those of that many of the highest numbers; rows that share a number stay
+    together, so a batch is never cut.
+    """
+    number = F.col(sequence).try_cast("bigint")
+    chosen = df
+    if newest is not None:
+        highest = df.select(number.alias("__number")).distinct().orderBy(F.desc_nulls_last("__number")).limit(newest)
+        chosen = df.join(F.broadcast(highest.agg(F.min("__number").alias("__least"))), number >= F.col("__least")).drop("__least")
+    return chosen.orderBy(number, *[c for c in df.columns if c != sequence])
 
 
 def purge_metrics(spark: SparkSession, root: str, mode: str) -> None:

@@ -47,7 +47,7 @@ def registry(spark: SparkSession, models_dir: str) -> DataFrame:
         return F.element_at(folders, -from_end)
 
     return found.select(
-        F.url_decode(folder(5)).alias("model"),
+        F.url_decode(F.replace(folder(5), F.lit("+"), F.lit("%2B"))).alias("model"),
         F.element_at(F.split(folder(3), "_"), 1).cast("int").alias("stage"),
         F.get_json_object("value", "$.class").alias("class"),
         F.get_json_object("value", "$.uid").alias("uid"),

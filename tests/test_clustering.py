@@ -83,3 +83,16 @@ def test_nearest_centre(spark):
     found = df.select(nearest_centre(["x", "y"], [[0, 0], [10, 10], [10, 10]]).alias("c")).collect()
     assert [r.c for r in found] == [0, 1, 0]
     assert df.select(nearest_centre(["x"], [[1]]).alias("c")).distinct().collect()[0].c == 0
+
+
+@pytest.mark.parametrize("clusters", [3, 130])
+def test_rows_without_a_cluster_are_left_out(spark, clusters):
+    rows = [("k", i % clusters, float(i), float(i * i % 17)) for i in range(300)]
+    holes = [("k", None, 5.0, 5.0), ("k", None, 1.0, 2.0)]
+    schema = "key string, prediction int, a double, b double"
+    whole, holed = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + holes, schema)
+    for keys in (("key",), ()):
+        wanted, found = (silhouette(t, ["a", "b"], keys=keys).first() for t in (whole, holed))
+        assert found.asDict() == pytest.approx(wanted.asDict()) if not keys else found.rows == wanted.rows == 300
+        assert found.silhouette == pytest.approx(wanted.silhouette)
+    assert clustering.unclustered(holed).first().unclustered == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.evaluation import BinaryClassificationMetrics
 
@@ -165,3 +166,24 @@ def test_extracts(spark):
     assert roc_extract(curve, 10_000, "even").count() == 302
     with pytest.raises(ValueError):
         roc_extract(curve, 5, "odd")
+
+
+def test_gaps_are_left_out_and_counted(spark):
+    nan = float("nan")
+    rows = [(0.9, 1.0), (0.4, 0.0), (0.7, 1.0), (nan, 0.0), (0.8, nan), (None, 1.0), (0.5, None)]
+    df = spark.createDataFrame(rows, "score double, y double")
+    found = binary_metrics(df).first()
+    assert (found.positives, found.negatives, found.auc) == (2, 1, 1.0)
+    assert unscored(df).first().unscored == 4
+    scored = spark.createDataFrame([(1.0, [0.7, 0.3]), (None, [0.2, 0.8])], "label double, p array<double>")
+    pairs = score_pairs(scored.withColumn("probability", array_to_vector("p")), positive_label=1)
+    assert [(r.score, r.y) for r in pairs.collect()] == [(0.3, 1.0), (0.8, None)]
+
+
+def test_ks_ties_are_exact_on_billions(spark):
+    big = 3_000_000_000
+    # Equal distances at the first and second step; the point furthest along the curve counts.
+    rows = [(0.9, big // 3, 0), (0.8, 1, 1), (0.7, big - big // 3 - 1, big - 1)]
+    counts = spark.createDataFrame(rows, "score double, p long, n long")
+    found = binary_summary(threshold_curve(counts)).first()
+    assert found.ks_fpr == 1 / big and found.ks_tpr == (big // 3 + 1) / big

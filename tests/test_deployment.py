@@ -130,3 +130,11 @@ def test_nearest_without_keys_or_series(spark):
     assert got == {1: (4.0, 1.0), 2: (None, None)}
     empty = nearest(probes, series.where("false"), "t", "v").collect()
     assert len(empty) == 2 and all(r.nearest_time is None for r in empty)
+
+
+def test_a_missing_model_gains_half(spark):
+    rows = [(1, "a", 0.7), (1, "b", 0.7), (2, "a", 0.5), (3, "a", 0.6), (3, "b", 0.6)]
+    metrics = spark.createDataFrame(rows, "day int, model string, auc double").selectExpr("make_timestamp_ntz(2024, 1, day, 0, 0, 0) AS date", "model", "auc")
+    found = {(r.date.day, r.model): (r.gain, r.split) for r in hedge_splits(metrics).collect()}
+    assert len(found) == 6 and found[3, "b"][1] == pytest.approx(0.5)
+    assert found[3, "a"][0] == pytest.approx(found[3, "b"][0]) == pytest.approx(1.2)

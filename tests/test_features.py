@@ -142,3 +142,9 @@ def test_series(spark):
     wide = wide_metrics(df, "t", "m", "v", ["a", "b"])
     assert [tuple(r) for r in wide.orderBy("t").collect()] == [(1, 2.0, None), (3, 4.0, None)]
     assert series_top(wide, ["a", "b"]).first()[0] == pytest.approx(4.4)
+
+
+def test_missing_truth_values_become_zero(spark):
+    df = spark.createDataFrame([(True, 1.0, "a"), (None, None, "a"), (False, 3.0, "b")], "flag boolean, x double, target string")
+    made = prepare(df, "target").data.select("features").collect()
+    assert sorted(tuple(r.features) for r in made) == [(0.0, 0.0), (0.0, 3.0), (1.0, 1.0)]

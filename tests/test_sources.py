@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbscore.operators.aggregates import row_count
 from plumbscore.session import materialize, scratch_path, spread, work_dir
@@ -118,7 +119,7 @@ def test_metric_store(spark):
     append_metrics(metric_rows(spark, [100, 2]), root, "champion", 2)
     append_metrics(metric_rows(spark, [5]), root, "multiarm", 1)
     assert [r.seq for r in read_metrics(spark, root, "champion").collect()] == [2, 9, 10, 100]
-    assert [r.seq for r in read_metrics(spark, root, "champion", 2).collect()] == [2, 9]
+    assert [r.seq for r in read_metrics(spark, root, "champion", 2).collect()] == [10, 100]
     purge_metrics(spark, root, "champion")
     assert all_metrics(spark, root, "champion").count() == 0 and all_metrics(spark, root, "multiarm").count() == 1
     append_metrics(metric_rows(spark, [7]), root, "champion", 3)
@@ -129,7 +130,16 @@ def test_metric_store(spark):
 
 def test_text_numbers_sort_as_numbers(spark):
     df = spark.createDataFrame([("10",), ("9",), ("100",)], "id string")
-    assert [r.id for r in latest_metrics(df, "id", 2).collect()] == ["9", "10"]
+    assert [r.id for r in latest_metrics(df, "id", 2).collect()] == ["10", "100"]
+    assert [r.id for r in latest_metrics(df, "id").collect()] == ["9", "10", "100"]
+
+
+def test_metrics_are_not_cut(spark):
+    root = scratch_path(spark, "test-metrics")
+    for batch in range(3):
+        append_metrics(metric_rows(spark, [batch] * 600), root, "champion", batch)
+    assert read_metrics(spark, root, "champion").count() == 1800
+    assert {r.seq for r in read_metrics(spark, root, "champion", 2).collect()} == {1, 2}
 
 
 def test_materialize_and_folder(spark):
@@ -139,5 +149,7 @@ def test_materialize_and_folder(spark):
 
 
 def test_spread(spark):
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(100, numPartitions=8), "id").rdd.getNumPartitions() == 8
+    for given in (1, 8):
+        for keys in ((), ("id",)):
+            parts = spread(spark.range(100, numPartitions=given), *keys, partitions=6)
+            assert parts.select(F.spark_partition_id()).distinct().count() == 6
