@@ -28,6 +28,7 @@ from plumbscore.llm.registered import query, table
 from plumbscore.session import materialize, scratch_path
 
 BINS = 4096
+MAX_TASKS = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,7 +38,7 @@ class WarcSpec:
 
     prefix: str = "pages"
     roll_bytes: int = 64 * 1024 * 1024
-    rows_per_shard: int = 20_000
+    rows_per_shard: int = 5_000
     min_revisit_bytes: int = 0
     level: int = 6
     date: str = "2024-01-01T00:00:00Z"
@@ -227,8 +228,7 @@ def write_archives(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec(), key
     fs, folder = filesystem(path)
     fs.create_dir(f"{folder}/_temporary", recursive=True)
     records, shards = _sharded(plan_records(pages, key, url, payload, spec.min_revisit_bytes), spec.rows_per_shard)
-    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    ordered = records.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "page_id", "url", "sha1")
+    ordered = records.repartitionByRange(min(shards, MAX_TASKS), "shard").sortWithinPartitions("shard", "page_id", "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
