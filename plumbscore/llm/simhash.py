@@ -217,7 +217,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     Texts are linked if any of ``how_many`` independent weighted word fingerprints differ in at most ``radius``
     bits. One majority fingerprint of word shingles would miss most copies of which every twentieth
     word was changed; ten independent ones at two bits find about nine in ten pairs of texts
-    that share four fifths of their five-word shingles, and still link no unrelated ones.
+    that share four fifths of their five-word shingles, and link hardly any unrelated ones.
 
     The document with the smallest key stays (of repeated rows one; null keys come last).
     Texts without words are copies of each other.
