@@ -102,7 +102,7 @@ POINTS_SQL = """SELECT event_id, date_trunc('day', ts) AS date, floor(value) AS
 CENTRES_SQL = "VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(CENTRES))
 
 
-def _pairwise_sql(points: str, key: str) -> str:
+def pairwise_sql(points: str, key: str) -> str:
     """CTEs up to ``sil``: silhouette per key from all pairs of points."""
     return f"""
     pts AS ({points}),
@@ -124,9 +124,9 @@ def _pairwise_sql(points: str, key: str) -> str:
 
 @query(
     "canary",
-    f"""WITH base AS (WITH {_pairwise_sql(f"SELECT event_id, 1 AS one, x1, x2 FROM ({POINTS_SQL}) AS p "
+    f"""WITH base AS (WITH {pairwise_sql(f"SELECT event_id, 1 AS one, x1, x2 FROM ({POINTS_SQL}) AS p "
                                           f"WHERE date < TIMESTAMP '2024-01-04'", "one")} SELECT silhouette FROM sil),
-        {_pairwise_sql(POINTS_SQL, "date")}
+        {pairwise_sql(POINTS_SQL, "date")}
         SELECT sil.date, sil.rows, (SELECT count(*) FROM sizes WHERE sizes.date = sil.date) AS clusters,
           round(sil.silhouette, 6) AS silhouette, round(sil.silhouette - (SELECT silhouette FROM base), 6) AS drift,
           abs(sil.silhouette - (SELECT silhouette FROM base)) > 0.01 AS drifted FROM sil""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from plumbscore.operators.features import hash_split, prepare
 from plumbscore.plans.deployment import baseline_silhouette, canary, champion, window_metrics
 from plumbscore.plans.training import coefficient_table, fit, fit_score, score, score_all, train_evaluate
 from plumbscore.session import materialize, scratch_path, spread
-from plumbscore.sources.model_store import load_model, model_path, registry, save_model
+from plumbscore.sources.model_store import feature_pipeline_path, load_model, model_path, registry, save_model
 
 DEPLOYED = {"logisticRegression": {}, "neuralNetwork": {"seed": 1}, "randomForest": {"seed": 1}}
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -157,14 +158,43 @@ def lr_coefficients(spark: SparkSession, folder: str) -> DataFrame:
     return coefficient_table(prepared.data, model, features)
 
 
-@query("model_registry")
+@query("lr_coefficients_rebuilt", "SELECT l_returnflag, count(*) AS rows, CAST(0 AS BIGINT) AS unlike FROM lineitem GROUP BY 1")
+def lr_coefficients_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities rebuilt from the table of weights are those of the model."""
+    features = ["l_quantity", "l_discount", "l_tax"]
+    prepared = prepare(table(spark, folder, "lineitem"), "l_returnflag", features)
+    model = fit("logisticRegression", prepared.data)
+    weights = {(r["class"], r["feature"]): r["weight"] for r in coefficient_table(prepared.data, model, features).collect()}
+    scored = score(model, prepared.data).withColumn("p", vector_to_array("probability"))
+    grown = []
+    for label in range(len(prepared.labels)):
+        margin = F.lit(weights[label, "Intercept"])
+        for name in features:
+            margin = margin + F.col(name) * weights[label, name]
+        grown.append(F.exp(margin).alias(f"e{label}"))
+    rebuilt = scored.select("l_returnflag", "p", *grown)
+    total = sum((F.col(f"e{label}") for label in range(len(grown))), F.lit(0.0))
+    unlike = F.lit(False)
+    for label in range(len(grown)):
+        unlike = unlike | (F.abs(F.col("p")[label] - F.col(f"e{label}") / total) > 1e-9)
+    return rebuilt.groupBy("l_returnflag").agg(F.count("*").alias("rows"), F.count_if(unlike).alias("unlike"))
+
+
+@query(
+    "model_registry",
+    """SELECT * FROM (VALUES
+         ('kmeans', 0, 'org.apache.spark.ml.feature.VectorAssembler'),
+         ('kmeans', 1, 'org.apache.spark.ml.clustering.KMeansModel'),
+         ('logistic+regression 1', 0, 'org.apache.spark.ml.feature.VectorAssembler'),
+         ('logistic+regression 1', 1, 'org.apache.spark.ml.classification.LogisticRegressionModel')) AS v(model, stage, class)""",
+)
 def model_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Two models saved and listed by stage."""
     root = scratch_path(spark, "registry")
     orders = grouped_orders(spark, folder)
     save_model(fit("kmeans", orders, columns=["x"], seed=1), model_path(root, "kmeans"))
     lines = rule_lines(spark, folder).withColumnRenamed("target", "label")
-    save_model(fit("logisticRegression", lines, columns=["l_quantity"]), model_path(root, "logisticRegression"))
+    save_model(fit("logisticRegression", lines, columns=["l_quantity"]), model_path(root, "logistic+regression 1"))
     return registry(spark, model_path(root, "")).select("model", "stage", "class")
 
 
@@ -212,6 +242,96 @@ def deployed_models(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(champion(window_metrics(pairs, "l_shipdate", "30 days")), ["winner_value"])
 
 
+NOISY_TARGET = """CASE WHEN (l_orderkey * 7 + l_linenumber) % 5 = 0 THEN 1 - {rule} ELSE {rule} END"""
+PRICE_TARGET = NOISY_TARGET.format(rule="CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END")
+PRICE_SQL = f"SELECT l_extendedprice AS price, {PRICE_TARGET} AS target, {LINE_HASH} >= 0.8 AS test FROM lineitem"
+
+
+@query(
+    "train_evaluate_noisy",
+    f"""WITH lines AS ({PRICE_SQL}),
+        majority AS (SELECT target FROM lines GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1),
+        {summary_sql("SELECT CASE WHEN (FROM majority) = 1 THEN price ELSE -price END AS score, "
+                     "CASE WHEN target = (FROM majority) THEN 1 ELSE 0 END AS y FROM lines WHERE test")}
+        SELECT positives, negatives, round(auc, 6) AS auc, round(auprc, 6) AS auprc, round(max_f1, 6) AS max_f1,
+          round(ks_fpr, 6) AS ks_fpr, round(ks_tpr, 6) AS ks_tpr, round(max_ks, 6) AS max_ks,
+          1e0 AS last_fpr, 1e0 AS last_tpr, CASE WHEN (FROM majority) = 1 THEN -1e0 ELSE 1e0 END AS slope,
+          CAST(0 AS BIGINT) AS without_target, (SELECT count(*) FROM lines) AS reloaded_alike FROM s""",
+)
+def train_evaluate_noisy(spark: SparkSession, folder: str) -> DataFrame:
+    """A job on a target with noise: one feature with many values ranks like that feature; its models are saved.
+
+    The ROC must reach (1, 1), and the saved models, loaded again, must tell the classes as the feature does.
+    """
+    data_dir = scratch_path(spark, "noisy")
+    lines = table(spark, folder, "lineitem").select(*LINE_KEY, "l_extendedprice", F.expr(PRICE_TARGET).alias("target"))
+    result = train_evaluate(
+        lines, "target", "logisticRegression", ["l_extendedprice"], LINE_KEY, split_salt="split", data_dir=data_dir
+    )
+    prepared = load_model(feature_pipeline_path(data_dir)).transform(lines)
+    loaded = score(load_model(model_path(data_dir, "logisticRegression")), prepared, "p", 1)
+    slope = F.signum(F.element_at("coefficients", "l_extendedprice"))
+    middle = loaded.agg(F.max(F.when(F.col("p") > 0.5, F.col("l_extendedprice"))).alias("high"),
+                        F.min(F.when(F.col("p") <= 0.5, F.col("l_extendedprice"))).alias("low"),
+                        F.min(F.when(F.col("p") > 0.5, F.col("l_extendedprice"))).alias("high_from"),
+                        F.max(F.when(F.col("p") <= 0.5, F.col("l_extendedprice"))).alias("low_to"),
+                        F.count("*").alias("rows"))
+    # The probability is monotone in the only feature: one side of some price is one class.
+    alike = middle.select(F.when((F.col("high_from") > F.col("low_to")) | (F.col("high") < F.col("low")), F.col("rows")))
+    found = result.select(
+        "positives",
+        "negatives",
+        F.col("areaUnderROC").alias("auc"),
+        "auprc",
+        F.col("maxF1.f1").alias("max_f1"),
+        F.col("maxKS.fpr").alias("ks_fpr"),
+        F.col("maxKS.tpr").alias("ks_tpr"),
+        F.col("maxKS.ks").alias("max_ks"),
+        F.element_at("roc", -1)["fpr"].alias("last_fpr"),
+        F.element_at("roc", -1)["tpr"].alias("last_tpr"),
+        slope.alias("slope"),
+        F.col("rowsWithoutTarget").alias("without_target"),
+        alike.scalar().alias("reloaded_alike"),
+    )
+    return rounded(found, ["auc", "auprc", "max_f1", "ks_fpr", "ks_tpr", "max_ks"])
+
+
+FEATURE_NAMES = {"by_discount": "l_discount", "by_price": "l_extendedprice", "by_quantity": "l_quantity"}
+MONTH_RULE = """CASE CAST(floor(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) / 30) AS INTEGER) % 3
+    WHEN 0 THEN CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END
+    WHEN 1 THEN CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END
+    ELSE CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END END"""
+MONTH_TARGET = NOISY_TARGET.format(rule=MONTH_RULE)
+BY_FEATURE_SQL = f"""SELECT m.model, time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS date,
+    CASE m.model WHEN 'by_discount' THEN l_discount WHEN 'by_price' THEN l_extendedprice ELSE l_quantity END AS score,
+    {MONTH_TARGET} AS y FROM lineitem, (VALUES ('by_discount'), ('by_price'), ('by_quantity')) AS m(model)"""
+
+
+@query(
+    "deployed_models_by_feature",
+    f"""WITH {summary_sql(BY_FEATURE_SQL, ["date", "model"])},
+        r AS (SELECT date, model, auc, row_number() OVER (PARTITION BY date ORDER BY auc DESC, model) AS place FROM s)
+        SELECT date, model AS winner, round(auc, 6) AS winner_value, lag(model) OVER (ORDER BY date) AS champion
+        FROM r WHERE place = 1""",
+)
+def deployed_models_by_feature(spark: SparkSession, folder: str) -> DataFrame:
+    """Three models, each trained on one feature; which of them is best changes every 30 days."""
+    rule = MONTH_TARGET.replace("datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))", "unix_date(CAST(l_shipdate AS DATE))")
+    lines = table(spark, folder, "lineitem").select(
+        *LINE_KEY, "l_shipdate", *FEATURE_NAMES.values(), F.expr(rule).cast("double").alias("label")
+    )
+    train = materialize(hash_split(lines, LINE_KEY)[0].select("label", *FEATURE_NAMES.values()), "train")
+    models = {name: fit("logisticRegression", train, columns=[feature]) for name, feature in FEATURE_NAMES.items()}
+    # Several fitted assemblers write the same column, so each model adds its score alone.
+    columns = ["l_shipdate", "label", *FEATURE_NAMES.values()]
+    scored = lines.select(*columns)
+    for name, model in models.items():
+        scored = score(model, scored, name, 1)
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("score")) for n in models]))
+    long = scored.select("l_shipdate", F.col("label").alias("y"), pairs.alias("e")).select("l_shipdate", "y", "e.*")
+    return rounded(champion(window_metrics(long, "l_shipdate", "30 days")), ["winner_value"])
+
+
 @query(
     "canary_model",
     f"""WITH x AS (SELECT time_bucket(INTERVAL 90 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS date,

@@ -102,16 +102,18 @@ def count_rows(spark: SparkSession, folder: str) -> DataFrame:
     return row_count(table(spark, folder, "lineitem"))
 
 
-@query("list_files", "SELECT event_type, TRUE AS has_bytes FROM events GROUP BY 1")
+@query("list_files", "SELECT event_type, count(*) AS rows, 'part' AS names FROM events GROUP BY 1")
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder tree written with one sub-folder per event type."""
+    """Files of a folder tree written with one sub-folder per event type, and the rows in the listed files."""
     path = scratch_path(spark, "listing")
     table(spark, folder, "events").hint("rebalance", "event_type").write.partitionBy("event_type").parquet(path)
     files = list_files(spark, path, recursive=True, pattern="*.parquet")
-    return (
-        files.withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
-        .groupBy("event_type")
-        .agg((F.sum("length") > 0).alias("has_bytes"))
+    listed = files.withColumn("event_type", F.regexp_extract("path", "event_type=([^/]+)/", 1))
+    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
+    counted = listed.join(rows.agg(F.count("*").alias("rows")), ["path", "length"])
+    # Every written file has a name of its own that begins the same.
+    return counted.groupBy("event_type").agg(
+        F.sum("rows").alias("rows"), F.array_join(F.collect_set(F.substring("name", 1, 4)), ",").alias("names")
     )
 
 

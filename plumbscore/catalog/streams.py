@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbscore.catalog.deployment import CENTRES, SCORED_SQL, bought, model_scores
+from plumbscore.catalog.deployment import CENTRES, POINTS_SQL, SCORED_SQL, bought, model_scores, pairwise_sql
 from plumbscore.catalog.registered import (
     SUMMARY_COLUMNS,
     SUMMARY_DOUBLES,
@@ -17,7 +17,7 @@ from plumbscore.catalog.registered import (
     summary_sql,
     table,
 )
-from plumbscore.plans.deployment import metrics_of_counts
+from plumbscore.plans.deployment import baseline_silhouette, metrics_of_counts
 from plumbscore.session import scratch_path
 from plumbscore.sources.metric_store import all_metrics
 from plumbscore.streaming.monitor import Monitor, start
@@ -53,18 +53,26 @@ def run_monitor(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     scorers = {
         name: (lambda df, value=value: df.withColumn("score", value)) for name, value in model_scores().items()
     }
+    features = {"x1": F.floor("value").cast("double"), "x2": F.get_json_object("props", "$.k").cast("double")}
+    trained = events.where("ts < timestamp_ntz'2024-01-04'").withColumns(features)
     monitor = Monitor(
-        mode, scorers, store, "event_id", "ts", eta=4.0, canary=CENTRES, canary_features=["x1", "x2"]
+        mode,
+        scorers,
+        store,
+        "event_id",
+        "ts",
+        eta=4.0,
+        canary=CENTRES,
+        canary_features=list(features),
+        baseline=baseline_silhouette(trained, list(features), CENTRES),
+        tolerance=0.01,
+        converted="event_type = 'purchase'",
     )
     for begin, end in zip(CHUNK_STARTS, [*CHUNK_STARTS[1:], "9999-01-01"]):
         chunk = events.where(f"ts >= timestamp_ntz'{begin}' AND ts < timestamp_ntz'{end}'")
         chunk.write.mode("append").parquet(source)
-        rows = parquet_stream(spark, source, events.schema, files_per_trigger=1_000_000).select(
-            "*",
-            bought().alias("y"),
-            F.floor("value").cast("double").alias("x1"),
-            F.get_json_object("props", "$.k").cast("double").alias("x2"),
-        )
+        stream = parquet_stream(spark, source, events.schema, files_per_trigger=None)
+        rows = stream.withColumns({"y": bought(), **features})
         start(rows, monitor, checkpoint).awaitTermination()
     return all_metrics(spark, store, mode)
 
@@ -130,9 +138,22 @@ def _abtest_sql() -> str:
     """Four batches, each routed by equal shares."""
     batches = range(len(CHUNK_STARTS))
     steps = ", ".join(_routed_sql(seq, "abtesting", EQUAL_SQL, f"b{seq}") for seq in batches)
+    steps += "".join(
+        f""", rate_b{seq} AS (SELECT model, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS c FROM sent_b{seq} GROUP BY 1),
+        pair_b{seq} AS (SELECT a.model || ':' || b.model AS model, a.c / a.n - b.c / b.n AS difference,
+            (a.c / a.n - b.c / b.n) / nullif(sqrt((a.c + b.c) / (a.n + b.n) * (1 - (a.c + b.c) / (a.n + b.n))
+              * (1 / a.n + 1 / b.n)), 0) AS z
+          FROM rate_b{seq} AS a JOIN rate_b{seq} AS b ON a.model < b.model)"""
+        for seq in batches
+    )
     rows = " UNION ALL ".join(
         f"""SELECT CAST({seq} AS BIGINT) AS seq, model, 'auc' AS metric, round(auc, 6) AS value FROM auc_b{seq}
-        UNION ALL SELECT {seq}, model, 'split', round(split, 6) FROM ({EQUAL_SQL}) AS v"""
+        UNION ALL SELECT {seq}, model, 'split', round(split, 6) FROM ({EQUAL_SQL}) AS v
+        UNION ALL SELECT {seq}, model, unnest(['n', 'conversions', 'rate']), unnest([n, c, round(c / n, 6)]) FROM rate_b{seq}
+        UNION ALL SELECT {seq}, model, 'difference', round(difference, 6) FROM pair_b{seq}
+        UNION ALL SELECT {seq}, model, 'z', round(z, 6) FROM pair_b{seq} WHERE z IS NOT NULL
+        UNION ALL SELECT {seq}, model, 'significant', CASE WHEN abs(z) > 1.959963984540054 THEN 1 ELSE 0 END
+          FROM pair_b{seq} WHERE z IS NOT NULL"""
         for seq in batches
     )
     return f"WITH {steps} {rows}"
@@ -152,5 +173,20 @@ def stream_bandit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_abtest", _abtest_sql())
 def stream_abtest(spark: SparkSession, folder: str) -> DataFrame:
-    """An A/B monitor over four batches."""
+    """An A/B monitor over four batches, with rates and the comparison of every pair."""
     return _monitored(spark, folder, "abtesting")
+
+
+@query(
+    "stream_canary",
+    f"""WITH base AS (WITH {pairwise_sql(f"SELECT event_id, 1 AS one, x1, x2 FROM ({POINTS_SQL}) AS p "
+                                         f"WHERE date < TIMESTAMP '2024-01-04'", "one")} SELECT silhouette FROM sil),
+        {pairwise_sql(f"SELECT event_id, {CHUNK_SQL.replace('ts <', 'date <')} AS seq, x1, x2 FROM ({POINTS_SQL}) AS p", "seq")},
+        found AS (SELECT CAST(seq AS BIGINT) AS seq, silhouette, silhouette - (SELECT silhouette FROM base) AS drift FROM sil)
+        SELECT seq, 'kmeans' AS model, unnest(['silhouette', 'drift', 'drifted']) AS metric,
+          unnest([round(silhouette, 6), round(drift, 6), CASE WHEN abs(drift) > 0.01 THEN 1 ELSE 0 END]) AS value FROM found""",
+)
+def stream_canary(spark: SparkSession, folder: str) -> DataFrame:
+    """The silhouette of four streamed batches, its drift from the first three days, and the flag."""
+    stored = run_monitor(spark, folder, "champion").where(F.col("model") == "kmeans")
+    return rounded(stored.select("seq", "model", "metric", "value"), ["value"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +59,20 @@ def cluster_sums(
 def vector_silhouette(df: DataFrame, features: str = "features", cluster: str = "prediction") -> DataFrame:
     """``(rows, clusters, silhouette)`` of a whole table; null below two clusters.
 
-    Runs Spark's evaluator on a vector column and a numeric cluster column. Rows without a
-    cluster are left out; ``unclustered`` counts them.
+    Runs Spark's evaluator on a vector column and a numeric cluster column. The evaluator brings the
+    sums of all clusters to the driver; if they exceed ``BROADCAST_BYTES`` the rows are measured by
+    :func:`silhouette` under one key instead. Rows without a cluster are left out; ``unclustered`` counts them.
     """
     table = df.where(F.col(cluster).isNotNull()).select(features, F.col(cluster).cast("double").alias(cluster))
-    found = table.agg(F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters")).first()
+    found = table.agg(
+        F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters"), F.first(features).alias("one")
+    ).first()
     value = None
-    if found["clusters"] >= 2:
+    if found["clusters"] >= 2 and found["clusters"] * (len(found["one"]) + 4) * 8 > BROADCAST_BYTES:
+        arrays = table.select(vector_to_array(features).alias("__array"), cluster, F.lit(0).alias("__whole"))
+        keyed = silhouette(arrays, vector_columns("__array", len(found["one"])), cluster, ["__whole"])
+        value = keyed.first()["silhouette"]
+    elif found["clusters"] >= 2:
         value = ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(table)
     return df.sparkSession.createDataFrame(
         [(found["rows"], found["clusters"], value)], "rows bigint, clusters bigint, silhouette double"

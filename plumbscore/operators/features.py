@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbscore.functions import cumulative_bounds, fill_numbers, hash_uniform
+from plumbscore.functions import fill_numbers, hash_uniform, pick_by_weight
 from plumbscore.operators.running import rank_rows
 
+MAX_LABELS = 10_000
+
 
 def feature_columns(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> list[str]:
     """The named columns, or all, without the target."""
@@ -48,20 +50,41 @@ class Prepared:
     rows_without_target: DataFrame
 
 
-def prepare(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> Prepared:
+def class_labels(df: DataFrame, target: str, max_labels: int = MAX_LABELS) -> list[str]:
+    """The distinct targets as text, by falling frequency and then by text.
+
+    More than ``max_labels`` raise an error: a number that varies is no class.
+    """
+    texts = df.select(F.col(target).cast("string").alias("value")).where("value IS NOT NULL")
+    found = label_frequency(texts, "value").limit(max_labels + 1).collect()
+    if len(found) > max_labels:
+        raise ValueError(f"{target} has more than {max_labels} distinct values")
+    return [r["value"] for r in sorted(found, key=lambda r: (-r["n"], r["value"]))]
+
+
+def prepare(
+    df: DataFrame,
+    target: str,
+    columns: Sequence[str] | None = None,
+    index: bool = True,
+    max_labels: int = MAX_LABELS,
+) -> Prepared:
     """Add ``features`` and ``label``: missing numbers become 0, labels go by falling frequency.
 
     Only features are filled. Rows without a target have no label; they are left out of the
-    data and counted in ``rows_without_target``.
+    data and counted in ``rows_without_target``. ``index=False`` adds no label, for clustering;
+    otherwise more than ``max_labels`` distinct targets raise an error.
     """
     features = feature_columns(df, target, columns)
     check_features(df, features)
     missing = df.agg(F.count_if(F.col(target).isNull()).alias("rows_without_target"))
     known = fill_numbers(_as_numbers(df.where(F.col(target).isNotNull()), features), features)
-    indexer = StringIndexer(inputCol=target, outputCol="label")
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    model = Pipeline(stages=[assembler, indexer]).fit(known)
-    return Prepared(model, model.transform(known), features, list(model.stages[1].labels), missing)
+    labels = class_labels(known, target, max_labels) if index else []
+    stages = [VectorAssembler(inputCols=features, outputCol="features")]
+    if index:
+        stages.append(StringIndexerModel.from_labels(labels, inputCol=target, outputCol="label"))
+    model = PipelineModel(stages)
+    return Prepared(model, model.transform(known), features, labels, missing)
 
 
 def feature_array(df: DataFrame, features: Sequence[str], output: str = "feature_array") -> DataFrame:
@@ -83,17 +106,18 @@ def label_table(df: DataFrame, target: str) -> DataFrame:
     return ranked.select("value", (F.col("rank") - 1).cast("double").alias("label"), "n")
 
 
+def split_part(key: str | Sequence[str], weights: Sequence[float] = (0.8, 0.2), salt: str = "split") -> Column:
+    """Number of the part that :func:`hash_split` puts a row in."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return pick_by_weight(hash_uniform(*keys, salt=salt), range(len(weights)), weights)
+
+
 def hash_split(
     df: DataFrame, key: str | Sequence[str], weights: Sequence[float] = (0.8, 0.2), salt: str = "split"
 ) -> list[DataFrame]:
     """Disjoint, complete parts by the hash of ``key``; rows with one key stay together."""
-    keys = [key] if isinstance(key, str) else list(key)
-    uniform = hash_uniform(*keys, salt=salt)
-    parts, low = [], 0.0
-    for high in cumulative_bounds(weights):
-        parts.append(df.where((uniform >= low) & (uniform < high)))
-        low = high
-    return parts
+    part = split_part(key, weights, salt)
+    return [df.where(part == number) for number in range(len(weights))]
 
 
 def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2), seed: int | None = None) -> list[DataFrame]:

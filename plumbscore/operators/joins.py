@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plumbscore.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows in memory may take this many times the bytes of the parquet files they were written to.
+EXPANSION = 8
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -24,9 +26,12 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """Write ``df`` out, count it, and mark it for broadcast only if it fits.
+    """Write ``df`` out, measure it, and mark it for broadcast only if it fits.
 
-    Beyond ``BROADCAST_BYTES`` the join goes by shuffle, with the same result.
+    It counts as the larger of ``bytes_per_row`` for every row and ``EXPANSION`` times the written
+    bytes, so wide keys and long texts count as well. Beyond ``BROADCAST_BYTES`` the join goes by shuffle, with the same result.
     """
     written = materialize(df, "side")
-    return F.broadcast(written) if written.count() * bytes_per_row <= BROADCAST_BYTES else written
+    stored = written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = max(written.count() * bytes_per_row, EXPANSION * int(str(stored)))
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written

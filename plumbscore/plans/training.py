@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbscore.functions import result_json
 from plumbscore.operators.clustering import vector_silhouette
 from plumbscore.operators.curves import binary_counts, binary_summary, roc_extract, score_pairs, threshold_curve
-from plumbscore.operators.features import hash_split, prepare, random_split
+from plumbscore.operators.features import prepare, random_split, split_part
 from plumbscore.session import materialize
 from plumbscore.sources.model_store import feature_pipeline_path, model_path, save_model
 
@@ -170,18 +170,23 @@ def train_evaluate(
     unless ``split_salt`` is given; ``random=True`` takes Spark's own split. Models go below
     ``data_dir``, nothing is saved without it. The result holds about ``roc_size`` points of the
     ROC: spread over all thresholds with both ends, or the first ones if ``roc_mode`` is ``first``.
-    Rows without a target are left out and counted in ``rowsWithoutTarget``.
+    Rows without a target are left out and counted in ``rowsWithoutTarget``. A clustering needs
+    no label, so its target may have any number of values.
     """
-    prepared = prepare(df, target, columns)
+    prepared = prepare(df, target, columns, index=name not in CLUSTERERS)
+    kept = ["features"] if name in CLUSTERERS else ["features", "label"]
+    # Iterative fits read their input several times: write the vectors once instead.
     if random:
         train, test = random_split(prepared.data, weights, seed)
+        train = materialize(train.select(*kept), "train")
     else:
         salt = split_salt or ("split" if seed is None else f"split-{seed}")
-        train, test = hash_split(prepared.data, key or df.columns, weights, salt)
+        part = split_part(key or df.columns, weights, salt).alias("part")
+        written = materialize(prepared.data.select(*kept, part), "split", ["part"])
+        train, test = (written.where(F.col("part") == number).select(*kept) for number in (0, 1))
     if seed is not None and name != "logisticRegression":
         params = {"seed": seed, **params}
-    # Iterative fits read their input several times: write the vectors once instead.
-    model = fit(name, materialize(train.select("features", "label"), "train"), **params)
+    model = fit(name, train, **params)
     if data_dir:
         save_model(prepared.model, feature_pipeline_path(data_dir))
         save_model(model, model_path(data_dir, name))

@@ -6,9 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The folder that takes the scratch paths of the running block, see scratch().
+_OWNER: ContextVar[str | None] = ContextVar("scratch_owner", default=None)
+
 
 def build_session(app_name: str = "plumbscore", cores: int | str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution and UTC time; ``cores`` asks for local mode."""
@@ -49,19 +55,40 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`work_dir`."""
-    return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below :func:`work_dir`, or below the folder of the :func:`scratch` block."""
+    return os.path.join(_OWNER.get() or work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any Hadoop file system; a missing one is fine."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[None]:
+    """Delete at the end of the block what was written to scratch paths within it.
+
+    For jobs that run for months: read every lazy result before the block ends.
+    """
+    folder = scratch_path(spark, name)
+    token = _OWNER.set(folder)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+        delete_folder(spark, folder)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and return the written table.
 
     The input is computed once however often the result is read, later readers prune
-    columns, and the table outlives the executors that wrote it.
+    columns and the folders of ``by``, and the table outlives the executors that wrote it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

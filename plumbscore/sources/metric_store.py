@@ -1,7 +1,10 @@
 """Metric series as parquet tables, one per deployment mode.
 
-A mode is a folder partitioned by ``batch``. Writing a batch replaces that batch only, so a
-replayed micro-batch cannot add its rows twice.
+New batches are in ``recent``, one folder per ``batch``. Writing a batch replaces that batch
+only, so a replayed micro-batch cannot add its rows twice. :func:`compact_metrics` moves them
+into ``closed``, one folder for ``SPAN`` batches, so the files of a monitor that runs for months
+stay few. A batch that is in both counts as in ``recent``: it was replayed, or a compaction
+was interrupted.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbscore.session import delete_folder, materialize
+
 # The names of the deployment modes.
 MODES = ("champion", "abtesting", "multiarm")
 METRIC_SCHEMA = "seq bigint, date timestamp_ntz, model string, metric string, value double, batch bigint"
+METRIC_COLUMNS = ["seq", "date", "model", "metric", "value", "batch"]
+SPAN = 500
 
 
 def _folder(root: str, mode: str) -> str:
@@ -43,13 +50,14 @@ def append_metrics(metrics: DataFrame, root: str, mode: str, batch: int | None =
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .partitionBy("batch")
-        .parquet(_folder(root, mode))
+        .parquet(os.path.join(_folder(root, mode), "recent"))
     )
 
 
 def _read(spark: SparkSession, folder: str, *path: str) -> DataFrame:
     try:
-        return spark.read.schema(METRIC_SCHEMA).option("basePath", folder).parquet(os.path.join(folder, *path))
+        found = spark.read.schema(METRIC_SCHEMA).option("basePath", folder).parquet(os.path.join(folder, *path))
+        return found.select(*METRIC_COLUMNS)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -58,12 +66,40 @@ def _read(spark: SparkSession, folder: str, *path: str) -> DataFrame:
 
 def all_metrics(spark: SparkSession, root: str, mode: str) -> DataFrame:
     """The whole series of a mode; empty when nothing was stored."""
-    return _read(spark, _folder(root, mode))
+    folder = _folder(root, mode)
+    recent, closed = _read(spark, os.path.join(folder, "recent")), _read(spark, os.path.join(folder, "closed"))
+    older = closed.join(recent.select("batch").distinct(), "batch", "left_anti")
+    return recent.unionAll(older.select(*METRIC_COLUMNS))
 
 
 def batch_metrics(spark: SparkSession, root: str, mode: str, batch: int) -> DataFrame:
-    """The metrics of one batch, read from its own folder without listing the others."""
-    return _read(spark, _folder(root, mode), f"batch={batch}")
+    """The metrics of one recent batch, read from its own folder without listing the others."""
+    return _read(spark, os.path.join(_folder(root, mode), "recent"), f"batch={batch}")
+
+
+def compact_metrics(spark: SparkSession, root: str, mode: str, before: int) -> None:
+    """Close the whole spans of ``SPAN`` batches below the batch ``before``.
+
+    The closed rows are written before the folders of their batches are deleted, so nothing is
+    lost if this is interrupted. A reader that listed the old folders has to read again.
+    """
+    recent = os.path.join(_folder(root, mode), "recent")
+    end = before // SPAN * SPAN
+    first = _read(spark, recent).where(F.col("batch") < end).agg(F.min("batch").alias("first")).first()["first"]
+    if first is None:
+        return
+    span = F.floor(F.col("batch") / SPAN)
+    chosen = all_metrics(spark, root, mode).where((F.col("batch") < end) & (span >= first // SPAN))
+    closing = materialize(chosen.withColumn("span", span), "closing")
+    (
+        closing.hint("rebalance", "span")
+        .write.option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .partitionBy("span")
+        .parquet(os.path.join(_folder(root, mode), "closed"))
+    )
+    for row in closing.select("batch").distinct().toLocalIterator():
+        delete_folder(spark, os.path.join(recent, f"batch={row['batch']}"))
 
 
 def read_metrics(spark: SparkSession, root: str, mode: str, newest: int | None = None) -> DataFrame:

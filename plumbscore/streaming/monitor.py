@@ -15,13 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbscore.functions import normalise_weights
 from plumbscore.operators.curves import binary_metrics
 from plumbscore.operators.sampling import assign, period_sample, traffic_models
-from plumbscore.plans.deployment import baseline_silhouette
+from plumbscore.plans.deployment import ab_compare, ab_rates, baseline_silhouette
 from plumbscore.plans.training import CLUSTERERS, score
-from plumbscore.sources.metric_store import MODES, all_metrics, append_metrics, batch_metrics
+from plumbscore.session import scratch
+from plumbscore.sources.metric_store import MODES, SPAN, all_metrics, append_metrics, batch_metrics, compact_metrics
 from plumbscore.streaming.streams import trigger
 
 Scorer = Callable[[DataFrame], DataFrame]
-"""Adds a ``score`` column to a table."""
+"""Adds a ``score`` column to a table and keeps its rows and other columns."""
 
 
 def model_scorer(model: PipelineModel, positive_label: int = 0) -> Scorer:
@@ -39,8 +40,17 @@ class Monitor:
     mixed with ``explore`` of equal traffic so that each model keeps being measured (Exp3,
     Auer et al., 2002). A model without traffic in a batch counts as chance, 0.5.
 
+    ``abtesting`` also stores ``n``, ``conversions`` and ``rate`` per model, and ``difference``,
+    ``z`` and ``significant`` (0 or 1) under ``first:second`` for every pair of models. A row is
+    converted if the SQL condition ``converted`` holds, or if ``y`` is above one half without one.
+
+    With ``canary``, a fitted clustering or its centres, the silhouette of each batch is stored,
+    and with ``baseline``, that of the training rows, its ``drift`` and whether it ``drifted`` by more
+    than ``tolerance`` either way (0 or 1).
+
     Batches depend on the stored rows of earlier batches only, so a replayed batch writes
-    the same rows again.
+    the same rows again. The scratch tables of a batch are deleted when it ends, and stored
+    batches are compacted, so a monitor can run for months.
     """
 
     mode: str
@@ -54,6 +64,9 @@ class Monitor:
     explore: float = 0.1
     canary: PipelineModel | Sequence[Sequence[float]] | None = None
     canary_features: Sequence[str] = ()
+    baseline: float | None = None
+    tolerance: float = 0.1
+    converted: str | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -69,25 +82,28 @@ class Monitor:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Evaluate one micro-batch and store its metrics."""
-        rows = batch.persist()
+        spark, rows = batch.sparkSession, batch.persist()
         try:
             date = rows.agg(F.max(self.time).cast("timestamp_ntz").alias("date")).first()["date"]
             if date is None:
                 return
-            found = self._measure(rows, batch_id)
-            found += self._canary(rows)
-            table = rows.sparkSession.createDataFrame(found, "model string, metric string, value double")
+            with scratch(spark, "monitor"):
+                found = self._measure(rows, batch_id) + self._canary(rows)
+            table = spark.createDataFrame(found, "model string, metric string, value double")
             numbered = table.withColumn("seq", F.lit(batch_id).cast("bigint")).withColumn(
                 "date", F.lit(date.isoformat()).cast("timestamp_ntz")
             )
             append_metrics(numbered, self.store, self.mode, batch_id)
+            if batch_id > 0 and batch_id % SPAN == 0:
+                with scratch(spark, "compaction"):
+                    compact_metrics(spark, self.store, self.mode, batch_id)
         finally:
             rows.unpersist()
 
     def _measure(self, rows: DataFrame, batch_id: int) -> list[tuple[str, str, float]]:
         earlier = self._earlier(rows, batch_id)
         if self.mode == "champion":
-            aucs = self._aucs({name: rows for name in self.names})
+            aucs = self._aucs(self._scored(rows))
             found = [(name, "auc", value) for name, value in aucs.items()]
             if aucs:
                 winner = min(aucs, key=lambda name: (-aucs[name], name))
@@ -97,11 +113,13 @@ class Monitor:
         gains = {name: earlier.get((name, "gain"), 0.0) for name in self.names}
         shares = self.splits(gains) if self.mode == "multiarm" else dict(zip(self.names, self.weights))
         routed = assign(rows, self.key, self.names, [shares[n] for n in self.names], f"{self.mode}-{batch_id}")
-        aucs = self._aucs({name: routed.where(F.col("model") == name) for name in self.names})
+        aucs = self._aucs(self._scored(routed, routed=True))
         found = [(name, "auc", value) for name, value in aucs.items()]
         found += [(name, "split", shares[name]) for name in self.names]
         if self.mode == "multiarm":
             found += [(name, "gain", gains[name] + aucs.get(name, 0.5)) for name in self.names]
+        else:
+            found += self._compared(routed)
         return found
 
     def splits(self, gains: Mapping[str, float]) -> dict[str, float]:
@@ -123,18 +141,44 @@ class Monitor:
             found = [] if last is None else stored.where(F.col("batch") == last).collect()
         return {(r["model"], r["metric"]): r["value"] for r in found}
 
-    def _aucs(self, tables: Mapping[str, DataFrame]) -> dict[str, float]:
+    def _scored(self, rows: DataFrame, routed: bool = False) -> DataFrame:
+        """``(model, score, y)`` by every model, or by the one a row was sent to, in one pass over the rows."""
+        table, entries = rows, []
+        for place, name in enumerate(self.names):
+            output = f"__score_{place}"
+            table = self.scorers[name](table).withColumnRenamed("score", output)
+            entries.append(F.struct(F.lit(name).alias("model"), F.col(output).cast("double").alias("score")))
+        y = F.col(self.y).alias("y")
+        if routed:
+            own = F.coalesce(*[F.when(F.col("model") == n, e["score"]) for n, e in zip(self.names, entries)])
+            return table.select("model", own.alias("score"), y)
+        return table.select(y, F.explode(F.array(*entries)).alias("__entry")).select("__entry.*", "y")
+
+    def _compared(self, routed: DataFrame) -> list[tuple[str, str, float]]:
+        """Rates of the models and the comparison of every pair: a few rows."""
+        converted = F.expr(self.converted) if self.converted else F.col(self.y) > 0.5
+        rates = ab_rates(routed, converted, keys=()).collect()
+        found = [(r["model"], name, r[name]) for r in rates for name in ("n", "conversions", "rate")]
+        if rates and len(self.names) > 1:
+            table = routed.sparkSession.createDataFrame(rates, "model string, n bigint, conversions bigint, rate double")
+            for pair in ab_compare(table, self.names).collect():
+                both = f"{pair['model_a']}:{pair['model_b']}"
+                found += [(both, name, pair[name]) for name in ("difference", "z", "significant")]
+        return [(model, name, float(value)) for model, name, value in found if value is not None]
+
+    def _aucs(self, scored: DataFrame) -> dict[str, float]:
         """AUC of each model on its own rows, in one job."""
-        scored = None
-        for name, table in tables.items():
-            part = self.scorers[name](table).select(F.lit(name).alias("model"), "score", F.col(self.y).alias("y"))
-            scored = part if scored is None else scored.unionByName(part)
         return {r["model"]: r["auc"] for r in binary_metrics(scored, keys=["model"]).select("model", "auc").collect()}
 
     def _canary(self, rows: DataFrame) -> list[tuple[str, str, float]]:
         if self.canary is None:
             return []
-        return [(CLUSTERERS[0], "silhouette", baseline_silhouette(rows, self.canary_features, self.canary))]
+        name, value = CLUSTERERS[0], baseline_silhouette(rows, self.canary_features, self.canary)
+        found = [(name, "silhouette", value)]
+        if value is not None and self.baseline is not None:
+            drift = value - self.baseline
+            found += [(name, "drift", drift), (name, "drifted", float(abs(drift) > self.tolerance))]
+        return found
 
 
 def start(

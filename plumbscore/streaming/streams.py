@@ -14,10 +14,16 @@ from plumbscore.sources.files import LoadSpec
 
 
 def parquet_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1, pattern: str | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = 1,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """Rows of the parquet files that appear in a folder."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    """Rows of the parquet files that appear in a folder; None takes all new files as one batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(folder)

@@ -96,3 +96,14 @@ def test_rows_without_a_cluster_are_left_out(spark, clusters):
         assert found.asDict() == pytest.approx(wanted.asDict()) if not keys else found.rows == wanted.rows == 300
         assert found.silhouette == pytest.approx(wanted.silhouette)
     assert clustering.unclustered(holed).first().unclustered == 2
+
+
+def test_more_clusters_than_fit_the_driver(spark, monkeypatch):
+    rows = [(i % 40, float(i % 40) * 10 + (i % 7), float(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "prediction int, x double, y double")
+    wanted = silhouette(df, ["x", "y"]).first()
+    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(clustering, "ClusteringEvaluator", None)
+    found = silhouette(df, ["x", "y"]).first()
+    assert (found.rows, found.clusters) == (wanted.rows, wanted.clusters) == (400, 40)
+    assert found.silhouette == pytest.approx(wanted.silhouette, abs=1e-9)

@@ -148,3 +148,17 @@ def test_missing_truth_values_become_zero(spark):
     df = spark.createDataFrame([(True, 1.0, "a"), (None, None, "a"), (False, 3.0, "b")], "flag boolean, x double, target string")
     made = prepare(df, "target").data.select("features").collect()
     assert sorted(tuple(r.features) for r in made) == [(0.0, 0.0), (0.0, 3.0), (1.0, 1.0)]
+
+
+def test_a_varying_number_is_no_class(spark):
+    df = spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") / 7).alias("target"))
+    with pytest.raises(ValueError, match="more than 50 distinct"):
+        prepare(df, "target", ["x"], max_labels=50)
+    assert prepare(df, "target", ["x"], index=False, max_labels=50).data.columns == ["x", "target", "features"]
+
+
+def test_no_rows_with_a_target(spark):
+    df = spark.createDataFrame([(1.0, None)], "x double, target string")
+    made = prepare(df, "target", ["x"])
+    assert made.labels == [] and made.data.count() == 0
+    assert made.rows_without_target.first()[0] == 1

@@ -110,3 +110,17 @@ def test_rank_of_text(spark, rows_per_slice):
     wanted = sorted(((-len(w.strip("0")), w) for w in words))
     assert [r.w for r in sorted(got, key=lambda r: r["rank"])] == [w for _, w in wanted]
     assert sorted(r["rank"] for r in got) == list(range(1, 212))
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    import plumbscore.operators.joins as joins
+
+    wide = spark.range(100).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.sha2(
+        F.concat(F.col("id").cast("string"), i.cast("string")), 256))).alias("text"))
+
+    def hinted(df):
+        return "ResolvedHint" in joins.broadcast_if_small(df, 8)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(wide)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 100_000)
+    assert not hinted(wide) and hinted(spark.range(100))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import pytest
@@ -11,9 +12,11 @@ from plumbscore.catalog.deployment import bought
 from plumbscore.catalog.streams import run_monitor
 from plumbscore.plans.deployment import metrics_of_counts, window_metrics
 from plumbscore.plans.training import fit
-from plumbscore.session import scratch_path
+from plumbscore.session import materialize, scratch_path, work_dir
 from plumbscore.sources.files import LoadSpec
+from plumbscore.sources import metric_store
 from plumbscore.sources.metric_store import all_metrics
+from plumbscore.streaming import monitor as monitoring
 from plumbscore.streaming.monitor import Monitor, model_scorer, start, start_sampling
 from plumbscore.streaming.streams import csv_stream, event_time, parquet_stream, score_counts, start_counts, stop
 
@@ -124,6 +127,78 @@ def test_fitted_models_and_canary_in_a_monitor(spark, folder):
     assert 0.3 < values["kmeans", "silhouette"] < 1
 
 
+def test_one_scan_for_all_models(spark, folder):
+    rows = materialize(monitor_input(spark, folder))
+    three = {**scorers(), "third": lambda df: df.withColumn("score", F.col("x"))}
+    monitor = Monitor("champion", three, "unused", "event_id", "ts")
+    routed = rows.withColumn("model", F.when(F.col("event_id") % 2 == 0, "good").otherwise("third"))
+    for scored_rows in (monitor._scored(rows), monitor._scored(routed, routed=True)):
+        assert scored_rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert monitor._scored(rows).count() == 3 * rows.count()
+    expected = routed.select("model", F.when(F.col("model") == "third", F.col("x")).otherwise(
+        F.col("y") + F.pmod("event_id", F.lit(7)) / 4).alias("score"), "y")
+    found = monitor._scored(routed, routed=True)
+    assert found.count() == rows.count() and found.exceptAll(expected).isEmpty()
+
+
+def test_batches_leave_no_scratch_and_few_files(spark, folder, monkeypatch, tmp_path):
+    mode = "abtesting"
+    for module in (metric_store, monitoring):
+        monkeypatch.setattr(module, "SPAN", 2)
+    rows = materialize(monitor_input(spark, folder).limit(60), "leak-input")
+    store = str(tmp_path / "store")
+    monitor = Monitor(mode, scorers(), store, "event_id", "ts", canary=[[10.0], [100.0]], canary_features=["x"])
+    local = work_dir(spark).removeprefix("file:")
+    before = set(os.listdir(local))
+    for batch in range(6):
+        monitor.process(rows, batch)
+    assert set(os.listdir(local)) == before
+    assert sorted(n for n in os.listdir(f"{store}/{mode}/recent") if "batch" in n) == ["batch=4", "batch=5"]
+    assert sorted(n for n in os.listdir(f"{store}/{mode}/closed") if "span" in n) == ["span=0", "span=1"]
+    stored = all_metrics(spark, store, mode)
+    assert {r.batch for r in stored.collect()} == set(range(6))
+    counted = stored.groupBy("batch", "model", "metric").count()
+    assert counted.where("count > 1").isEmpty()
+    rows_before = sorted(map(tuple, stored.collect()))
+    monitor.process(rows, 4)  # replayed, compaction included
+    assert sorted(map(tuple, all_metrics(spark, store, mode).collect())) == rows_before
+
+
+def test_a_replayed_batch_replaces_the_closed_one(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(metric_store, "SPAN", 2)
+
+    def rows(value):
+        return spark.createDataFrame([(1, "m", "auc", value)], "seq bigint, model string, metric string, value double").withColumn(
+            "date", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+    store = str(tmp_path)
+    for batch in range(5):
+        metric_store.append_metrics(rows(batch / 10), store, "champion", batch)
+    metric_store.compact_metrics(spark, store, "champion", 1)
+    assert len(os.listdir(f"{store}/champion/recent")) >= 5
+    metric_store.compact_metrics(spark, store, "champion", 4)
+    metric_store.append_metrics(rows(0.9), store, "champion", 1)
+    for _ in range(2):
+        found = {r.batch: r.value for r in all_metrics(spark, store, "champion").collect()}
+        assert found == {0: 0.0, 1: 0.9, 2: 0.2, 3: 0.3, 4: 0.4}
+        metric_store.compact_metrics(spark, store, "champion", 4)
+
+
+def test_drift_and_comparison_are_stored(spark, folder, tmp_path):
+    rows = monitor_input(spark, folder)
+    names = {k: v for k, v in scorers().items()}
+    monitor = Monitor("abtesting", names, str(tmp_path), "event_id", "ts", canary=[[10.0], [100.0]], canary_features=["x"],
+                      baseline=0.0, tolerance=0.2, converted="x > 20")
+    monitor.process(rows, 0)
+    values = {(r.model, r.metric): r.value for r in all_metrics(spark, str(tmp_path), "abtesting").collect()}
+    assert values["kmeans", "drift"] == values["kmeans", "silhouette"] > 0.2 and values["kmeans", "drifted"] == 1
+    assert values["good", "n"] + values["poor", "n"] == rows.count()
+    assert values["good", "conversions"] + values["poor", "conversions"] == rows.where("x > 20").count()
+    assert values["good", "rate"] == values["good", "conversions"] / values["good", "n"]
+    assert values["good:poor", "difference"] == pytest.approx(values["good", "rate"] - values["poor", "rate"])
+    assert values["good:poor", "significant"] == float(abs(values["good:poor", "z"]) > 1.96)
+
+
 def test_a_batch_without_scores(spark, folder):
     store = scratch_path(spark, "unscored")
     nothing = {"a": lambda df: df.withColumn("score", F.lit(None).cast("double"))}
