@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbscore.llm.components import components
 from plumbscore.llm.registered import map_rows, query, table, text_of
+from plumbscore.llm.skew import join_counted
 from plumbscore.session import materialize
 
 BITS = 64
@@ -203,12 +204,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """
     made = with_fingerprints(docs, [key], text, shingle).select(key, F.col("fps")[0].alias("fp"))
     made = materialize(made, "fingerprints")
-    classes = materialize(made.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    classes = materialize(made.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "classes")
     groups = fingerprint_groups(classes.select("fp"), radius)
-    rooted = classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return made.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # A component may have very many fingerprints, and a fingerprint very many documents.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "least")
+    named = materialize(join_counted(rooted.select("fp", "root", "n"), least, ["root"], "fps").select("fp", "component_id", "n"), "named")
+    return join_counted(made, named, ["fp"], "n").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", how_many: int = 10, radius: int = 2) -> DataFrame:
