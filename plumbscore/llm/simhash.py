@@ -225,15 +225,15 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     Texts without words are copies of each other.
     """
     made = with_fingerprints(docs, [key], text, 1, how_many)
-    made = materialize(made.withColumn("node", F.xxhash64("fps")), "fingerprints")
-    nodes = materialize(made.groupBy("node").agg(F.first("fps").alias("fps")), "classes")
+    made = made.withColumn("node", F.xxhash64("fps"))
+    # Copies are one row from here on; the smallest key ignores nulls, so they come last.
+    nodes = materialize(made.groupBy("node").agg(F.first("fps").alias("fps"), F.min(key).alias("least")), "classes")
     series = nodes.select("node", F.posexplode("fps").alias("series", "fp"))
     classes = materialize(series.groupBy("series", "fp").agg(F.min("node").alias("node")), "series")
     same = series.join(classes.withColumnRenamed("node", "b"), ["series", "fp"]).where("node != b").select(F.col("node").alias("a"), "b")
     groups = components(same.union(links(classes, radius)))
-    rooted = made.select(key, "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # One document per group: the smallest key, nulls last.
-    least = rooted.groupBy("root").agg(F.min(key).alias("least"))
+    rooted = nodes.select("least", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     kept = materialize(least.select(F.col("least").alias(key)), "kept")
     return _one_of_each(docs, kept, key)
 
