@@ -221,36 +221,43 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     word was changed; ten independent ones at two bits find about nine in ten pairs of texts
     that share four fifths of their five-word shingles, and link hardly any unrelated ones.
 
-    The document with the smallest key stays (of repeated rows one; null keys come last).
+    The document with the smallest key stays, and of a repeated key the text with the smallest hash (of
+    repeated rows one; null keys come last).
     Texts without words are copies of each other.
     """
-    made = with_fingerprints(docs, [key], text, 1, how_many)
+    # Rows are told by key and text, as keys may be null or repeated with other texts.
+    own = docs.withColumn("__digest", F.xxhash64(F.md5(text_of(text).cast("binary")), F.length(text_of(text))))
+    made = with_fingerprints(own, [key, "__digest"], text, 1, how_many)
     made = made.withColumn("node", F.xxhash64("fps"))
-    # Copies are one row from here on; the smallest key ignores nulls, so they come last.
-    nodes = materialize(made.groupBy("node").agg(F.first("fps").alias("fps"), F.min(key).alias("least")), "classes")
+    # Copies are one row from here on; null keys come last.
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__digest").alias("digest"))).alias("least")
+    nodes = materialize(made.groupBy("node").agg(F.first("fps").alias("fps"), least), "classes")
     series = nodes.select("node", F.posexplode("fps").alias("series", "fp"))
     classes = materialize(series.groupBy("series", "fp").agg(F.min("node").alias("node")), "series")
     same = series.join(classes.withColumnRenamed("node", "b"), ["series", "fp"]).where("node != b").select(F.col("node").alias("a"), "b")
     groups = components(same.union(links(classes, radius)))
     rooted = nodes.select("least", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    kept = materialize(least.select(F.col("least").alias(key)), "kept")
-    return _one_of_each(docs, kept, key)
+    kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.digest"), "kept")
+    return _one_of_each(own, kept, key).select(*docs.columns)
 
 
 def _one_of_each(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept``; of rows that repeat a key, the smallest."""
+    """The rows of ``docs`` whose key and ``__digest`` are in ``kept`` (``key``, ``digest``); of equal ones the smallest row."""
     columns = docs.columns
-    # The kept keys grow with the documents, so they are never sent to every task.
-    own = kept.withColumnRenamed(key, "__kept").hint("merge")
-    matched = docs.join(own, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    # Repeated keys are rare, so only they are sorted out.
-    again = materialize(matched.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "again")
+    # The kept rows grow with the documents, so they are never sent to every task.
+    chosen = kept.select(F.col("key").alias("__kept"), F.col("digest").alias("__kept_digest")).hint("merge")
+    own = (F.col("__digest") == F.col("__kept_digest")) & F.col(key).eqNullSafe(F.col("__kept"))
+    matched = docs.join(chosen, own, "left_semi")
+    # Repeated rows are rare, so only they are sorted out.
+    again = materialize(
+        matched.groupBy(key, "__digest").count().where("count > 1").select(F.col(key).alias("__again"), F.col("__digest").alias("__again_digest")), "again"
+    )
     if again.isEmpty():
-        return matched.select(*columns)
-    once = matched.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_anti")
-    several = matched.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_semi")
-    first = several.groupBy(key).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+        return matched
+    repeated = (F.col("__digest") == F.col("__again_digest")) & F.col(key).eqNullSafe(F.col("__again"))
+    once = matched.join(again, repeated, "left_anti")
+    several = matched.join(again, repeated, "left_semi")
+    first = several.groupBy(key, "__digest").agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
     return once.select(*columns).union(first.select(*columns))
 
 

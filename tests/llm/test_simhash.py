@@ -123,6 +123,15 @@ def test_drop_near_copies(spark):
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_survivors_are_told_by_their_text(spark):
+    rng = random.Random(3)
+    one, two, three, four = (prose(rng, 200) for _ in range(4))
+    rows = [(None, one), (None, two), (5, three), (5, four), (3, four), (7, three)]
+    docs = spark.createDataFrame([(i, t, "x", "clash") for i, t in rows], SCHEMA)
+    kept = sorted(((r["doc_id"] or -1, r["text"]) for r in simhash.drop_near_copies(docs).collect()))
+    assert kept == sorted([(-1, one), (-1, two), (5, three), (3, four)])
+
+
 def test_weighted_fingerprints_agree_with_sums():
     found = simhash.weighted_fingerprints("a b b c c c", 3)
     assert found == simhash.weighted_fingerprints("C b c A b c", 3)
