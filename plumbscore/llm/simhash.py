@@ -38,6 +38,8 @@ BITS = 64
 SEED = 42
 CELL = 16
 BLOCKS = 4
+SHINGLE = 5
+SHARE = 0.8
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -213,34 +215,116 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     return join_counted(made, named, ["fp"], "n").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", how_many: int = 10, radius: int = 2) -> DataFrame:
+def with_shingles(docs: DataFrame, keep: Sequence[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``keep`` plus ``shingles``, the ascending different XXH64 of the text's shingles; empty without words."""
+
+    def rows(batch: list[dict]) -> list[dict]:
+        for row in batch:
+            runs = set(shingles_of(words_of(row.pop("__text")), shingle))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), dtype=np.uint64, count=len(runs))
+            row["shingles"] = np.unique(hashes.view(np.int64)).tolist()
+        return batch
+
+    kept = docs.select(*keep, text_of(text).alias("__text"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_rows(kept, rows, f"{schema}, shingles array<bigint>")
+
+
+def similar(edges: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
+    """The ``edges`` (``a``, ``b``) whose nodes' ``shingles`` in ``sets`` have a Jaccard similarity of ``share`` or more.
+
+    Two empty sets are equal.
+    """
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    sized = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    for end in ("a", "b"):
+        sized = sized.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
+    # The sizes alone rule many out, before the sets travel.
+    fit = materialize(sized.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9), "fitting")
+    both = fit
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}")), end)
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(common >= (F.col("n_a") + F.col("n_b") - common) * share - 1e-9).select("a", "b")
+
+
+def missed(members: DataFrame, groups: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(a, b)``: similar nodes of different ``groups`` among those that share a cell of ``members`` with another group.
+
+    ``members`` has ``cell`` and ``node``. Nodes of which all cells lie in one group have no such partner. The
+    others are searched by prefixes, the rarest shingles of a set: of two sets that share ``share``, each holds one of the
+    other's ``n - ceil(share * n) + 1`` rarest, in one order for all. So nothing is missed, and a line that many texts share is no key.
+    """
+    rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cell")
+    opened = materialize(rooted.join(mixed, "cell").select("node", "root").distinct(), "open")
+    own = materialize(sets.join(opened, "node"), "open-sets")
+    tokens = own.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    # Only what nodes of two groups hold can link them; it is ordered by how many hold it.
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    held = materialize(held, "held")
+    ranked = tokens.join(held, "token")
+    lists = ranked.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") != F.col("hi")).alias("shared")))).alias("t"))
+    prefix = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))
+    keyed = lists.select("node", "root", "n", F.explode(prefix).alias("t")).where("t.shared").select("node", "root", "n", "t.token")
+    keyed = materialize(keyed, "prefixes")
+    left, right = (keyed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n")]) for x in "ab")
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9
+    pairs = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & fits)
+    return similar(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), own, share)
+
+
+def drop_near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", how_many: int = 10, radius: int = 2, shingle: int = SHINGLE, share: float = SHARE
+) -> DataFrame:
     """``docs`` with one document of each group of exact and near copies, all columns kept.
 
-    Texts are linked if any of ``how_many`` independent weighted word fingerprints differ in at most ``radius``
-    bits. One majority fingerprint of word shingles would miss most copies of which every twentieth
-    word was changed; ten independent ones at two bits find about nine in ten pairs of texts
-    that share four fifths of their five-word shingles, and link hardly any unrelated ones.
+    Two texts are linked if a ``share`` of their word shingles is common (Jaccard similarity of the sets), and groups are what
+    links connect. Candidates are texts of which any of ``how_many`` independent weighted word fingerprints differ in at most
+    ``radius`` bits, and every candidate is verified on the shingles. One majority fingerprint of word shingles would miss
+    most copies of which every twentieth word was changed; ten independent ones at two bits find nearly all.
+
+    Copies of one fingerprint, and crowded cells, are verified against one of their members first. Cells that
+    are not one group after that are searched exactly, so which member was chosen does not matter.
 
     The document with the smallest key stays, and of a repeated key the text with the smallest hash (of
-    repeated rows one; null keys come last).
-    Texts without words are copies of each other.
+    repeated rows one; null keys come last). Texts without words are copies of each other.
     """
     # Rows are told by key and text, as keys may be null or repeated with other texts.
     own = docs.withColumn("__digest", F.xxhash64(F.md5(text_of(text).cast("binary")), F.length(text_of(text))))
     made = with_fingerprints(own, [key, "__digest"], text, 1, how_many)
-    made = made.withColumn("node", F.xxhash64("fps"))
-    # Copies are one row from here on; null keys come last.
+    # Equal texts are one row from here on; null keys come last.
     least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__digest").alias("digest"))).alias("least")
-    nodes = materialize(made.groupBy("node").agg(F.first("fps").alias("fps"), least), "classes")
+    nodes = materialize(made.groupBy(F.col("__digest").alias("node")).agg(F.first("fps").alias("fps"), least), "classes")
     series = nodes.select("node", F.posexplode("fps").alias("series", "fp"))
-    classes = materialize(series.groupBy("series", "fp").agg(F.min("node").alias("node")), "series")
-    same = series.join(classes.withColumnRenamed("node", "b"), ["series", "fp"]).where("node != b").select(F.col("node").alias("a"), "b")
-    groups = components(same.union(links(classes, radius)))
+    classes = materialize(series.groupBy("series", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "series")
+    several = classes.where("n > 1").select("series", "fp", F.col("node").alias("b"), "n")
+    same = join_counted(series, several, ["series", "fp"], "n").where("node != b").select(F.col("node").alias("a"), "b")
+    edges = materialize(same.union(links(classes.drop("n"), radius)).distinct(), "candidates")
+    # All texts of a linked fingerprint are met, not only the one that stands for it.
+    met = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "met")
+    texts = own.select("__digest", text).join(met.withColumnRenamed("node", "__digest").hint("merge"), "__digest", "left_semi")
+    one = texts.groupBy("__digest").agg(F.first(text).alias(text))
+    sets = materialize(with_shingles(one.withColumnRenamed("__digest", "node"), ["node"], text, shingle), "shingles")
+    sure = materialize(similar(edges, sets, share), "sure")
+    groups = materialize(components(sure), "groups")
+    members = series.join(met, "node").select("node", F.explode(F.array(*cell_keys(radius))).alias("cell")).distinct()
+    more = missed(members, groups, sets, share)
+    groups = components(sure.union(more))
     rooted = nodes.select("least", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.digest"), "kept")
     return _one_of_each(own, kept, key).select(*docs.columns)
 
 
+def cell_keys(radius: int, blocks: int = BLOCKS) -> list[Column]:
+    """Of a row with ``series`` and ``fp`` the keys of which fingerprints ``radius`` apart share one: all but ``radius`` blocks."""
+    bounds = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(bounds)]
+    chosen = list(itertools.combinations(masks, blocks - radius))
+    return [F.xxhash64(F.lit(n), F.col("series"), F.col("fp").bitwiseAND(F.lit(_signed(sum(c))))) for n, c in enumerate(chosen)]
+
+
 def _one_of_each(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose key and ``__digest`` are in ``kept`` (``key``, ``digest``); of equal ones the smallest row."""
     columns = docs.columns

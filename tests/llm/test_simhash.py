@@ -132,6 +132,48 @@ def test_survivors_are_told_by_their_text(spark):
     assert kept == sorted([(-1, one), (-1, two), (5, three), (3, four)])
 
 
+def jaccard(a, b):
+    own, other = (set(simhash.shingles_of(simhash.words_of(t), 5)) for t in (a, b))
+    return len(own & other) / len(own | other) if own | other else 1.0
+
+
+def test_near_copies_share_their_shingles(spark):
+    rng = random.Random(4)
+    rows = []
+    for family in range(6):
+        words = prose(rng, 150).split()
+        for _ in range(30):
+            copy = list(words)
+            for _ in range(rng.choice((0, 1, 2, 4, 8))):
+                copy[rng.randrange(150)] = rng.choice(WORDS)
+            if rng.random() < 0.4:
+                # The same bag of words in another order, so the same fingerprints.
+                start = rng.randrange(60)
+                middle = copy[start : start + 60]
+                rng.shuffle(middle)
+                copy[start : start + 60] = middle
+            rows.append((len(rows), " ".join(copy)))
+        # One bag of words in two unlike orders: a large cell that is not one group.
+        other = list(words)
+        rng.shuffle(other)
+        for _ in range(25):
+            at = rng.randrange(149)
+            changed = list(rng.choice((words, other)))
+            changed[at], changed[at + 1] = changed[at + 1], changed[at]
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(len(rows), ""), (len(rows) + 1, " ")]
+    docs = spark.createDataFrame([(i, t, "x", "clash") for i, t in rows], SCHEMA)
+    found = sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect())
+    prints = [simhash.weighted_fingerprints(t, 10) for _, t in rows]
+    linked = [
+        (a, b)
+        for (a, x), (b, y) in itertools.combinations(rows, 2)
+        if any(bits(p, q) <= 2 for p, q in zip(prints[a], prints[b], strict=True)) and jaccard(x, y) >= 0.8
+    ]
+    roots = brute(linked, [i for i, _ in rows])
+    assert found == sorted(set(roots.values()))
+
+
 def test_weighted_fingerprints_agree_with_sums():
     found = simhash.weighted_fingerprints("a b b c c c", 3)
     assert found == simhash.weighted_fingerprints("C b c A b c", 3)
