@@ -19,7 +19,6 @@ from plumbscore.llm.registered import query, table, text_of
 from plumbscore.session import materialize
 
 ALLOW, BLOCK = "allow", "block"
-DEPTH = 6
 MANY_CHILDREN = 20
 FEW_PAGES = 3.0
 SMOOTHING = 4.0
@@ -99,18 +98,19 @@ def _significant(a: Column, n: Column, b: Column, m: Column) -> Column:
     return F.abs((a + 0.5) / (n + 1.0) - (b + 0.5) / (m + 1.0)) > SIGNIFICANT * F.sqrt(pooled * (1 - pooled) * (1 / (n + 1.0) + 1 / (m + 1.0)))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``pages`` plus ``segments``: their first ``depth`` generalised segments, wildcards by count included.
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pages`` plus ``template``: all their generalised segments, wildcards by count included; and a row per shape.
 
     At each level the children of a node are counted; where there are more than
-    ``MANY_CHILDREN`` with ``FEW_PAGES`` pages each or fewer on average, all of them become ``*``. Paths are
-    judged by their first ``depth`` segments.
+    ``MANY_CHILDREN`` with ``FEW_PAGES`` pages each or fewer on average, all of them become ``*``. There
+    are as many levels as the longest path has segments.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    marked = pages.withColumn("segments", F.transform(F.slice(parts, F.lit(1), F.lit(depth)), generalise))
+    marked = pages.withColumn("segments", F.transform(parts, generalise))
     # Equal templates are one row from here on; pages get theirs back by a join on (host, raw).
     marked = marked.withColumn("raw", F.array_join("segments", "/"))
     shapes = materialize(marked.groupBy("host", "raw", "segments").agg(F.count("*").alias("pages"), _labels("block"), _labels("allow")), "shapes")
+    depth = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
     current = shapes.withColumn("template", F.array().cast("array<string>"))
     for level in range(depth):
         here = F.get("segments", F.lit(level))
@@ -133,7 +133,7 @@ def _labels(verdict: str) -> Column:
     return F.sum((F.coalesce(F.col("rule_verdict"), F.lit("")) == verdict).cast("long")).alias(verdict)
 
 
-def purities(final: DataFrame, depth: int = DEPTH, smoothing: float = SMOOTHING) -> DataFrame:
+def purities(final: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """``(host, template, purity)`` for every template, from the root of its host down.
 
     Counts of a node are those of all pages below it. The purity of a node is the share of
@@ -141,7 +141,7 @@ def purities(final: DataFrame, depth: int = DEPTH, smoothing: float = SMOOTHING)
     ``smoothing`` pages; the root is smoothed towards that of all hosts. Similar
     siblings of one shape have their counts pooled.
     """
-    everything = final.agg(F.sum("block").alias("b"), F.sum("allow").alias("a")).first()
+    everything = final.agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), F.max(F.size("template")).alias("depth")).first()
     prior = ((everything["b"] or 0) + 0.5) / ((everything["b"] or 0) + (everything["a"] or 0) + 2.0)
     nodes = final.select(
         "host", "block", "allow", F.explode(F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", F.lit(1), i))).alias("node")
@@ -162,10 +162,12 @@ def purities(final: DataFrame, depth: int = DEPTH, smoothing: float = SMOOTHING)
     tree = materialize(pooled.select("host", "node", "parent", "level", "b", "a"), "tree")
     purity = tree.where("level = 0").select("host", "node", ((F.col("b") + smoothing * prior) / (F.col("b") + F.col("a") + smoothing)).alias("purity"))
     found = purity
-    for level in range(1, depth + 1):
+    for level in range(1, (everything["depth"] or 0) + 1):
         above = purity.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"))
         purity = tree.where(F.col("level") == level).join(above, ["host", "parent"])
         purity = purity.select("host", "node", ((F.col("b") + smoothing * F.col("above")) / (F.col("b") + F.col("a") + smoothing)).alias("purity"))
+        # Written, so that a deep path does not make a plan that holds every level above again.
+        purity = materialize(purity, "purity")
         found = found.union(purity)
     return found.select("host", F.col("node").alias("template"), "purity")
 

@@ -208,6 +208,18 @@ def test_templates_learn_from_rules(spark):
     assert found[105]["verdict"] == "allow" and found[105]["template"] == "/news/*"
 
 
+def test_templates_reach_the_last_segment(spark):
+    deep = "/".join("abcdefghi")
+    rows = [f"http://h.net/{deep}/ads/{i}" for i in range(30)] + [f"http://h.net/{deep}/news/{i}" for i in range(60)]
+    rows += [f"http://h.net/{deep}/ads/100", f"http://h.net/{deep}/news/100"]
+    rules = [("h.net", f"/{deep}/ads/{i}", "block") for i in range(20, 30)] + [("h.net", f"/{deep}/news/{i}", "allow") for i in range(20, 60)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    found = {r["page_id"]: r for r in urls.judge(pages, rules).collect()}
+    assert len(found) == len(rows)
+    assert (found[90]["template"], found[90]["verdict"]) == (f"/{deep}/ads/{{number}}", "block")
+    assert (found[91]["template"], found[91]["verdict"]) == (f"/{deep}/news/{{number}}", "allow")
+
+
 def _archive(spark, rows, **spec):
     path = scratch_path(spark, "warc")
     pages = spark.createDataFrame([(i, u, t, "x") for i, u, t in rows], "page_id long, url string, html string, payload string")
