@@ -11,7 +11,8 @@ one join of words with their counts serves both.
 
 *Types.* Words with at least one in ``HEAD`` of all training tokens are types of their own; there are ``HEAD`` of them at
 most, at every size. All other words, known or not, are dealt to ``SHAPES`` types by their spelling (the first and the last
-bytes), so the number of types is a parameter and every word has a class. Counts of words cover the whole vocabulary.
+bytes), so the number of types is a parameter and every word has a class. Counts of words cover the whole vocabulary: tasks
+hold those of the words with more than one in ``COUNTED`` of all tokens, which are ``COUNTED`` at most, and texts meet all others by a join in which no word is a hot key.
 
 *Exchange.* Texts are written once as sequences of types. Each pass counts, inside the tasks, how often each type
 stands before and after each class; these tables have types times classes entries whatever the corpus
@@ -36,6 +37,7 @@ from plumbscore.llm.registered import crc_part, query, table
 from plumbscore.session import materialize
 
 HEAD = 16384
+COUNTED = 1 << 20
 SHAPES = 1024
 CLASSES = 64
 PASSES = 8
@@ -84,9 +86,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What tasks know of words: the frequent ones with type and count, and the sizes of all."""
+    """What tasks know of words: frequent ones with type and count, those that are types first, and the sizes of all."""
 
     head: dict[bytes, tuple[int, int]]
+    counted: dict[bytes, tuple[int, int]]
+    rare: float  # words with no more tokens are not in ``counted``
     tokens: int
     texts: int
     words: int
@@ -103,15 +107,18 @@ class Vocabulary:
         return float(np.log10(self.tokens + DELTA * (self.words + 1)))
 
 
-def read_vocabulary(counts: DataFrame, texts: int, head: int = HEAD, shapes: int = SHAPES) -> Vocabulary:
+def read_vocabulary(counts: DataFrame, texts: int, head: int = HEAD, shapes: int = SHAPES, counted: int = COUNTED) -> Vocabulary:
     """The vocabulary of written word counts; ``texts`` is the number of training texts, each with one end."""
     found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, words = found[0] + texts, found[1] + (texts > 0)
     least = tokens / head
-    # Fewer than ``head`` words can have a share of one in ``head``.
-    frequent = counts.where(F.col("c") > least).orderBy(F.desc("c"), "word").toArrow()
-    known = {w: (n + 1, c) for n, (w, c) in enumerate(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))}
+    # Fewer than ``counted`` words can have a share of more than one in ``counted``, and fewer than ``head`` one in ``head``.
+    rarest = tokens / max(counted, head)
+    frequent = counts.where(F.col("c") > rarest).orderBy(F.desc("c"), "word").toArrow()
+    listed = list(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))
+    known = {w: (n + 1, c) for n, (w, c) in enumerate(listed) if c > least}
     first = len(known) + 1
+    all_counted = {w: (known[w][0] if w in known else first + shape_of(w, shapes), c) for w, c in listed}
     by_type, kinds = np.zeros(first + shapes, dtype=np.int64), np.zeros(first + shapes, dtype=np.int64)
     by_type[END], kinds[END] = texts, texts > 0
     for n, c in known.values():
@@ -128,23 +135,24 @@ def read_vocabulary(counts: DataFrame, texts: int, head: int = HEAD, shapes: int
     rare = counts.where(F.col("c") <= least).mapInArrow(shaped, "shape long, c long, words long")
     for shape, c, n in rare.groupBy("shape").agg(F.sum("c"), F.sum("words")).collect():  # at most SHAPES rows
         by_type[first + shape], kinds[first + shape] = c, n
-    return Vocabulary(known, tokens, texts, words, by_type, kinds, shapes)
+    return Vocabulary(known, all_counted, rarest, tokens, texts, words, by_type, kinds, shapes)
 
 
 def type_sequences(texts: DataFrame, known: Vocabulary) -> DataFrame:
     """``(row, doc, held, types, log_sum, n_known, rare, times)`` per text.
 
     ``types`` are the type numbers as packed 16-bit integers, the end last. ``log_sum`` adds ``log10(count + 0.1)`` over the tokens of
-    frequent words and the end; the rare and unknown words with their counts are listed beside it, to be joined.
+    counted words and the end; the rare and unknown words with their counts are listed beside it, to be joined.
     """
-    head, shapes, end_count = known.head, known.shapes, known.texts
-    first = len(head) + 1
-    logs = {w: (n, float(np.log10(c + DELTA))) for w, (n, c) in head.items()}
+    shapes, end_count = known.shapes, known.texts
+    first = len(known.head) + 1
+    # At most COUNTED words; a broadcast is read once a process, not once a task.
+    sent = texts.sparkSession.sparkContext.broadcast({w: (n, float(np.log10(c + DELTA))) for w, (n, c) in known.counted.items()})
     end_log = float(np.log10(end_count + DELTA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        number = 0
+        number, logs = 0, sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -373,7 +381,7 @@ def class_trigrams(sequences: DataFrame, classes: np.ndarray, how_many: int) ->
     return found.reshape(how_many, how_many, how_many)
 
 
-def score_texts(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text", head: int = HEAD, shapes: int = SHAPES, how_many: int = CLASSES, passes: int = PASSES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text", head: int = HEAD, shapes: int = SHAPES, how_many: int = CLASSES, passes: int = PASSES, counted: int = COUNTED) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``held_out`` is a boolean column; its true rows are scored and not learnt from, and null counts as false. Scores are log10
@@ -386,7 +394,7 @@ def score_texts(docs: DataFrame, held_out: str, key: str = "doc_id", text: str =
     texts = _texts(flagged, key, text, "__held")
     training = texts.where(~F.col("held")).count()
     counts = materialize(word_counts(texts), "word-counts")
-    known = read_vocabulary(counts, training, head, shapes)
+    known = read_vocabulary(counts, training, head, shapes, counted)
     sequences = materialize(type_sequences(texts, known), "type-sequences")
     learnt = sequences.where(~F.col("held"))
     classes = cluster(learnt, known, how_many, passes)
@@ -403,9 +411,9 @@ def score_texts(docs: DataFrame, held_out: str, key: str = "doc_id", text: str =
     own = sequences.select("row", "doc", "held", "log_sum", "n_known", "types").mapInArrow(
         scored, f"row long, doc {kind}, held boolean, log_sum double, n_known long, n_tokens long, class_sum double"
     )
-    # Rare words have less than one in ``head`` of the tokens, so none is a hot key.
+    # Rare words have one in ``counted`` of the tokens at most, so none is a hot key.
     pairs = sequences.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", "w.rare", "w.times")
-    rare = counts.where(F.col("c") <= known.tokens / head)
+    rare = counts.where(F.col("c") <= known.rare)
     joined = pairs.join(rare.withColumnRenamed("word", "rare"), "rare", "left")
     logs = F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(DELTA))).alias("rare_sum")
     sums = joined.groupBy("row").agg(logs, F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))

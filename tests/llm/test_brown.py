@@ -36,7 +36,7 @@ def scored(spark):
     patch.setattr(brown, "WORDS_AT_ONCE", 7)
     rows = made()
     frame = spark.createDataFrame([(*r, "s", "r", "t") for r in rows], SCHEMA).repartition(3)
-    found = brown.score_texts(frame, "out", head=2000, shapes=8, how_many=5, passes=4).toPandas()
+    found = brown.score_texts(frame, "out", head=2000, shapes=8, how_many=5, passes=4, counted=9000).toPandas()
     patch.undo()
     return rows, found, caught["known"], caught["classes"]
 
@@ -51,7 +51,8 @@ def test_scores_equal_a_plain_version(scored):
     counts = Counter(w for words in training for w in words)
     total, distinct = sum(counts.values()) + len(training), len(counts) + 1
     first = len(known.head) + 1
-    assert known.tokens == total and known.words == distinct and all(counts[w] == c for w, (_, c) in known.head.items())
+    assert known.tokens == total and known.words == distinct and all(counts[w] == c for w, (_, c) in known.counted.items())
+    assert len(known.head) < len(known.counted) < len(counts)
 
     def kind(word):
         return known.head[word][0] if word in known.head else first + brown.shape_of(word, 8)
