@@ -41,6 +41,7 @@ BLOCKS = 4
 SHINGLE = 5
 SHARE = 0.8
 GOLDEN = 0x9E3779B97F4A7C15
+MARKS = 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -216,18 +217,35 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
 
 def with_shingles(docs: DataFrame, keep: Sequence[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``keep`` plus ``shingles``, the ascending different XXH64 of the text's shingles; empty without words."""
+    """``keep`` plus ``shingles``, the ascending different XXH64 of the text's shingles; empty without words.
+
+    ``marks`` are ``MARKS`` longs of bits; every shingle flips one of them. So two sets differ in at least as many shingles as
+    their marks differ in bits, see :func:`may_be_similar`.
+    """
 
     def rows(batch: list[dict]) -> list[dict]:
         for row in batch:
             runs = set(shingles_of(words_of(row.pop("__text")), shingle))
             hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), dtype=np.uint64, count=len(runs))
-            row["shingles"] = np.unique(hashes.view(np.int64)).tolist()
+            hashes = np.unique(hashes)
+            row["shingles"] = np.sort(hashes.view(np.int64)).tolist()
+            flips = np.bincount((hashes % np.uint64(MARKS * BITS)).astype(np.int64), minlength=MARKS * BITS) & 1
+            row["marks"] = np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
         return batch
 
     kept = docs.select(*keep, text_of(text).alias("__text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_rows(kept, rows, f"{schema}, shingles array<bigint>")
+    return map_rows(kept, rows, f"{schema}, shingles array<bigint>, marks array<bigint>")
+
+
+def may_be_similar(share: float) -> Column:
+    """False only if the sets of ``n_a`` and ``n_b`` shingles with ``marks_a`` and ``marks_b`` cannot have ``share`` in common.
+
+    A Jaccard similarity of ``share`` leaves ``(n_a + n_b) * (1 - share) / (1 + share)`` shingles that only one of them has.
+    """
+    differing = sum((F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i])) for i in range(MARKS)), F.lit(0))
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9
+    return sizes & (differing <= (F.col("n_a") + F.col("n_b")) * ((1 - share) / (1 + share)) + 1e-9)
 
 
 def similar(edges: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
@@ -235,12 +253,12 @@ def similar(edges: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFram
 
     Two empty sets are equal.
     """
-    sizes = sets.select("node", F.size("shingles").alias("n"))
+    sizes = sets.select("node", F.size("shingles").alias("n"), "marks")
     sized = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     for end in ("a", "b"):
-        sized = sized.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
-    # The sizes alone rule many out, before the sets travel.
-    fit = materialize(sized.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9), "fitting")
+        sized = sized.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("marks").alias(f"marks_{end}")), end)
+    # Sizes and marks rule most others out, before the sets travel.
+    fit = materialize(sized.where(may_be_similar(share)).select("a", "b", "n_a", "n_b"), "fitting")
     both = fit
     for end in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}")), end)
@@ -248,12 +266,16 @@ def similar(edges: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFram
     return both.where(common >= (F.col("n_a") + F.col("n_b") - common) * share - 1e-9).select("a", "b")
 
 
-def missed(members: DataFrame, groups: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
-    """``(a, b)``: similar nodes of different ``groups`` among those that share a cell of ``members`` with another group.
+def missed(members: DataFrame, groups: DataFrame, sure: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(a, b)``: edges that complete ``sure`` among the nodes that share a cell of ``members`` with another of the ``groups``.
 
     ``members`` has ``cell`` and ``node``. Nodes of which all cells lie in one group have no such partner. The
     others are searched by prefixes, the rarest shingles of a set: of two sets that share ``share``, each holds one of the
     other's ``n - ceil(share * n) + 1`` rarest, in one order for all. So nothing is missed, and a line that many texts share is no key.
+
+    First all holders of a prefix shingle are verified against its smallest holder, which joins most groups that belong
+    together by as many rows as there are prefixes. Only what then is in different groups is met as pairs. A pair
+    is a row at its first common shingles only (it is left out where both have the same one just before, as it was met there), and only if sizes and marks allow the similarity.
     """
     rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "rooted")
@@ -265,14 +287,27 @@ def missed(members: DataFrame, groups: DataFrame, sets: DataFrame, share: float
     held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     held = materialize(held, "held")
     ranked = tokens.join(held, "token")
-    lists = ranked.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") != F.col("hi")).alias("shared")))).alias("t"))
+    lists = ranked.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") != F.col("hi")).alias("shared")))).alias("t"))
     prefix = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))
-    keyed = lists.select("node", "root", "n", F.explode(prefix).alias("t")).where("t.shared").select("node", "root", "n", "t.token")
-    keyed = materialize(keyed, "prefixes")
-    left, right = (keyed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n")]) for x in "ab")
-    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9
-    pairs = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & fits)
-    return similar(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), own, share)
+    found = lists.select("node", "n", F.filter(prefix, lambda t: t.shared).alias("t")).select("node", "n", F.transform("t", lambda t: t.token).alias("t"))
+    before = lambda i: F.filter(F.array(*[F.get("t", i - k) for k in (1, 2, 3)]), lambda x: x.isNotNull())
+    placed = found.select("node", "n", F.explode(F.transform("t", lambda x, i: F.struct(x.alias("token"), before(i).alias("before")))).alias("p"))
+    placed = materialize(placed.select("node", "n", "p.token", "p.before"), "prefixes")
+
+    hubs = placed.groupBy("token").agg(F.min("node").alias("b"))
+    stars = placed.select("token", F.col("node").alias("a")).join(hubs, "token").where("a != b").select("a", "b").distinct()
+    own_roots = opened.select(F.col("node").alias("a"), F.col("root").alias("root_a")), opened.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    stars = stars.join(own_roots[0], "a").join(own_roots[1], "b").where("root_a != root_b").select("a", "b")
+    joined = materialize(sure.union(similar(stars, own, share)), "joined")
+
+    now = opened.select("node").join(components(joined), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = placed.join(now, "node")
+    still = keyed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    keyed = materialize(keyed.join(still, "token", "left_semi").join(own.select("node", "marks"), "node"), "pairable")
+    left, right = (keyed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "before", "marks")]) for x in "ab")
+    met_before = F.arrays_overlap("before_a", "before_b")
+    pairs = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & ~met_before & may_be_similar(share))
+    return joined.union(similar(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), own, share))
 
 
 def drop_near_copies(
@@ -304,14 +339,14 @@ def drop_near_copies(
     edges = materialize(same.union(links(classes.drop("n"), radius)).distinct(), "candidates")
     # All texts of a linked fingerprint are met, not only the one that stands for it.
     met = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "met")
-    texts = own.select("__digest", text).join(met.withColumnRenamed("node", "__digest").hint("merge"), "__digest", "left_semi")
-    one = texts.groupBy("__digest").agg(F.first(text).alias(text))
+    # One row of equal texts per task travels, not every copy.
+    one = own.groupBy("__digest").agg(F.first(text).alias(text))
+    one = one.join(met.withColumnRenamed("node", "__digest").hint("merge"), "__digest", "left_semi")
     sets = materialize(with_shingles(one.withColumnRenamed("__digest", "node"), ["node"], text, shingle), "shingles")
     sure = materialize(similar(edges, sets, share), "sure")
     groups = materialize(components(sure), "groups")
     members = series.join(met, "node").select("node", F.explode(F.array(*cell_keys(radius))).alias("cell")).distinct()
-    more = missed(members, groups, sets, share)
-    groups = components(sure.union(more))
+    groups = components(missed(members, groups, sure, sets, share))
     rooted = nodes.select("least", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.digest"), "kept")
     return _one_of_each(own, kept, key).select(*docs.columns)
