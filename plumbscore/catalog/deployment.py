@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbscore.catalog.registered import (
+    SHIFT_DOUBLES,
     SUMMARY_COLUMNS,
     SUMMARY_DOUBLES,
     hash_sql,
     query,
     rounded,
+    shift_sql,
     summary_sql,
     table,
 )
+from plumbscore.operators.drift import input_shift, input_sketches
 from plumbscore.operators.nearest import nearest
 from plumbscore.operators.sampling import assign, window_sample
 from plumbscore.plans.deployment import (
@@ -28,6 +31,8 @@ from plumbscore.plans.deployment import (
     window_metrics,
     window_start,
 )
+from plumbscore.session import scratch_path
+from plumbscore.sources.model_store import load_profile, profile_path, save_profile
 
 MODELS = ["logisticRegression", "neuralNetwork", "randomForest"]
 SCORED_SQL = """SELECT event_id, user_id, ts, date_trunc('day', ts) AS date, event_type, m.model,
@@ -261,3 +266,35 @@ def nearest_metric_by_user(spark: SparkSession, folder: str) -> DataFrame:
     """The same among the events of each user."""
     probes, series = _probes_and_series(spark, folder)
     return nearest(probes, series, "ts", "value", by=["user_id"]).drop("user_id")
+
+
+SMALL_K = 65535  # Sketches of the test tables of the smaller sizes are exact, so SQL can tell the same distances.
+INPUTS = ["x1", "x2", "x3"]
+INPUTS_SQL = """SELECT ts, unnest(['x1', 'x2', 'x3']) AS feature, unnest([floor(value), CAST(props->>'$.k' AS DOUBLE),
+    CASE WHEN user_id % 7 <> 0 THEN (event_id % 1000) / 10e0 END]) AS x FROM events"""
+
+
+def model_inputs(events: DataFrame) -> DataFrame:
+    """``events`` with three features: one with few values, one from JSON, and one with gaps that grows with time."""
+    return events.withColumns(
+        {
+            "x1": F.floor("value").cast("double"),
+            "x2": F.get_json_object("props", "$.k").cast("double"),
+            "x3": F.when(F.col("user_id") % 7 != 0, (F.col("event_id") % 1000) / 10),
+        }
+    )
+
+
+@query(
+    "input_shift",
+    f"""WITH {shift_sql(f"SELECT feature, x FROM ({INPUTS_SQL}) AS i WHERE ts < TIMESTAMP '2024-01-04'",
+                        f"SELECT date_trunc('day', ts) AS date, feature, x FROM ({INPUTS_SQL}) AS i", ["date"])}
+        SELECT date, feature, n_base, n, {", ".join(f"round({c}, 6) AS {c}" for c in SHIFT_DOUBLES)}, shifted FROM shift""",
+)
+def input_shift_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """The inputs of each day against those of the first three days, whose sketches are stored and read again."""
+    rows = model_inputs(table(spark, folder, "events"))
+    path = profile_path(scratch_path(spark, "models"), "kmeans")
+    save_profile(input_sketches(rows.where("ts < timestamp_ntz'2024-01-04'"), INPUTS, k=SMALL_K), path)
+    days = input_sketches(rows.withColumn("date", window_start("ts", "1 day")), INPUTS, ["date"], SMALL_K)
+    return rounded(input_shift(load_profile(spark, path), days, ["date"]), SHIFT_DOUBLES)

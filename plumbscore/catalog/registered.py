@@ -98,3 +98,49 @@ def summary_sql(source: str, keys: Sequence[str] = ()) -> str:
 
 SUMMARY_DOUBLES = ("auc", "auprc", "f1_threshold", "max_f1", "ks_fpr", "ks_tpr", "max_ks")
 SUMMARY_COLUMNS = "positives, negatives, " + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES)
+
+
+def shift_sql(base: str, current: str, keys: Sequence[str] = ()) -> str:
+    """CTEs up to ``shift``: exact two-sample distances of relations with feature and x, gaps included as null."""
+    by = "".join(f"{k}, " for k in keys)
+    own = "".join(f"c.{k}, " for k in keys)
+    using = f"({by}feature)"
+    return f"""
+    b AS ({base}), c AS ({current}),
+    bn AS (SELECT feature, count(*) AS rows_base, count(x) AS n_base FROM b GROUP BY feature),
+    cn AS (SELECT {by}feature, count(*) AS rows, count(x) AS n FROM c GROUP BY {by}feature),
+    bo AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS rn FROM b WHERE x IS NOT NULL),
+    co AS (SELECT {by}feature, x, row_number() OVER (PARTITION BY {by}feature ORDER BY x) AS rn FROM c WHERE x IS NOT NULL),
+    parts AS (SELECT unnest(range(1, 257)) AS i),
+    bq AS (SELECT feature, i, x FROM bo JOIN bn USING (feature), parts WHERE rn = (i * n_base + 255) // 256),
+    cq AS (SELECT {by}feature, i, x FROM co JOIN cn USING {using}, parts WHERE rn = (i * n + 255) // 256),
+    grid AS (SELECT {own}feature, x FROM cn AS c JOIN bq USING (feature) UNION SELECT {by}feature, x FROM cq),
+    cuts AS (SELECT DISTINCT feature, x FROM bq WHERE i % 16 = 0 AND i < 256),
+    ranked AS (
+      SELECT {own}c.feature, c.x, (SELECT count(*) FROM bq WHERE bq.feature = c.feature AND bq.x <= c.x) / 256e0 AS f_base,
+        (SELECT count(*) FROM cq WHERE cq.feature = c.feature AND cq.x <= c.x {"".join(f"AND cq.{k} = c.{k} " for k in keys)}) / 256e0 AS f
+      FROM (SELECT * FROM grid UNION SELECT {own}feature, x FROM cn AS c JOIN cuts USING (feature)) AS c
+    ),
+    distance AS (SELECT {by}feature, max(abs(f_base - f)) AS ks FROM ranked JOIN bn USING (feature) JOIN cn USING {using}
+                 WHERE n > 0 AND n_base > 0 GROUP BY {by}feature),
+    ends AS (SELECT {by}feature, x, f_base, f FROM ranked JOIN cuts USING (feature, x)
+             UNION ALL SELECT {by}feature, 'infinity'::DOUBLE, CASE WHEN n_base > 0 THEN 1 ELSE 0 END, CASE WHEN n > 0 THEN 1 ELSE 0 END FROM cn JOIN bn USING (feature)),
+    cells AS (
+      SELECT {by}feature, (f_base - coalesce(lag(f_base) OVER w, 0)) * n_base AS b_rows, (f - coalesce(lag(f) OVER w, 0)) * n AS c_rows
+      FROM ends JOIN bn USING (feature) JOIN cn USING {using} WINDOW w AS (PARTITION BY {by}feature ORDER BY x)
+      UNION ALL SELECT {by}feature, rows_base - n_base, rows - n FROM cn JOIN bn USING (feature)
+    ),
+    stability AS (
+      SELECT {by}feature, sum((p - q) * ln(p / q)) AS psi FROM (
+        SELECT {by}feature, (b_rows + 0.5e0) / (rows_base + 0.5e0 * count(*) OVER w) AS p, (c_rows + 0.5e0) / (rows + 0.5e0 * count(*) OVER w) AS q
+        FROM cells JOIN bn USING (feature) JOIN cn USING {using} WINDOW w AS (PARTITION BY {by}feature)) AS z GROUP BY {by}feature
+    ),
+    shift AS (
+      SELECT *, coalesce(ks > ks_limit, false) OR psi > 0.2 AS shifted FROM (
+        SELECT {by}feature, n_base, n, 1 - n_base / rows_base::DOUBLE AS gap_base, 1 - n / rows::DOUBLE AS gap, ks,
+          CASE WHEN n > 0 AND n_base > 0 THEN sqrt(-0.5e0 * ln(0.005e0)) * sqrt(1 / n::DOUBLE + 1 / n_base::DOUBLE) + 1 / 256e0 END AS ks_limit, psi
+        FROM cn JOIN bn USING (feature) LEFT JOIN distance USING {using} JOIN stability USING {using}) AS z
+    )"""
+
+
+SHIFT_DOUBLES = ("gap_base", "gap", "ks", "ks_limit", "psi")

@@ -7,21 +7,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbscore.catalog.deployment import CENTRES, POINTS_SQL, SCORED_SQL, bought, model_scores, pairwise_sql
+from plumbscore.catalog.deployment import CENTRES, INPUTS, INPUTS_SQL, POINTS_SQL, SCORED_SQL, SMALL_K, bought, model_inputs, model_scores, pairwise_sql, scored_events
 from plumbscore.catalog.registered import (
     SUMMARY_COLUMNS,
     SUMMARY_DOUBLES,
     hash_sql,
     query,
     rounded,
+    shift_sql,
     summary_sql,
     table,
 )
+from plumbscore.operators.drift import input_sketches
 from plumbscore.plans.deployment import baseline_silhouette, metrics_of_counts
 from plumbscore.session import scratch_path
 from plumbscore.sources.metric_store import all_metrics
 from plumbscore.streaming.monitor import Monitor, start
 from plumbscore.streaming.streams import event_time, parquet_stream, score_counts, start_counts
+from plumbscore.streaming.windows import WindowStore, start_windows
 
 CHUNK_STARTS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22"]
 
@@ -46,7 +49,7 @@ def stream_window_auc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics_of_counts(stored), SUMMARY_DOUBLES)
 
 
-def run_monitor(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+def run_monitor(spark: SparkSession, folder: str, mode: str, inputs: bool = False) -> DataFrame:
     """Feed the events to a monitor in four parts, restarting it for each, and return its metrics."""
     source, store, checkpoint = (scratch_path(spark, name) for name in ("source", "store", "checkpoint"))
     events = table(spark, folder, "events")
@@ -67,13 +70,14 @@ def run_monitor(spark: SparkSession, folder: str, mode: str) -> DataFrame:
         baseline=baseline_silhouette(trained, list(features), CENTRES),
         tolerance=0.01,
         converted="event_type = 'purchase'",
+        inputs=input_sketches(model_inputs(trained), INPUTS, k=SMALL_K).cache() if inputs else None,
     )
     for begin, end in zip(CHUNK_STARTS, [*CHUNK_STARTS[1:], "9999-01-01"]):
         chunk = events.where(f"ts >= timestamp_ntz'{begin}' AND ts < timestamp_ntz'{end}'")
         chunk.write.mode("append").parquet(source)
         stream = parquet_stream(spark, source, events.schema, files_per_trigger=None)
         rows = stream.withColumns({"y": bought(), **features})
-        start(rows, monitor, checkpoint).awaitTermination()
+        start(model_inputs(rows) if inputs else rows, monitor, checkpoint).awaitTermination()
     return all_metrics(spark, store, mode)
 
 
@@ -190,3 +194,53 @@ def stream_canary(spark: SparkSession, folder: str) -> DataFrame:
     """The silhouette of four streamed batches, its drift from the first three days, and the flag."""
     stored = run_monitor(spark, folder, "champion").where(F.col("model") == "kmeans")
     return rounded(stored.select("seq", "model", "metric", "value"), ["value"])
+
+
+@query(
+    "stream_input_shift",
+    f"""WITH {shift_sql(f"SELECT feature, x FROM ({INPUTS_SQL}) AS i WHERE ts < TIMESTAMP '2024-01-04'",
+                        f"SELECT CAST({CHUNK_SQL} AS BIGINT) AS seq, feature, x FROM ({INPUTS_SQL}) AS i", ["seq"])}
+        SELECT seq, 'input:' || feature AS model, unnest(['ks', 'psi', 'shifted']) AS metric,
+          unnest([round(ks, 6), round(psi, 6), CASE WHEN shifted THEN 1e0 ELSE 0e0 END]) AS value FROM shift""",
+)
+def stream_input_shift(spark: SparkSession, folder: str) -> DataFrame:
+    """The inputs of four streamed batches against those of the first three days."""
+    stored = run_monitor(spark, folder, "champion", inputs=True).where(F.col("model").startswith("input:"))
+    return rounded(stored.select("seq", "model", "metric", "value"), ["value"])
+
+
+ARRIVAL_SQL = f"{CHUNK_SQL} + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END"
+LATE_SQL = f"""placed AS (SELECT *, {ARRIVAL_SQL} AS batch FROM ({SCORED_SQL}) AS e),
+    highs AS (SELECT batch, max(ts) AS high FROM placed GROUP BY batch),
+    befores AS (SELECT a.batch, max(b.high) AS high FROM highs AS a LEFT JOIN highs AS b ON b.batch < a.batch GROUP BY a.batch),
+    judged AS (SELECT date, model, score, y, coalesce(date + INTERVAL 1 DAY <= high - INTERVAL 1 HOUR, false) AS is_late
+               FROM placed JOIN befores USING (batch))"""
+
+
+@query(
+    "stream_all_windows",
+    f"""WITH {LATE_SQL}, summary AS (WITH {summary_sql("SELECT * FROM judged WHERE NOT is_late", ["date", "model"])} SELECT * FROM s),
+        late AS (SELECT date, model, count(*) AS late FROM judged WHERE is_late GROUP BY 1, 2)
+        SELECT date, model, {SUMMARY_COLUMNS}, coalesce(late, 0) AS late,
+          date + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS is_open
+        FROM summary FULL JOIN late USING (date, model)""",
+)
+def stream_all_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of all daily windows, open ones too, from events of which every tenth comes a batch late.
+
+    Batches are summed twice on the way, and one is replayed.
+    """
+    source, path, checkpoint = (scratch_path(spark, name) for name in ("source", "windows", "checkpoint"))
+    events = table(spark, folder, "events")
+    entries = [F.struct(F.lit(n).alias("model"), s.alias("score")) for n, s in model_scores().items()]
+    store = WindowStore(path, "ts", "1 day", "1 hour")
+    for batch in range(len(CHUNK_STARTS) + 1):
+        arrived = events.where(F.expr(ARRIVAL_SQL.replace("TIMESTAMP", "timestamp_ntz")) == batch)
+        arrived.write.mode("append").parquet(source)
+        rows = parquet_stream(spark, source, events.schema, files_per_trigger=None)
+        scored = rows.select("ts", bought().alias("y"), F.explode(F.array(*entries)).alias("e")).select("ts", "y", "e.*")
+        start_windows(scored, store, checkpoint).awaitTermination()
+        if batch in (2, 3):
+            store.compact(spark, batch)
+    store.process(scored_events(spark, folder).where(F.expr(ARRIVAL_SQL.replace("TIMESTAMP", "timestamp_ntz")) == batch), batch)
+    return rounded(store.metrics(spark).withColumn("date", F.col("date").cast("timestamp_ntz")), SUMMARY_DOUBLES)

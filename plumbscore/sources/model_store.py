@@ -12,6 +12,7 @@ from plumbscore.functions import split_text
 
 FEATURE_PIPELINE_FOLDER = "transform"
 MODEL_FOLDER = "models"
+PROFILE_FOLDER = "profiles"
 
 
 def model_path(data_dir: str, name: str) -> str:
@@ -35,6 +36,21 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def profile_path(data_dir: str, name: str) -> str:
+    """Where the sketches of the training inputs of the model called ``name`` are kept."""
+    return os.path.join(data_dir, PROFILE_FOLDER, name)
+
+
+def save_profile(sketches: DataFrame, path: str) -> None:
+    """Write the input sketches of a model's training rows, one row per feature, replacing older ones."""
+    sketches.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Read the input sketches back."""
+    return spark.read.parquet(path)
+
+
 def registry(spark: SparkSession, models_dir: str) -> DataFrame:
     """``(model, stage, class, uid, params)`` for every stage of every saved model.
 

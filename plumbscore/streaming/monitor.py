@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbscore.functions import normalise_weights
 from plumbscore.operators.curves import binary_metrics
+from plumbscore.operators.drift import K, input_shift, input_sketches
 from plumbscore.operators.sampling import assign, period_sample, traffic_models
 from plumbscore.plans.deployment import ab_compare, ab_rates, baseline_silhouette
 from plumbscore.plans.training import CLUSTERERS, score
@@ -48,6 +49,9 @@ class Monitor:
     and with ``baseline``, that of the training rows, its ``drift`` and whether it ``drifted`` by more
     than ``tolerance`` either way (0 or 1).
 
+    With ``inputs``, the stored sketches of the training rows, the batch's own sketches are compared with them: ``ks``,
+    ``psi`` and ``shifted`` (0 or 1) of each feature are stored under ``input:feature``.
+
     Batches depend on the stored rows of earlier batches only, so a replayed batch writes
     the same rows again. The scratch tables of a batch are deleted when it ends, and stored
     batches are compacted, so a monitor can run for months.
@@ -67,6 +71,7 @@ class Monitor:
     baseline: float | None = None
     tolerance: float = 0.1
     converted: str | None = None
+    inputs: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -88,7 +93,7 @@ class Monitor:
             if date is None:
                 return
             with scratch(spark, "monitor"):
-                found = self._measure(rows, batch_id) + self._canary(rows)
+                found = self._measure(rows, batch_id) + self._canary(rows) + self._shifts(rows)
             table = spark.createDataFrame(found, "model string, metric string, value double")
             numbered = table.withColumn("seq", F.lit(batch_id).cast("bigint")).withColumn(
                 "date", F.lit(date.isoformat()).cast("timestamp_ntz")
@@ -180,6 +185,16 @@ class Monitor:
             found += [(name, "drift", drift), (name, "drifted", float(abs(drift) > self.tolerance))]
         return found
 
+    def _shifts(self, rows: DataFrame) -> list[tuple[str, str, float]]:
+        """The shift of each input: three rows per feature."""
+        if self.inputs is None:
+            return []
+        features = [r["feature"] for r in self.inputs.select("feature").collect()]
+        k = self.inputs.agg(F.min("k")).first()[0] or K
+        compared = input_shift(self.inputs, input_sketches(rows, features, k=k)).collect()
+        found = [(f"input:{r['feature']}", name, r[name]) for r in compared for name in ("ks", "psi", "shifted")]
+        return [(model, name, float(value)) for model, name, value in found if value is not None]
+
 
 def start(
     stream: DataFrame, monitor: Monitor, checkpoint: str, period_seconds: float | None = None
