@@ -17,6 +17,7 @@ from plumbscore.operators.clustering import nearest_centre, silhouette
 from plumbscore.operators.curves import binary_counts, binary_summary, threshold_curve
 from plumbscore.operators.running import ROWS_PER_SLICE, Running, running
 from plumbscore.plans.training import score
+from plumbscore.session import materialize
 
 Z_95 = 1.959963984540054  # Fixed value: two-sided 95% point of the normal distribution.
 
@@ -159,8 +160,9 @@ def hedge_splits(
     The share is proportional to exp(eta * sum of earlier values), as in Hedge (Freund and
     Schapire, 1997); the first window shares equally. A model without a value in a window
     gains 0.5 there, as in the streaming monitor, and keeps its share. There are at most
-    ``MAX_MODELS`` models.
+    ``MAX_MODELS`` models. Values are summed as decimals, so a gain does not depend on how the windows were cut.
     """
+    metrics = materialize(metrics.select(time, model, value), "hedged")
     names = sorted(r[0] for r in metrics.select(model).distinct().limit(MAX_MODELS + 1).collect() if r[0] is not None)
     if len(names) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models")
@@ -169,7 +171,8 @@ def hedge_splits(
         known = metrics.groupBy(time, model).agg(F.max(value).alias(value))
         grid = known.select(time).distinct().select(time, listed)
         metrics = grid.join(known, [time, model], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.5)))
-    summed = running(metrics.select(time, model, value), time, [Running("gain", value, "sum_before")], keys=[model])
+    exact = metrics.select(time, model, F.col(value).cast("decimal(28,18)").alias(value))
+    summed = running(exact, time, [Running("gain", value, "sum_before")], keys=[model]).withColumn("gain", F.col("gain").cast("double"))
     window = Window.partitionBy(time)
     weighed = summed.withColumn("__w", F.exp(F.lit(float(eta)) * (F.col("gain") - F.max("gain").over(window))))
     return weighed.select(time, model, "gain", (F.col("__w") / F.sum("__w").over(window)).alias("split"))

@@ -124,3 +124,32 @@ def test_wide_rows_are_not_broadcast(spark, monkeypatch):
     assert hinted(wide)
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 100_000)
     assert not hinted(wide) and hinted(spark.range(100))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_two_levels_of_slices(spark, monkeypatch, descending, keys):
+    import plumbscore.operators.running as module
+
+    caught = []
+    slice_rows = module._slice_rows
+    monkeypatch.setattr(module, "_slice_rows", lambda *a: caught.append(slice_rows(*a)) or caught[-1])
+    rows = skewed_rows(17, 1200)
+    if not keys:
+        rows = [(None, o + n / 4096, v) for n, (_, o, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k string, o double, v bigint").repartition(5)
+    got = running(df, "o", [Running(k, "v", k) for k in KINDS], keys, descending, rows_per_slice=15, most_slices=3)
+    found = {(r.k, r.o): tuple(r[k] for k in KINDS) for r in got.collect()}
+    assert found == expected(rows, descending)
+    sizes = caught[0].where("__large").groupBy("__slice", "__part").count()
+    # As bounded as with enough slices: samples make parts uneven, not large.
+    assert sizes.select("__slice").distinct().count() <= 3 < sizes.count() and sizes.agg(F.max("count")).first()[0] <= 60
+
+
+def test_decimal_sums_are_the_same_in_all_forms(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), float(i), rng.random() * 10 ** rng.randint(-6, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o double, v double").withColumn("v", F.col("v").cast("decimal(28,18)"))
+    forms = [{"rows_per_slice": 100_000}, {"rows_per_slice": 20}, {"rows_per_slice": 7, "most_slices": 4}]
+    found = [sorted(running(df, "o", [Running("s", "v", "sum")], ["k"], **f).select("o", "s").collect()) for f in forms]
+    assert found[0] == found[1] == found[2]
