@@ -18,6 +18,7 @@ from plumbscore.catalog.registered import (
 )
 from plumbscore.operators.drift import input_shift, input_sketches
 from plumbscore.operators.nearest import nearest
+from plumbscore.operators.paired import compare_aucs
 from plumbscore.operators.sampling import assign, window_sample
 from plumbscore.plans.deployment import (
     ab_compare,
@@ -25,6 +26,7 @@ from plumbscore.plans.deployment import (
     baseline_silhouette,
     canary,
     champion,
+    confirmed,
     hedge_splits,
     long_metrics,
     metric_documents,
@@ -298,3 +300,40 @@ def input_shift_by_day(spark: SparkSession, folder: str) -> DataFrame:
     save_profile(input_sketches(rows.where("ts < timestamp_ntz'2024-01-04'"), INPUTS, k=SMALL_K), path)
     days = input_sketches(rows.withColumn("date", window_start("ts", "1 day")), INPUTS, ["date"], SMALL_K)
     return rounded(input_shift(load_profile(spark, path), days, ["date"]), SHIFT_DOUBLES)
+
+
+PAIRED_SQL = f"""e AS ({SCORED_SQL}),
+    placed AS (SELECT a.date, a.model, a.event_id, a.y, avg(CASE WHEN a.score = b.score THEN 0.5e0
+                 WHEN (a.score > b.score) = (a.y > 0.5) THEN 1e0 ELSE 0e0 END) AS v
+               FROM e AS a JOIN e AS b ON a.date = b.date AND a.model = b.model AND (a.y > 0.5) <> (b.y > 0.5) GROUP BY 1, 2, 3, 4),
+    apart AS (SELECT a.date, a.model AS model_a, b.model AS model_b, a.y > 0.5 AS positive, a.v - b.v AS d
+              FROM placed AS a JOIN placed AS b USING (date, event_id) WHERE a.model < b.model),
+    paired AS (SELECT date, model_a, model_b, count(*) AS rows, avg(d) FILTER (positive) AS difference,
+                 sqrt(var_samp(d) FILTER (positive) / count(*) FILTER (positive)
+                   + var_samp(d) FILTER (NOT positive) / count(*) FILTER (NOT positive)) AS error
+               FROM apart GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "champion_paired_test",
+    f"""WITH {PAIRED_SQL} SELECT date, model_a, model_b, rows, round(difference, 6) AS difference, round(difference / error, 6) AS z,
+          abs(difference / error) > 1.959963984540054 AS significant FROM paired""",
+)
+def champion_paired_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the models of a day differ by more than chance on the same events, for every pair."""
+    scored = scored_events(spark, folder).withColumn("date", window_start("ts", "1 day"))
+    return rounded(compare_aucs(scored, "event_id", MODELS, ["date"]), ["difference", "z"])
+
+
+@query(
+    "champion_confirmed",
+    f"""WITH {PAIRED_SQL}, r AS (WITH {DAILY_SQL} SELECT date, model, row_number() OVER (PARTITION BY date ORDER BY auc DESC, model) AS place FROM s),
+        ranked AS (SELECT a.date, a.model AS winner, b.model AS runner_up FROM r AS a JOIN r AS b ON a.date = b.date AND a.place = 1 AND b.place = 2)
+        SELECT date, winner, runner_up, round(abs(difference / error), 6) AS z, abs(difference / error) > 1.959963984540054 AS confirmed
+        FROM ranked JOIN paired USING (date) WHERE (winner = model_a AND runner_up = model_b) OR (winner = model_b AND runner_up = model_a)""",
+)
+def champion_confirmed(spark: SparkSession, folder: str) -> DataFrame:
+    """The winner of each day, the second best, and whether the lead is more than chance."""
+    scored = scored_events(spark, folder).withColumn("date", window_start("ts", "1 day"))
+    metrics = window_metrics(scored.drop("date"), "ts", "1 day")
+    return rounded(confirmed(metrics, compare_aucs(scored, "event_id", MODELS, ["date"])), ["z"])

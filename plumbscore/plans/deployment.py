@@ -75,6 +75,20 @@ def champion(metrics: DataFrame, time: str = "date", model: str = "model", value
     return running(best, time, [Running("champion", "winner", "last_before")])
 
 
+def confirmed(metrics: DataFrame, pairs: DataFrame, time: str = "date", model: str = "model", value: str = "auc") -> DataFrame:
+    """``(time, winner, runner_up, z, confirmed)`` per window: whether the best model leads the second by more than chance.
+
+    ``pairs`` are the paired comparisons of the same windows. The first name wins a tie; a window with one model has no row.
+    """
+    order = F.struct((-F.col(value)).alias("negated"), F.col(model).alias("model"))
+    # The two best of each window, by one partial aggregate: a window has a few models.
+    best = metrics.where(F.col(value).isNotNull()).groupBy(time).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 2).alias("best"))
+    two = best.where(F.size("best") == 2).select(time, F.col("best")[0].model.alias("winner"), F.col("best")[1].model.alias("runner_up"))
+    named = pairs.withColumns({"__low": F.least("model_a", "model_b"), "__high": F.greatest("model_a", "model_b")})
+    met = two.withColumns({"__low": F.least("winner", "runner_up"), "__high": F.greatest("winner", "runner_up")}).join(named, [time, "__low", "__high"])
+    return met.select(time, "winner", "runner_up", F.abs("z").alias("z"), F.coalesce("significant", F.lit(False)).alias("confirmed"))
+
+
 def place(
     df: DataFrame, features: Sequence[str | Column], clusters: PipelineModel | Sequence[Sequence[float]]
 ) -> DataFrame:
