@@ -5,8 +5,8 @@ the sketch holds those with the smallest hashes, as in MinHash. A document that
 share of at least ``share`` of the item lacks at most ``n - ceil(share * n)`` of its shingles, so a
 sketch of one more must meet it: no part misses a containing document. Parts differ in the size
 of that sketch, which follows from the largest item of the part. The shingles of the documents are
-joined with the sketches, and what meets is verified by exact containment, on the shingles
-as text. DataFrame functions only.
+looked up among the sketches, once per text however often they repeat, and each text that meets one is verified by exact
+containment: its different shingles, as text, are counted per item. Tables go to every task only if their written size allows it. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbscore.llm.registered import query, table, text_of
+from plumbscore.operators.joins import broadcast_if_small
 from plumbscore.session import materialize
 
 SHINGLE = 5
 SHARE = 0.8
-BROADCAST_ROWS = 200_000
+ROW_BYTES = 128
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -63,7 +64,6 @@ def contaminated(
     item_key: str = "item_id",
     shingle: int = SHINGLE,
     share: float = SHARE,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Pairs of a document and an item of which it holds at least ``share`` of the shingles.
 
@@ -71,38 +71,38 @@ def contaminated(
     and ``containment``. Rows that repeat give the same pair once. Items without words, and
     items with a null key, meet nothing; null and empty documents neither.
     """
-    known = materialize(item_table(items.where(F.col(item_key).isNotNull()), item_key, text, shingle, share), "items")
-    sketches = known.select(item_key, "width", "shingles", F.explode("sketch").alias("__hash"))
-    # One row per hash, so that a document meets a shingle of many items once.
-    holders = materialize(sketches.groupBy("width", "__hash").agg(F.collect_set(item_key).alias("__holders")), "sketches")
-    small = holders.count() <= broadcast_rows
-    widths = sorted(r[0] for r in holders.select("width").distinct().collect())
-    cut = docs.select(*keep, words_column(text).alias("__words")).where(F.size("__words") > 0)
+    # Items that repeat a key with other texts are judged one by one, repeated rows once.
+    made = item_table(items.where(F.col(item_key).isNotNull()), item_key, text, shingle, share)
+    known = materialize(made.withColumn("__id", F.xxhash64("shingles")).dropDuplicates([item_key, "__id"]), "items")
+    hashes = broadcast_if_small(known.select("width", F.explode("sketch").alias("__hash")).distinct(), ROW_BYTES)
+    # An item that meets no hash of its sketch is held by nothing, so only the shingles of texts that meet one are compared.
+    pieces = broadcast_if_small(known.select(F.col(item_key).alias("__item"), "__id", "width", F.explode("shingles").alias("__shingle")), ROW_BYTES)
+    widths = sorted(r[0] for r in known.select("width").distinct().collect())
+    # Equal texts are told by a digest and judged once; the words of a text do not travel until it has met an item.
+    named = docs.withColumn("__text", F.md5(text_of(text).cast("binary")))
+    cut = named.select("__text", words_column(text).alias("__words")).where(F.size("__words") > 0)
     met = None
     for width in widths:
-        side = holders.where(F.col("width") == width).select("__hash", "__holders")
-        runs = cut.where(F.size("__words") >= width).select(*keep, "__words", F.posexplode("__words").alias("__at", "__word"))
+        runs = cut.where(F.size("__words") >= width).select("__text", "__words", F.posexplode("__words").alias("__at", "__word"))
         runs = runs.where(F.col("__at") <= F.size("__words") - width)
         run = F.concat_ws(" ", *[F.get("__words", F.col("__at") + i) for i in range(width)]) if width > 1 else F.col("__word")
-        if small:
-            # Few enough rows for every task, as just counted; the words stay beside them without a shuffle.
-            found = runs.withColumn("__hash", F.xxhash64(run)).join(F.broadcast(side), "__hash")
-            found = found.select(*keep, "__words", F.explode("__holders").alias(item_key))
-        else:
-            # Otherwise only keys and hashes are shuffled, and the words are fetched for what meets.
-            thin = runs.select(F.xxhash64(F.array_join("__words", " ")).alias("__text"), F.xxhash64(run).alias("__hash")).distinct()
-            pairs = thin.join(side, "__hash").select("__text", F.explode("__holders").alias(item_key)).distinct()
-            found = cut.withColumn("__text", F.xxhash64(F.array_join("__words", " "))).join(pairs, "__text").drop("__text")
-        met = found if met is None else met.union(found)
-    result = f"{item_key} {items.schema[item_key].dataType.simpleString()}"
+        found = runs.select("__text", F.xxhash64(run).alias("__hash"), F.lit(width).alias("width")).join(hashes, ["width", "__hash"], "left_semi")
+        met = found.select("__text") if met is None else met.union(found.select("__text"))
     if met is None:
-        return docs.select(*keep).limit(0).selectExpr("*", f"CAST(NULL AS {result.split(' ', 1)[1]}) AS {item_key}", "0L AS n_shingles", "0L AS n_found", "0D AS containment")
-    table_of = known.select(F.col(item_key).alias("__item"), "width", "shingles")
-    checked = met.join(F.broadcast(table_of) if small else table_of, F.col(item_key) == F.col("__item"))
-    own = F.array_distinct(shingle_texts("__words", F.col("width")))
-    counted = checked.select(*keep, item_key, F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", own)).cast("long").alias("n_found"))
-    sure = counted.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= share)
-    return sure.distinct()
+        result = items.schema[item_key].dataType.simpleString()
+        return docs.select(*keep).limit(0).selectExpr("*", f"CAST(NULL AS {result}) AS {item_key}", "0L AS n_shingles", "0L AS n_found", "0D AS containment")
+    texts = broadcast_if_small(met.distinct(), ROW_BYTES)
+    own = named.select("__text", text).join(texts, "__text", "left_semi").groupBy("__text").agg(F.first(text).alias(text))
+    own = materialize(own.select("__text", words_column(text).alias("__words")), "met")
+    shingles = None
+    for width in widths:
+        part = own.select("__text", F.lit(width).alias("width"), F.explode(F.array_distinct(shingle_texts("__words", width))).alias("__shingle"))
+        shingles = part if shingles is None else shingles.union(part)
+    counted = shingles.join(pieces, ["width", "__shingle"]).groupBy("__text", "__item", "__id").agg(F.count("*").alias("n_found"))
+    sizes = known.select(F.col(item_key).alias("__item"), "__id", F.size("shingles").cast("long").alias("n_shingles"))
+    sure = counted.join(sizes, ["__item", "__id"]).withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= share)
+    sure = broadcast_if_small(sure.select("__text", F.col("__item").alias(item_key), "n_shingles", "n_found", "containment"), ROW_BYTES)
+    return named.select(*keep, "__text").join(sure, "__text").drop("__text").distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:

@@ -98,8 +98,9 @@ def test_edited_texts(spark):
     assert fingerprints.compare_edited(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_decontamination_against_brute_force(spark, limit):
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_decontamination_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr("plumbscore.operators.joins.BROADCAST_BYTES", limit)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     items = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 4, 5, 6, 9, 14, 30, 59, 59)] + ["", None]
@@ -125,7 +126,7 @@ def test_decontamination_against_brute_force(spark, limit):
         wanted |= {(d, i) for d, t in enumerate(docs) if own and len(own & runs(t, n)) / len(own) >= 0.8}
     left = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, words string")
     right = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, "w1 w2 w3 w4 w5", "x")], "item_id long, text string, width string")
-    found = decontaminate.contaminated(left, right, broadcast_rows=limit)
+    found = decontaminate.contaminated(left, right)
     assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == sorted(wanted)
     kept = decontaminate.drop_contaminated(left, right)
     assert kept.columns == left.columns
@@ -137,6 +138,14 @@ def test_decontamination_against_brute_force(spark, limit):
     assert decontaminate.drop_contaminated(left, right.limit(0)).count() == len(docs)
 
 
+def test_a_long_text_that_repeats_an_item_is_judged_once(spark):
+    item = " ".join(f"q{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, f"{item} " * 2000), (2, "other words " * 10_000), (3, f"{item} " * 2000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (7, "other words other words other words"), (8, "unheard of words in any text")], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert found == [(1, 7, 6, 6), (2, 7, 2, 2), (3, 7, 6, 6)]
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(8)
     for _ in range(30):
