@@ -54,10 +54,10 @@ def _with_holes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("feature_projection", "SELECT p_partkey, p_size, p_retailprice FROM part")
+@query("feature_projection", "SELECT * EXCLUDE (p_type) FROM part")
 def feature_projection(spark: SparkSession, folder: str) -> DataFrame:
     """All columns but the target."""
-    part = table(spark, folder, "part").drop("p_name", "p_brand")
+    part = table(spark, folder, "part")
     return part.select(feature_columns(part, "p_type"))
 
 
@@ -326,17 +326,16 @@ def top(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(series_top(series, ["l_quantity", "percent", "nothing"]), ["top"])
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "metrics_wide",
-    """SELECT date_trunc('day', ts) AS date, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click,
-       round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase,
-       round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events
-       WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1""",
+    f"""SELECT date_trunc('day', ts) AS date, {", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 6) AS {t}" for t in EVENT_TYPES)}
+        FROM events GROUP BY 1""",
 )
 def metrics_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per day, one column per series."""
-    names = ["click", "purchase", "view"]
-    events = table(spark, folder, "events").where(F.col("event_type").isin(names))
+    """One row per day, one column per series, all types of events."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("date")
-    daily = events.groupBy(day, "event_type").agg(F.round(F.avg("value"), 6).alias("value"))
-    return wide_metrics(daily, "date", "event_type", "value", names)
+    daily = table(spark, folder, "events").groupBy(day, "event_type").agg(F.round(F.avg("value"), 6).alias("value"))
+    return wide_metrics(daily, "date", "event_type", "value", EVENT_TYPES)
