@@ -80,9 +80,51 @@ def test_fingerprint_votes_and_search(spark):
             fps.add((hi, lo))
     sign = lambda v: v - 2**64 if v >= 2**63 else v
     table = spark.createDataFrame([(sign(a), sign(b)) for a, b in fps], "hi long, lo long")
-    near = {((r[0] % 2**64, r[1] % 2**64), (r[2] % 2**64, r[3] % 2**64)) for r in fingerprints.within(table, table, 3).collect()}
     apart = lambda a, b: bin(a[0] ^ b[0]).count("1") + bin(a[1] ^ b[1]).count("1")
-    assert near == {(a, b) for a in fps for b in fps if apart(a, b) <= 3}
+    for radius in (0, 3, fingerprints.RADIUS, 20):
+        rows = fingerprints.within(table, table, radius).collect()
+        near = {((r["hi"] % 2**64, r["lo"] % 2**64), (r["other_hi"] % 2**64, r["other_lo"] % 2**64)) for r in rows}
+        assert near == {(a, b) for a in fps for b in fps if apart(a, b) <= radius} and len(near) == len(rows)
+
+
+@pytest.mark.parametrize("slice_rows", [1000, 3])
+def test_near_fingerprints_of_documents(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_SLICE", slice_rows)
+    monkeypatch.setattr(fingerprints, "MAX_HOT", 10**6 if slice_rows == 3 else 1000)
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(3000)]
+    texts, pairs = [None, ""], []
+    for _ in range(40):
+        body = [rng.choice(words) for _ in range(rng.choice((60, 200, 600)))]
+        edited = list(body)
+        for at in rng.sample(range(len(body)), max(1, len(body) // 60)):
+            edited[at] = "other"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(body), " ".join(edited)]
+    texts += [texts[5], texts[2], "word1 " * 200_000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no key", 1)], "doc_id long, text string, hi int")
+    made = fingerprints.compare_edited(docs)
+    found = {r["doc_id"]: r for r in fingerprints.near_counts(made, F.col("doc_id") % 3 == 0).collect()}
+    plain = {i: int(r["fingerprint"], 16) for i, r in found.items()}
+    first = {v: min(i for i, w in plain.items() if w == v and i is not None) for i, v in plain.items() if i is not None}
+    links = set()
+    for i, r in found.items():
+        near = [(bin(plain[i] ^ v).count("1"), k) for v, k in first.items() if 0 < bin(plain[i] ^ v).count("1") <= fingerprints.RADIUS]
+        if i is None or i % 3:
+            assert r["n_near"] is None and r["nearest_class"] is None
+        else:
+            assert (r["n_near"], (r["nearest_bits"], r["nearest_class"])) == (len(near), min(near, default=(None, None)))
+            links |= {(first[plain[i]], k, d) for d, k in near}
+    assert {tuple(r) for r in fingerprints.near_classes(made, F.col("doc_id") % 3 == 0).collect()} == links
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    alike = [(a, b) for a, b in pairs if 10 * len(shingles(texts[a]) & shingles(texts[b])) >= 8 * len(shingles(texts[a]) | shingles(texts[b]))]
+    caught = [p for p in alike if bin(plain[p[0]] ^ plain[p[1]]).count("1") <= fingerprints.RADIUS]
+    assert len(alike) >= 20 and len(caught) >= 0.9 * len(alike)
+    assert fingerprints.near_counts(fingerprints.compare_edited(docs.limit(0)), F.col("doc_id") % 3 == 0).count() == 0
 
 
 def test_edited_texts(spark):
