@@ -33,6 +33,7 @@ from plumbscore.plans.deployment import (
     window_metrics,
     window_start,
 )
+from plumbscore.plans.experiments import ab_sequential, logged_gains, partial_splits, policy_values
 from plumbscore.session import scratch_path
 from plumbscore.sources.model_store import load_profile, profile_path, save_profile
 
@@ -220,6 +221,66 @@ def bandit_splits(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(hedge_splits(daily, eta=4.0), ["gain", "split"])
 
 
+@query(
+    "ab_sequential",
+    f"""WITH r AS ({RATES_SQL}), d AS (SELECT DISTINCT date FROM r), m(model) AS (VALUES {", ".join(f"('{m}')" for m in MODELS)}),
+        g AS (SELECT d.date, m.model, sum(coalesce(r.n, 0)) OVER w AS n, sum(coalesce(r.conversions, 0)) OVER w AS c
+              FROM d CROSS JOIN m LEFT JOIN r ON r.date = d.date AND r.model = m.model
+              WINDOW w AS (PARTITION BY m.model ORDER BY d.date)),
+        p AS (SELECT a.date, a.model AS model_a, b.model AS model_b, a.n AS n_a, b.n AS n_b,
+                a.c / nullif(a.n, 0) - b.c / nullif(b.n, 0) AS difference, (a.c + b.c) / nullif(a.n + b.n, 0) AS pooled
+              FROM g AS a JOIN g AS b ON a.date = b.date AND a.model < b.model),
+        v AS (SELECT *, nullif(pooled * (1 - pooled) * (1e0 / nullif(n_a, 0) + 1e0 / nullif(n_b, 0)), 0) AS v FROM p),
+        l AS (SELECT *, ln(v / (v + 0.0004e0)) / 2 + 0.0004e0 * difference * difference / (2 * v * (v + 0.0004e0)) AS ratio FROM v),
+        q AS (SELECT *, exp(-greatest(max(ratio) OVER (PARTITION BY model_a, model_b ORDER BY date), 0)) AS p FROM l),
+        h AS (SELECT *, least(1, (count(*) OVER (PARTITION BY date) + 1
+                - row_number() OVER (PARTITION BY date ORDER BY p, model_a, model_b)) * p) AS step FROM q),
+        k AS (SELECT *, max(step) OVER (PARTITION BY date ORDER BY p, model_a, model_b) AS adjusted FROM h)
+        SELECT date, model_a, model_b, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, round(difference, 6) AS difference,
+          round(p, 6) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS significant FROM k""",
+)
+def sequential(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of variants on all traffic up to each day, with p-values for daily looks."""
+    found = ab_rates(assigned_events(spark, folder), F.col("event_type") == "purchase")
+    return rounded(ab_sequential(found, MODELS, tau=0.02), ["difference", "p", "adjusted"])
+
+
+LOGGED_SQL = f"""WITH r AS ({RATES_SQL}), d AS (SELECT date, sum(n) AS rows_of_day FROM r GROUP BY 1),
+    m(model, chance) AS (VALUES ('logisticRegression', 0.5e0), ('neuralNetwork', 0.25e0), ('randomForest', 0.25e0)),
+    g AS (SELECT d.date, m.model, coalesce(r.n, 0) AS n, coalesce(r.conversions, 0) / chance AS paid, coalesce(r.n, 0) / chance AS weight,
+            coalesce(r.conversions, 0) / chance / rows_of_day AS gain
+          FROM d CROSS JOIN m LEFT JOIN r ON r.date = d.date AND r.model = m.model),
+    t AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY model ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total FROM g),
+    s AS (SELECT *, 0.9e0 * exp(4 * (total - max(total) OVER w)) / sum(exp(4 * (total - maximum))) OVER w + 0.1e0 / 3 AS split
+          FROM (SELECT *, max(total) OVER (PARTITION BY date) AS maximum FROM t) WINDOW w AS (PARTITION BY date))"""
+
+
+def logged_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares learnt from purchases under the model that each event was given to."""
+    chances = F.create_map(*[F.lit(x) for pair in zip(MODELS, (0.5, 0.25, 0.25), strict=True) for x in pair])
+    gains = logged_gains(assigned_events(spark, folder), MODELS, bought(), F.try_element_at(chances, F.col("model")))
+    return partial_splits(gains, eta=4.0, mix=0.1)
+
+
+@query(
+    "bandit_partial",
+    f"{LOGGED_SQL} SELECT date, model, CAST(n AS BIGINT) AS n, round(gain, 6) AS gain, round(split, 6) AS split FROM s",
+)
+def bandit_partial(spark: SparkSession, folder: str) -> DataFrame:
+    """Traffic shares that follow rewards seen only for the chosen model."""
+    return rounded(logged_splits(spark, folder).select("date", "model", "n", "gain", "split"), ["gain", "split"])
+
+
+@query(
+    "bandit_policy_value",
+    f"""{LOGGED_SQL} SELECT date, CAST(sum(n) AS BIGINT) AS n, round(avg(gain), 6) AS equal_value,
+        round(sum(split * paid) / sum(n), 6) AS value, round(sum(split * paid) / sum(split * weight), 6) AS scaled_value FROM s GROUP BY date""",
+)
+def bandit_policy_value(spark: SparkSession, folder: str) -> DataFrame:
+    """What these shares would have earned, by the log of fixed shares."""
+    return rounded(policy_values(logged_splits(spark, folder)), ["equal_value", "value", "scaled_value"])
+
+
 @query(
     "metric_documents",
     f"""WITH {SPLITS_SQL} SELECT date, CAST(NULL AS DOUBLE) AS silhouette,

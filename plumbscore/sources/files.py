@@ -59,31 +59,46 @@ def load_csv(spark: SparkSession, spec: LoadSpec) -> DataFrame:
     )
 
 
+def listing_digest(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Number of files below a path, and a digest of their paths, lengths and times; no file is opened."""
+    marks = list_files(spark, path).select(F.xxhash64("path", "length", "modified").cast("decimal(38,0)").alias("mark"))
+    row = marks.agg(F.count("*").alias("n"), F.sum("mark").alias("mark")).first()
+    return row["n"], str(row["mark"])
+
+
 class TableCache:
-    """Keeps the most recently used loads persisted, at most ``capacity`` of them."""
+    """Keeps the most recently used loads persisted, at most ``capacity`` of them.
+
+    A load is read again when a file below its path has another length or time, or files came or went.
+    """
 
     def __init__(self, spark: SparkSession, capacity: int = 1) -> None:
         if capacity < 1:
             raise ValueError("capacity must be at least 1")
         self._spark = spark
         self._capacity = capacity
-        self._tables: OrderedDict[LoadSpec, DataFrame] = OrderedDict()
+        self._tables: OrderedDict[LoadSpec, tuple[tuple[int, str], DataFrame]] = OrderedDict()
 
     def load(self, spec: LoadSpec) -> DataFrame:
-        """The persisted table for ``spec``, read on first use."""
+        """The persisted table for ``spec``, read on first use and after a change of its files."""
+        # Taken before the read: a change in between is seen at the next load.
+        digest = listing_digest(self._spark, spec.filepath)
         if spec in self._tables:
-            self._tables.move_to_end(spec)
-            return self._tables[spec]
+            known, table = self._tables[spec]
+            if known == digest:
+                self._tables.move_to_end(spec)
+                return table
+            self.release(spec)
         while len(self._tables) >= self._capacity:
-            _, oldest = self._tables.popitem(last=False)
+            _, (_, oldest) = self._tables.popitem(last=False)
             oldest.unpersist()
-        self._tables[spec] = load_csv(self._spark, spec).persist()
-        return self._tables[spec]
+        self._tables[spec] = digest, load_csv(self._spark, spec).persist()
+        return self._tables[spec][1]
 
     def release(self, spec: LoadSpec | None = None) -> None:
         """Unpersist one table, or all."""
         for known in [spec] if spec is not None else list(self._tables):
-            table = self._tables.pop(known, None)
+            _, table = self._tables.pop(known, (None, None))
             if table is not None:
                 table.unpersist()
 

@@ -85,6 +85,20 @@ def test_cache_is_bounded_and_released(spark, patients):
     cache.release(LoadSpec("unknown"))
 
 
+def test_changed_files_are_read_again(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("x\n1\n")
+    spec, cache = LoadSpec(str(tmp_path / "t"), True), TableCache(spark)
+    first = cache.load(spec)
+    assert first.count() == 1 and cache.load(spec) is first
+    (tmp_path / "t" / "a.csv").write_text("x\n1\n2\n")
+    second = cache.load(spec)
+    assert second.count() == 2 and second.is_cached and cache.load(spec) is second
+    (tmp_path / "t" / "b.csv").write_text("x\n3\n")
+    assert cache.load(spec).count() == 3
+    cache.release()
+
+
 def test_listing(spark, tmp_path):
     for name in ("b.csv", "a.csv", "c.txt"):
         (tmp_path / name).write_text("x" * len(name))
