@@ -28,6 +28,7 @@ from plumbscore.llm.registered import query, table
 from plumbscore.session import materialize, scratch_path
 
 BINS = 4096
+SPLIT = 64
 MAX_TASKS = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -89,37 +90,54 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
 def _sharded(records: DataFrame, rows_per_shard: int) -> tuple[DataFrame, int]:
     """``records`` plus ``shard``: ascending ranges of the key of about ``rows_per_shard`` rows.
 
-    Keys are counted in at most ``BINS`` bins of equal width, which is all that reaches the driver, and
-    neighbouring bins share a shard until it is full. A bin with more rows is cut again: by key, and
-    where it is a single key by a hash of the record.
+    Keys are counted in at most ``BINS`` bins of equal width. A bin with more rows than a shard takes and more than
+    four in ``BINS`` of all is split again and again, so keys far from the others do not push these into one bin; at
+    most a fourth of ``BINS`` bins are split at a time. Only the counts reach the driver. Neighbouring bins share
+    a shard until it is full; a bin that is still too full is cut by key, and where it is a single key by a hash of the record.
     """
     known = records.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count("*").alias("n")).first()
     if not known["n"]:
         return records.withColumn("shard", F.lit(0)), 1
     lo, hi = (known["lo"], known["hi"]) if known["lo"] is not None else (0, 0)
-    width = max(1, math.ceil((hi - lo + 1) / BINS))
+    width = max(1, -((lo - hi - 1) // BINS))
     # Decimals, since the keys may span all longs. A null key goes first.
-    offset = F.col("page_id").cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")
-    wide = F.lit(str(width)).cast("decimal(20,0)")
-    number = F.coalesce(F.floor(offset / wide), F.lit(-1)).cast("int")
-    counts = sorted(tuple(r) for r in records.groupBy(number.alias("bin")).count().collect())
+    wide = "decimal(20,0)"
+    value = F.col("page_id").cast(wide)
+    number = F.coalesce(F.floor((value - F.lit(str(lo)).cast(wide)) / F.lit(str(width)).cast(wide)), F.lit(-1)).cast("int")
+    placed = records.withColumn("bin", number)
+    bins = {r["bin"]: (lo + r["bin"] * width, width if r["bin"] >= 0 else 1, r["count"]) for r in placed.groupBy("bin").count().collect()}
+    limit, fresh = max(rows_per_shard, 4 * known["n"] / BINS), BINS
+    while crowded := [(at, *bins.pop(at)) for at in sorted(bins) if bins[at][1] > 1 and bins[at][2] > limit]:
+        rows, parts = [], {}
+        for at, first, size, _ in crowded:
+            part = -(-size // SPLIT)
+            rows.append((at, str(first), str(part), fresh))
+            parts |= {fresh + i: (first + i * part, part) for i in range(SPLIT)}
+            fresh += SPLIT
+        level = records.sparkSession.createDataFrame(rows, "bin int, first string, part string, child int")
+        level = level.withColumns({"first": F.col("first").cast(wide), "part": F.col("part").cast(wide)})
+        inner = F.col("child") + F.floor((value - F.col("first")) / F.col("part")).cast("int")
+        placed = placed.join(F.broadcast(level), "bin", "left").withColumn("bin", F.coalesce(inner, F.col("bin"))).drop("first", "part", "child")
+        counts = placed.where(F.col("bin") >= min(parts)).groupBy("bin").count().collect()
+        bins |= {r["bin"]: (*parts[r["bin"]], r["count"]) for r in counts}
     rows, shard, filled = [], -1, rows_per_shard
-    for at, count in counts:
+    for first, size, count, at in sorted((*v, k) if k >= 0 else (v[0] - 1, *v[1:], k) for k, v in bins.items()):
         cuts = max(1, math.ceil(count / rows_per_shard))
         if cuts > 1 or filled + count > rows_per_shard:
             shard, filled = shard + 1, 0
-        rows.append((at, shard, cuts))
+        rows.append((at, str(first), str(size), shard, cuts))
         filled += count
         if cuts > 1:
             shard, filled = shard + cuts - 1, rows_per_shard
-    bins = records.sparkSession.createDataFrame(rows, "bin int, first_shard int, cuts int")
-    inside = F.floor((offset - F.col("bin") * wide) * F.col("cuts") / wide).cast("int")
+    ranges = records.sparkSession.createDataFrame(rows, "bin int, first string, size string, first_shard int, cuts int")
+    ranges = ranges.withColumns({"first": F.col("first").cast(wide), "size": F.col("size").cast(wide)})
+    inside = F.when(F.col("size") > 1, F.floor((value - F.col("first")) * F.col("cuts") / F.col("size")).cast("int"))
     mixed = F.pmod(F.xxhash64("page_id", "url", "sha1"), F.col("cuts")).cast("int")
-    cut = F.coalesce(F.when(F.lit(width > 1), inside), mixed)
-    # At most BINS + 1 rows.
-    found = records.withColumn("bin", number).join(F.broadcast(bins), "bin")
-    placed = found.withColumn("shard", F.col("first_shard") + F.when(F.col("cuts") > 1, cut).otherwise(0)).drop("bin", "first_shard", "cuts")
-    return placed, shard + 1
+    cut = F.coalesce(inside, mixed)
+    # A few numbers for each bin that has rows.
+    found = placed.join(F.broadcast(ranges), "bin")
+    made = found.withColumn("shard", F.col("first_shard") + F.when(F.col("cuts") > 1, cut).otherwise(0))
+    return made.drop("bin", "first", "size", "first_shard", "cuts"), shard + 1
 
 
 def _head(fields: list[tuple[str, str]]) -> bytes:

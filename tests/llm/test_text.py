@@ -321,3 +321,23 @@ def test_archives_small_payloads_and_empty_table(spark):
     assert warc.parse_record(data)["payload"] == b"ab"
     with pytest.raises(ValueError, match="damaged"):
         warc.parse_record(data.replace(b"ab\r\n\r\n", b"ax\r\n\r\n"))
+
+
+@pytest.mark.parametrize("bins", [4096, 16])
+def test_shards_with_keys_far_apart(spark, bins, monkeypatch):
+    monkeypatch.setattr(warc, "BINS", bins)
+    keys = [*range(2000), 2**62, -(2**63), *[700] * 350, None, None]
+    rows = spark.createDataFrame([(k, f"u{i}", "x") for i, k in enumerate(keys)], "page_id long, url string, sha1 string")
+    placed, shards = warc._sharded(rows, 100)
+    found = placed.collect()
+    assert sorted(placed.columns) == sorted([*rows.columns, "shard"]) and sorted(r["url"] for r in found) == sorted(f"u{i}" for i in range(len(keys)))
+    sizes, spans = {}, {}
+    for r in found:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+        if r["page_id"] != 700:
+            spans.setdefault(r["shard"], []).append(-(2**64) if r["page_id"] is None else r["page_id"])
+    assert max(sizes) < shards
+    ordered = [spans[n] for n in sorted(spans)]
+    assert all(max(a) < min(b) for a, b in itertools.pairwise(ordered))
+    # With few bins a bin may hold a fourth of all rows before it is cut by key.
+    assert max(sizes.values()) <= (200 if bins == 4096 else 600)
