@@ -241,6 +241,26 @@ def silhouette_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, ["silhouette"])
 
 
+@query(
+    "silhouette_many_clusters",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS x1, l_quantity AS x2,
+                    CAST(l_quantity * 1000 + floor(l_extendedprice / 1000) AS BIGINT) AS c FROM lineitem),
+       q AS (SELECT *, row_number() OVER () AS id, x1 * x1 + x2 * x2 AS xx FROM x),
+       k AS (SELECT c, count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(xx) AS q FROM q GROUP BY 1),
+       d AS (SELECT id, q.c = k.c AS own, k.n, q.xx + (k.q - 2 * (q.x1 * k.s1 + q.x2 * k.s2)) / k.n AS mean FROM q CROSS JOIN k),
+       s AS (SELECT id, max(n) FILTER (WHERE own) AS n, max(mean * n / nullif(n - 1, 0)) FILTER (WHERE own) AS a,
+               min(mean) FILTER (WHERE NOT own) AS b FROM d GROUP BY 1)
+       SELECT count(*) AS rows, (SELECT count(*) FROM k) AS clusters,
+         round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette
+       FROM s""",
+)
+def silhouette_many_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouette of thousands of price and quantity cells, which are met in blocks; the SQL meets them all."""
+    cell = (F.col("l_quantity") * 1000 + F.floor(F.col("l_extendedprice") / 1000)).cast("bigint")
+    lines = table(spark, folder, "lineitem").select((F.col("l_extendedprice") / 1000).alias("price"), "l_quantity", cell.alias("cell"))
+    return rounded(silhouette(lines, ["price", "l_quantity"], "cell"), ["silhouette"])
+
+
 GAPS_SQL = """SELECT l_quantity / 50 AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_returnflag AS flag,
   l_tax = 0 OR l_discount = 0.05 OR l_linenumber IN (1, 2) AS gap FROM lineitem"""
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbscore.operators.joins import BROADCAST_BYTES, join_same
+from plumbscore.operators.joins import BROADCAST_BYTES, broadcast_if_small, join_dealt, join_same
 from plumbscore.session import materialize
 
 UNROLLED_TERMS = 128
+# The sums of a key beyond this size are measured in blocks, so that no row holds them all.
+PACKED_BYTES = 64 * 1024
+BLOCK_CLUSTERS = 256
+# Rounding of a mean distance, as a share of the norms it is the difference of.
+SLACK = 1e-9
 
 
 def vector_columns(array: str, size: int) -> list[Column]:
@@ -60,7 +66,7 @@ def vector_silhouette(df: DataFrame, features: str = "features", cluster: str =
     """``(rows, clusters, silhouette)`` of a whole table; null below two clusters.
 
     Runs Spark's evaluator on a vector column and a numeric cluster column. The evaluator brings the
-    sums of all clusters to the driver; if they exceed ``BROADCAST_BYTES`` the rows are measured by
+    sums of all clusters to the driver; if they exceed ``PACKED_BYTES`` the rows are measured by
     :func:`silhouette` under one key instead. Rows without a cluster are left out; ``unclustered`` counts them.
     """
     table = df.where(F.col(cluster).isNotNull()).select(features, F.col(cluster).cast("double").alias(cluster))
@@ -68,7 +74,7 @@ def vector_silhouette(df: DataFrame, features: str = "features", cluster: str =
         F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters"), F.first(features).alias("one")
     ).first()
     value = None
-    if found["clusters"] >= 2 and found["clusters"] * (len(found["one"]) + 4) * 8 > BROADCAST_BYTES:
+    if found["clusters"] >= 2 and found["clusters"] * (len(found["one"]) + 4) * 8 > PACKED_BYTES:
         arrays = table.select(vector_to_array(features).alias("__array"), cluster, F.lit(0).alias("__whole"))
         keyed = silhouette(arrays, vector_columns("__array", len(found["one"])), cluster, ["__whole"])
         value = keyed.first()["silhouette"]
@@ -90,7 +96,8 @@ def silhouette(
     """Mean silhouette per key, with ``rows`` and ``clusters``; null below two clusters.
 
     Two passes over the rows and no row pairs: the mean squared distance of x to a cluster
-    is |x|^2 + q/n - 2 x.s/n, from the sums of that cluster. Without keys the whole table
+    is |x|^2 + q/n - 2 x.s/n, from the sums of that cluster. Where a key has very many clusters
+    a row meets only those that can be the nearest. Without keys the whole table
     goes through :func:`vector_silhouette`. Rows without a cluster are left out whatever the
     number of clusters; ``unclustered`` counts them.
     """
@@ -100,10 +107,12 @@ def silhouette(
         return vector_silhouette(df.select(array_to_vector(F.array(*columns)).alias("features"), cluster), "features", cluster)
 
     sums = materialize(cluster_sums(df, features, cluster, keys), "cluster-sums")
-    small = sums.count() * (len(columns) + 4) * 8 <= BROADCAST_BYTES
+    sizes = sums.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    small, largest = ((size or 0) * (len(columns) + 4) * 8 for size in sizes)
+    small = small <= BROADCAST_BYTES
     most = max(1, UNROLLED_TERMS // len(columns))
     labels = [r["cluster"] for r in sums.select("cluster").distinct().limit(most + 1).collect()]
-    measure = _with_columns_per_cluster if len(labels) <= most else _with_cluster_array
+    measure = _with_columns_per_cluster if len(labels) <= most else _with_cluster_array if largest <= PACKED_BYTES else _with_cluster_blocks
     slim = df.select(*keys, F.col(cluster).alias("__cluster"), F.array(*columns).alias("__x")).withColumn(
         "__xx", _total([F.col("__x")[i] * F.col("__x")[i] for i in range(len(columns))])
     )
@@ -122,7 +131,10 @@ def silhouette(
 
 def _mean_distance(entry: Column, size: int) -> Column:
     """Mean squared distance of a row to the cluster whose sums are in ``entry``."""
-    dot = _total([F.col("__x")[i] * entry["s"][i] for i in range(size)])
+    if size <= UNROLLED_TERMS:
+        dot = _total([F.col("__x")[i] * entry["s"][i] for i in range(size)])
+    else:
+        dot = F.aggregate(F.zip_with("__x", entry["s"], lambda x, s: x * s), F.lit(0.0), lambda total, part: total + part)
     return F.col("__xx") + (entry["q"] - 2.0 * dot) / entry["n"]
 
 
@@ -178,3 +190,92 @@ def _with_cluster_array(
             "__b": F.array_min(F.transform("__others", distance)),
         }
     )
+
+
+def _cluster_blocks(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """``sums`` plus ``block``, ``near`` (the sums of a cluster close by) and ``__clusters`` of the key.
+
+    Blocks are the cells of a quantile grid over the two features in which the centres differ most, of about
+    ``BLOCK_CLUSTERS`` clusters or the square root of all. Cells that equal centres fill beyond that are split by a hash. The
+    cluster close by is the nearer neighbour within the block, ordered by the first of these features; a cluster alone in its
+    block gets any other of the key.
+    """
+    spread = sums.agg(*[F.var_pop(F.col("s")[i] / F.col("n")).alias(str(i)) for i in range(size)]).first()
+    wide = sorted(range(size), key=lambda i: -spread[i] if spread[i] is not None and math.isfinite(spread[i]) else 0.0)[:2]
+    most = sums.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    target = max(BLOCK_CLUSTERS, math.isqrt(most))
+    cuts = math.ceil((most / target) ** (1 / len(wide)))
+    shares = [j / cuts for j in range(1, cuts)] or [0.5]
+    placed, cell = sums, list(keys)
+    for level, i in enumerate(wide):
+        value = F.col("s")[i] / F.col("n")
+        ends = placed.groupBy(*cell).agg(F.percentile_approx(value, shares).alias("__ends"))
+        below = F.coalesce(F.size(F.filter("__ends", lambda end, value=value: end <= value)), F.lit(0))
+        placed = join_same(placed, ends, cell).withColumn(f"__cut{level}", below).drop("__ends")
+        cell.append(f"__cut{level}")
+    sizes = placed.groupBy(*cell).agg(F.count("*").alias("__size"))
+    part = F.pmod(F.xxhash64("cluster"), F.ceil(F.col("__size") / F.lit(2 * target)))
+    block = F.xxhash64(*cell[len(keys) :], part).alias("block")
+    entry = F.struct("n", "q", "s")
+    blocks = materialize(join_same(placed, sizes, cell).select(*keys, "cluster", "n", "q", "s", block), "cluster-blocks")
+
+    order = Window.partitionBy(*keys, "block").orderBy(F.col("s")[wide[0]] / F.col("n"), "cluster")
+    beside = blocks.withColumns({"__before": F.lag(entry).over(order), "__after": F.lead(entry).over(order)})
+    beside = beside.withColumns({"__x": F.transform("s", lambda x: x / F.col("n")), "__xx": F.lit(0.0)})
+    nearer = _mean_distance(F.col("__before"), size) <= _mean_distance(F.col("__after"), size)
+    beside = beside.withColumn("near", F.when(nearer, F.col("__before")).otherwise(F.coalesce("__after", "__before")))
+    near = beside.select(*blocks.columns, "near")
+    ends = blocks.groupBy(*keys).agg(
+        F.count("*").alias("__clusters"), F.min("cluster").alias("least"), F.min_by(entry, "cluster").alias("lo"), F.max_by(entry, "cluster").alias("hi")
+    )
+    known = join_same(near, ends, keys)
+    any_other = F.when(F.col("__clusters") > 1, F.when(F.col("cluster") == F.col("least"), F.col("hi")).otherwise(F.col("lo")))
+    return known.select(*blocks.columns, F.coalesce("near", any_other).alias("near"), "__clusters")
+
+
+def _with_cluster_blocks(
+    slim: DataFrame, sums: DataFrame, labels: Sequence, size: int, keys: Sequence[str], small: bool
+) -> DataFrame:
+    """``__n, __a, __b`` for so many clusters that no row should meet them all.
+
+    The mean distance to a cluster is the squared distance to its centre plus its variance. So the clusters of a block are at
+    least as far as the box around their centres plus their least variance, and a row meets the clusters of a block only if
+    that is less than its distance to the cluster close to its own. Bounds give way by the rounding of the distances,
+    so the minimum is exact. Rows of large clusters and of blocks that many rows meet are dealt to slices.
+    """
+    slim = materialize(slim.withColumn("__id", F.monotonically_increasing_id()), "cluster-rows")
+    blocks = materialize(_cluster_blocks(sums, size, keys), "cluster-near")
+    own = blocks.withColumnRenamed("cluster", "__cluster").drop("block")
+    counts = own.select(*keys, "__cluster", F.col("n").cast("bigint").alias("count"))
+    nearby, far = _mean_distance(F.col("near"), size), F.lit(float("inf"))
+    rows = join_dealt(slim, own, counts, [*keys, "__cluster"], "__id").withColumns(
+        {"__own": _mean_distance(F.struct("n", "q", "s"), size), "__limit": F.coalesce(nearby, far)}
+    )
+    mean_to_others = F.try_divide(F.col("__own") * F.col("n"), F.col("n") - 1)
+    rows = rows.select(*slim.columns, "__clusters", F.col("n").alias("__n"), mean_to_others.alias("__a"), "__limit")
+    rows = materialize(rows, "cluster-limits")
+
+    sides = range(min(size, UNROLLED_TERMS))
+    centre = [F.col("s")[i] / F.col("n") for i in range(size)]
+    variance = F.col("q") / F.col("n") - _total([c * c for c in centre])
+    boxes = blocks.groupBy(*[F.col(k).alias(f"__box_{k}") for k in keys], "block").agg(
+        F.min(variance).alias("__least"),
+        F.max(F.col("q") / F.col("n")).alias("__most"),
+        *[F.min(centre[i]).alias(f"__lo{i}") for i in sides],
+        *[F.max(centre[i]).alias(f"__hi{i}") for i in sides],
+    )
+    gaps = [F.greatest(F.col(f"__lo{i}") - F.col("__x")[i], F.col("__x")[i] - F.col(f"__hi{i}"), F.lit(0.0)) for i in sides]
+    lower = _total([g * g for g in gaps]) + F.col("__least") - SLACK * (F.col("__xx") + F.col("__most"))
+    # A box around centres that are no numbers rules nothing out.
+    reached = F.nanvl(lower, F.lit(0.0)) < F.col("__limit")
+    for k in keys:
+        reached = reached & F.col(k).eqNullSafe(F.col(f"__box_{k}"))
+    opened = rows.join(broadcast_if_small(boxes, (2 * len(sides) + 4) * 8), reached)
+    opened = materialize(opened.select(*keys, "block", "__id", "__cluster", "__x", "__xx", "__limit"), "cluster-reached")
+    counts = materialize(opened.groupBy(*keys, "block").count(), "cluster-reach")
+    met = join_dealt(opened, blocks.select(*keys, "block", "cluster", "n", "q", "s"), counts, [*keys, "block"], "__id")
+    distance = _mean_distance(F.struct("n", "q", "s"), size)
+    closer = met.where((F.col("cluster") != F.col("__cluster")) & (distance < F.col("__limit")))
+    best = closer.groupBy("__id").agg(F.min(distance).alias("__best"))
+    nearest = F.least(F.coalesce("__best", far), "__limit")
+    return rows.join(best, "__id", "left").withColumn("__b", F.when(nearest < far, nearest))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import plumbscore.operators.clustering as clustering
+import plumbscore.operators.joins as joins
 from plumbscore.operators.clustering import nearest_centre, silhouette, vector_columns, vector_silhouette
 
 
@@ -102,8 +104,67 @@ def test_more_clusters_than_fit_the_driver(spark, monkeypatch):
     rows = [(i % 40, float(i % 40) * 10 + (i % 7), float(i % 3)) for i in range(400)]
     df = spark.createDataFrame(rows, "prediction int, x double, y double")
     wanted = silhouette(df, ["x", "y"]).first()
-    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(clustering, "PACKED_BYTES", 100)
     monkeypatch.setattr(clustering, "ClusteringEvaluator", None)
     found = silhouette(df, ["x", "y"]).first()
     assert (found.rows, found.clusters) == (wanted.rows, wanted.clusters) == (400, 40)
     assert found.silhouette == pytest.approx(wanted.silhouette, abs=1e-9)
+
+
+def by_sums(rows):
+    """Mean silhouette of (cluster, point) arrays, every row against the sums of every cluster."""
+    clusters, points = rows
+    names, at = np.unique(clusters, return_inverse=True)
+    n = np.bincount(at).astype(float)
+    s = np.stack([np.bincount(at, weights=points[:, i]) for i in range(points.shape[1])], axis=1)
+    norms = (points**2).sum(axis=1)
+    q = np.bincount(at, weights=norms)
+    scores = [np.zeros(int((n[at] == 1).sum()))]
+    several = np.flatnonzero(n[at] > 1)
+    for part in np.array_split(several, len(several) // 500 + 1):
+        d = norms[part, None] + (q - 2 * points[part] @ s.T) / n
+        mine = np.arange(len(d)), at[part]
+        own = n[at[part]]
+        a = d[mine] * own / (own - 1)
+        d[mine] = np.inf
+        b = d.min(axis=1)
+        scores.append(np.where(a < b, 1 - a / b, np.where(a > b, b / a - 1, 0.0)))
+    return float(np.concatenate(scores).mean()), len(names)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1000.0])
+def test_blocks_of_clusters_meet_every_nearest_one(spark, monkeypatch, shift):
+    monkeypatch.setattr(clustering, "PACKED_BYTES", 1000)
+    monkeypatch.setattr(clustering, "BLOCK_CLUSTERS", 8)
+    monkeypatch.setattr(joins, "SLICE_ROWS", 20)
+    rng = np.random.default_rng(4)
+    cluster = np.concatenate([rng.integers(0, 300, 2000), np.full(1000, 7), np.arange(300, 320)])
+    middle = rng.normal(shift, 5, (320, 3))
+    middle[100:160] = middle[100]
+    points = middle[cluster] + rng.normal(0, 1, (len(cluster), 3))
+    rows = [(None if k else "k", int(c), *map(float, p)) for k in (0, 1) for c, p in zip(cluster, points)]
+    rows += [("one", 5, 1.0, 2.0, 3.0), ("one", 5, 2.0, 2.0, 3.0), ("two", 1, 0.0, 0.0, 0.0), ("two", 2, 1.0, 0.0, 0.0), ("two", 2, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "key string, prediction int, x double, y double, z double").repartition(3)
+    found = {r.key: r for r in silhouette(df, ["x", "y", "z"], keys=["key"]).collect()}
+    wanted, clusters = by_sums((cluster, points))
+    assert set(found) == {"k", None, "one", "two"}
+    for key in ("k", None):
+        assert (found[key].rows, found[key].clusters) == (len(cluster), clusters)
+        assert found[key].silhouette == pytest.approx(wanted, abs=1e-7)
+    assert found["one"].silhouette is None and found["one"].rows == 2
+    assert found["two"].silhouette == pytest.approx(by_pairs([(r[1], r[2:]) for r in rows if r[0] == "two"]))
+    # The same where boxes are too large to be sent to every task.
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    again = {r.key: r.silhouette for r in silhouette(df, ["x", "y", "z"], keys=["key"]).collect()}
+    assert again["k"] == pytest.approx(wanted, abs=1e-7)
+
+
+def test_twenty_thousand_clusters(spark):
+    number = F.col("id") % 20_000
+    hashed = [F.pmod(F.xxhash64(number, F.lit(i)), F.lit(1000)) + F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) / 100 for i in (0, 1)]
+    rows = spark.range(21_000).select(number.alias("prediction"), hashed[0].alias("x"), hashed[1].alias("y"))
+    got = silhouette(rows, ["x", "y"]).first()
+    local = rows.toPandas()
+    wanted, clusters = by_sums((local["prediction"].to_numpy(), local[["x", "y"]].to_numpy()))
+    assert (got.rows, got.clusters) == (21_000, clusters) == (21_000, 20_000)
+    assert got.silhouette == pytest.approx(wanted, abs=1e-7)
