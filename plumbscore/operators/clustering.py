@@ -192,6 +192,11 @@ def _with_cluster_array(
     )
 
 
+def _ends_below(value: Column) -> Column:
+    """How many of the array ``__ends`` are at most ``value``."""
+    return F.coalesce(F.size(F.filter("__ends", lambda end: end <= value)), F.lit(0))
+
+
 def _cluster_blocks(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
     """``sums`` plus ``block``, ``near`` (the sums of a cluster close by) and ``__clusters`` of the key.
 
@@ -210,8 +215,7 @@ def _cluster_blocks(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFram
     for level, i in enumerate(wide):
         value = F.col("s")[i] / F.col("n")
         ends = placed.groupBy(*cell).agg(F.percentile_approx(value, shares).alias("__ends"))
-        below = F.coalesce(F.size(F.filter("__ends", lambda end, value=value: end <= value)), F.lit(0))
-        placed = join_same(placed, ends, cell).withColumn(f"__cut{level}", below).drop("__ends")
+        placed = join_same(placed, ends, cell).withColumn(f"__cut{level}", _ends_below(value)).drop("__ends")
         cell.append(f"__cut{level}")
     sizes = placed.groupBy(*cell).agg(F.count("*").alias("__size"))
     part = F.pmod(F.xxhash64("cluster"), F.ceil(F.col("__size") / F.lit(2 * target)))

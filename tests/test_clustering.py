@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import plumbscore.operators.clustering as clustering
 import plumbscore.operators.joins as joins
 from plumbscore.operators.clustering import nearest_centre, silhouette, vector_columns, vector_silhouette
+from plumbscore.session import materialize
 
 
 def by_pairs(rows):
@@ -159,12 +160,22 @@ def test_blocks_of_clusters_meet_every_nearest_one(spark, monkeypatch, shift):
     assert again["k"] == pytest.approx(wanted, abs=1e-7)
 
 
-def test_twenty_thousand_clusters(spark):
-    number = F.col("id") % 20_000
+def test_a_hundred_thousand_clusters(spark, monkeypatch):
+    number = F.col("id") % 100_000
     hashed = [F.pmod(F.xxhash64(number, F.lit(i)), F.lit(1000)) + F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) / 100 for i in (0, 1)]
-    rows = spark.range(21_000).select(number.alias("prediction"), hashed[0].alias("x"), hashed[1].alias("y"))
+    rows = spark.range(103_000).select(number.alias("prediction"), hashed[0].alias("x"), hashed[1].alias("y"))
+    written = {}
+
+    def kept(df, name="table", by=()):
+        written[name] = materialize(df, name, by)
+        return written[name]
+
+    monkeypatch.setattr(clustering, "materialize", kept)
     got = silhouette(rows, ["x", "y"]).first()
+    # Rows meet few of the hundreds of blocks, and no block is large.
+    assert written["cluster-reached"].count() < 3 * got.rows
+    assert written["cluster-near"].groupBy("block").count().agg(F.max("count")).first()[0] < 1000
     local = rows.toPandas()
     wanted, clusters = by_sums((local["prediction"].to_numpy(), local[["x", "y"]].to_numpy()))
-    assert (got.rows, got.clusters) == (21_000, clusters) == (21_000, 20_000)
+    assert (got.rows, got.clusters) == (103_000, clusters) == (103_000, 100_000)
     assert got.silhouette == pytest.approx(wanted, abs=1e-7)
