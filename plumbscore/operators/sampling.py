@@ -32,7 +32,9 @@ def assign(
 ) -> DataFrame:
     """Send each key to one model, with chances proportional to the weights."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.withColumn(output, pick_by_weight(hash_uniform(*keys, salt=salt), models, weights))
+    # A column of its own: every bound is compared with it, and the hash is taken once a row.
+    hashed = df.withColumn("__uniform", hash_uniform(*keys, salt=salt))
+    return hashed.withColumn(output, pick_by_weight(F.col("__uniform"), models, weights)).drop("__uniform")
 
 
 def period_sample(df: DataFrame, key: str, period: int, fraction: float) -> DataFrame:

@@ -121,8 +121,15 @@ def canary(
 def baseline_silhouette(
     df: DataFrame, features: Sequence[str | Column], clusters: PipelineModel | Sequence[Sequence[float]]
 ) -> float | None:
-    """Silhouette of the training rows under their own clusters."""
-    return silhouette(place(df, features, clusters), features, "prediction").first()["silhouette"]
+    """Silhouette of the training rows under their own clusters.
+
+    The features and clusters are written once: they are read several times, and a filter on the cluster would otherwise
+    derive the features again for every centre.
+    """
+    names = [f"__feature_{i}" for i in range(len(features))]
+    columns = [(F.col(f) if isinstance(f, str) else f).cast("double").alias(name) for f, name in zip(features, names)]
+    placed = materialize(place(df, features, clusters).select(*columns, "prediction"), "placed")
+    return silhouette(placed, names, "prediction").first()["silhouette"]
 
 
 def ab_rates(

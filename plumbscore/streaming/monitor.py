@@ -18,7 +18,7 @@ from plumbscore.operators.drift import K, input_shift, input_sketches
 from plumbscore.operators.sampling import assign, period_sample, traffic_models
 from plumbscore.plans.deployment import ab_compare, ab_rates, baseline_silhouette
 from plumbscore.plans.training import CLUSTERERS, score
-from plumbscore.session import scratch
+from plumbscore.session import materialize, scratch
 from plumbscore.sources.metric_store import MODES, SPAN, all_metrics, append_metrics, batch_metrics, compact_metrics
 from plumbscore.streaming.streams import trigger
 
@@ -118,7 +118,8 @@ class Monitor:
         gains = {name: earlier.get((name, "gain"), 0.0) for name in self.names}
         shares = self.splits(gains) if self.mode == "multiarm" else dict(zip(self.names, self.weights))
         routed = assign(rows, self.key, self.names, [shares[n] for n in self.names], f"{self.mode}-{batch_id}")
-        aucs = self._aucs(self._scored(routed, routed=True))
+        # Written first: filters on the score would otherwise hash the key again for every model and condition.
+        aucs = self._aucs(materialize(self._scored(routed, routed=True), "routed"))
         found = [(name, "auc", value) for name, value in aucs.items()]
         found += [(name, "split", shares[name]) for name in self.names]
         if self.mode == "multiarm":

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbscore.catalog.deployment import bought
 from plumbscore.catalog.streams import run_monitor
+from plumbscore.operators.sampling import assign
+from plumbscore.plans import deployment
 from plumbscore.plans.deployment import metrics_of_counts, window_metrics
 from plumbscore.plans.training import fit
 from plumbscore.session import materialize, scratch_path, work_dir
@@ -141,6 +143,33 @@ def test_one_scan_for_all_models(spark, folder):
     assert found.count() == rows.count() and found.exceptAll(expected).isEmpty()
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["abtesting", "multiarm"])
+def test_a_routed_row_is_hashed_once(spark, folder, monkeypatch, mode):
+    rows, read = monitor_input(spark, folder), []
+    routed = assign(rows, "event_id", ["a", "b", "c"], [1, 1, 2])
+    assert optimized(routed).count("md5(") == 1 and routed.columns == [*rows.columns, "model"]
+    measure = monitoring.binary_metrics
+    monkeypatch.setattr(monitoring, "binary_metrics", lambda df, **k: read.append(optimized(df.where("score > 0"))) or measure(df, **k))
+    store = scratch_path(spark, f"hashed-{mode}")
+    Monitor(mode, scorers(), store, "event_id", "ts").process(rows, 0)
+    assert len(read) == 1 and "md5(" not in read[0]
+    assert all_metrics(spark, store, mode).where("metric = 'auc'").count() == 2
+
+
+def test_features_of_a_baseline_are_derived_once(spark, folder, monkeypatch):
+    rows, read = monitor_input(spark, folder).withColumn("z", F.get_json_object(F.format_string('{"k": %s}', "x"), "$.k").cast("double")), []
+    measure = deployment.silhouette
+    monkeypatch.setattr(deployment, "silhouette", lambda df, *k: read.append(optimized(df.where("prediction IS NOT NULL"))) or measure(df, *k))
+    found = deployment.baseline_silhouette(rows, ["z", F.col("x") * 2], [[10.0, 20.0], [100.0, 200.0]])
+    assert len(read) == 1 and "get_json_object" not in read[0]
+    placed = deployment.place(rows.withColumn("twice", F.col("x") * 2), ["z", "twice"], [[10.0, 20.0], [100.0, 200.0]])
+    assert found == pytest.approx(measure(placed, ["z", "twice"], "prediction").first()["silhouette"], abs=1e-9)
+
+
 def test_batches_leave_no_scratch_and_few_files(spark, folder, monkeypatch, tmp_path):
     mode = "abtesting"
     for module in (metric_store, monitoring):
