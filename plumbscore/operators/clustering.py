@@ -16,7 +16,8 @@ from plumbscore.session import materialize
 UNROLLED_TERMS = 128
 # The sums of a key beyond this size are measured in blocks, so that no row holds them all.
 PACKED_BYTES = 64 * 1024
-BLOCK_CLUSTERS = 256
+# A row meets all clusters of the few blocks that it reaches, but only the boxes of the others.
+BLOCK_CLUSTERS = 64
 # Rounding of a mean distance, as a share of the norms it is the difference of.
 SLACK = 1e-9
 
@@ -70,13 +71,13 @@ def vector_silhouette(df: DataFrame, features: str = "features", cluster: str =
     :func:`silhouette` under one key instead. Rows without a cluster are left out; ``unclustered`` counts them.
     """
     table = df.where(F.col(cluster).isNotNull()).select(features, F.col(cluster).cast("double").alias(cluster))
-    found = table.agg(
-        F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters"), F.first(features).alias("one")
-    ).first()
+    found = table.agg(F.count("*").alias("rows"), F.count_distinct(cluster).alias("clusters")).first()
     value = None
-    if found["clusters"] >= 2 and found["clusters"] * (len(found["one"]) + 4) * 8 > PACKED_BYTES:
+    # The width is read from one row: among the counts, the vectors would make Spark sort all rows to aggregate them.
+    width = len(table.select(features).first()[0]) if found["clusters"] >= 2 else 0
+    if found["clusters"] >= 2 and found["clusters"] * (width + 4) * 8 > PACKED_BYTES:
         arrays = table.select(vector_to_array(features).alias("__array"), cluster, F.lit(0).alias("__whole"))
-        keyed = silhouette(arrays, vector_columns("__array", len(found["one"])), cluster, ["__whole"])
+        keyed = silhouette(arrays, vector_columns("__array", width), cluster, ["__whole"])
         value = keyed.first()["silhouette"]
     elif found["clusters"] >= 2:
         value = ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(table)
@@ -198,9 +199,9 @@ def _ends_below(value: Column) -> Column:
 
 
 def _cluster_blocks(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
-    """``sums`` plus ``block``, ``near`` (the sums of a cluster close by) and ``__clusters`` of the key.
+    """``sums`` plus ``block``, ``strip``, ``near`` (the sums of a cluster close by) and ``__clusters`` of the key.
 
-    Blocks are the cells of a quantile grid over the two features in which the centres differ most, of about
+    Blocks are the cells, and strips the columns, of a quantile grid over the two features in which the centres differ most, of about
     ``BLOCK_CLUSTERS`` clusters or the square root of all. Cells that equal centres fill beyond that are split by a hash. The
     cluster close by is the nearer neighbour within the block, ordered by the first of these features; a cluster alone in its
     block gets any other of the key.
@@ -220,8 +221,9 @@ def _cluster_blocks(sums: DataFrame, size: int, keys: Sequence[str]) -> DataFram
     sizes = placed.groupBy(*cell).agg(F.count("*").alias("__size"))
     part = F.pmod(F.xxhash64("cluster"), F.ceil(F.col("__size") / F.lit(2 * target)))
     block = F.xxhash64(*cell[len(keys) :], part).alias("block")
+    strip = F.col(cell[len(keys)]).alias("strip")
     entry = F.struct("n", "q", "s")
-    blocks = materialize(join_same(placed, sizes, cell).select(*keys, "cluster", "n", "q", "s", block), "cluster-blocks")
+    blocks = materialize(join_same(placed, sizes, cell).select(*keys, "cluster", "n", "q", "s", block, strip), "cluster-blocks")
 
     order = Window.partitionBy(*keys, "block").orderBy(F.col("s")[wide[0]] / F.col("n"), "cluster")
     beside = blocks.withColumns({"__before": F.lag(entry).over(order), "__after": F.lead(entry).over(order)})
@@ -243,13 +245,13 @@ def _with_cluster_blocks(
     """``__n, __a, __b`` for so many clusters that no row should meet them all.
 
     The mean distance to a cluster is the squared distance to its centre plus its variance. So the clusters of a block are at
-    least as far as the box around their centres plus their least variance, and a row meets the clusters of a block only if
-    that is less than its distance to the cluster close to its own. Bounds give way by the rounding of the distances,
+    least as far as the box around their centres plus their least variance (and so for the blocks of a strip), and a row meets
+    the clusters of a block only if that is less than its distance to the cluster close to its own. Bounds give way by the rounding of the distances,
     so the minimum is exact. Rows of large clusters and of blocks that many rows meet are dealt to slices.
     """
     slim = materialize(slim.withColumn("__id", F.monotonically_increasing_id()), "cluster-rows")
     blocks = materialize(_cluster_blocks(sums, size, keys), "cluster-near")
-    own = blocks.withColumnRenamed("cluster", "__cluster").drop("block")
+    own = blocks.withColumnRenamed("cluster", "__cluster").drop("block", "strip")
     counts = own.select(*keys, "__cluster", F.col("n").cast("bigint").alias("count"))
     nearby, far = _mean_distance(F.col("near"), size), F.lit(float("inf"))
     rows = join_dealt(slim, own, counts, [*keys, "__cluster"], "__id").withColumns(
@@ -257,28 +259,57 @@ def _with_cluster_blocks(
     )
     mean_to_others = F.try_divide(F.col("__own") * F.col("n"), F.col("n") - 1)
     rows = rows.select(*slim.columns, "__clusters", F.col("n").alias("__n"), mean_to_others.alias("__a"), "__limit")
-    rows = materialize(rows, "cluster-limits")
-
     sides = range(min(size, UNROLLED_TERMS))
     centre = [F.col("s")[i] / F.col("n") for i in range(size)]
     variance = F.col("q") / F.col("n") - _total([c * c for c in centre])
-    boxes = blocks.groupBy(*[F.col(k).alias(f"__box_{k}") for k in keys], "block").agg(
+    boxes = blocks.groupBy(*[F.col(k).alias(f"__box_{k}") for k in keys], F.col("strip").alias("__box_strip"), "block").agg(
         F.min(variance).alias("__least"),
         F.max(F.col("q") / F.col("n")).alias("__most"),
         *[F.min(centre[i]).alias(f"__lo{i}") for i in sides],
         *[F.max(centre[i]).alias(f"__hi{i}") for i in sides],
     )
-    gaps = [F.greatest(F.col(f"__lo{i}") - F.col("__x")[i], F.col("__x")[i] - F.col(f"__hi{i}"), F.lit(0.0)) for i in sides]
-    lower = _total([g * g for g in gaps]) + F.col("__least") - SLACK * (F.col("__xx") + F.col("__most"))
+    boxes = materialize(boxes, "cluster-boxes")
+    strips = boxes.groupBy(*[f"__box_{k}" for k in keys], "__box_strip").agg(
+        F.min("__least").alias("__least"),
+        F.max("__most").alias("__most"),
+        *[F.min(f"__lo{i}").alias(f"__lo{i}") for i in sides],
+        *[F.max(f"__hi{i}").alias(f"__hi{i}") for i in sides],
+    )
+    # Plain columns and few terms: Java leaves a method of more than 8000 bytes uncompiled, and a long condition makes one.
+    gaps = []
+    for i in sides:
+        x, lo, hi = F.col(f"__x{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        gaps.append(F.when(x < lo, (lo - x) * (lo - x)).when(x > hi, (x - hi) * (x - hi)).otherwise(0.0))
     # A box around centres that are no numbers rules nothing out.
-    reached = F.nanvl(lower, F.lit(0.0)) < F.col("__limit")
-    for k in keys:
-        reached = reached & F.col(k).eqNullSafe(F.col(f"__box_{k}"))
-    opened = rows.join(broadcast_if_small(boxes, (2 * len(sides) + 4) * 8), reached)
-    opened = materialize(opened.select(*keys, "block", "__id", "__cluster", "__x", "__xx", "__limit"), "cluster-reached")
+    reached = F.nanvl(_total(gaps) + F.col("__floor"), F.lit(0.0)) < F.col("__reach")
+    rows = materialize(rows, "cluster-limits")
+    reach = (F.col("__limit") + SLACK * F.col("__xx")).alias("__reach")
+    kept = [*keys, "__id", "__cluster", "__xx", "__limit", reach, *[F.col("__x")[i].alias(f"__x{i}") for i in sides]]
+    opened = rows.select(*kept, *(["__x"] if size > UNROLLED_TERMS else []))
+    columns = opened.columns
+    same = [F.col(k).eqNullSafe(F.col(f"__box_{k}")) for k in keys]
+    # The box around a strip of blocks holds theirs, so a row looks only into the strips that it reaches.
+    bytes_per_box = (2 * len(sides) + 4) * 8
+    for level, alike in ((strips, same), (boxes, [*same, F.col("strip").eqNullSafe(F.col("__box_strip"))])):
+        found = reached
+        for match in alike:
+            found = found & match
+        box = level.withColumn("__floor", F.col("__least") - SLACK * F.col("__most")).drop("__least", "__most")
+        more = [F.col("__box_strip").alias("strip")] if level is strips else ["block"]
+        opened = opened.join(broadcast_if_small(box, bytes_per_box), found).select(*columns, *more)
+    # |x|^2 + q/n - x.(2s/n) from plain columns: a pair takes no division, and no array is written or read.
+    unrolled = size <= UNROLLED_TERMS
+    point = [f"__x{i}" for i in sides] if unrolled else ["__x"]
+    opened = materialize(opened.select(*keys, "block", "__id", "__cluster", "__xx", "__limit", *point), "cluster-reached")
     counts = materialize(opened.groupBy(*keys, "block").count(), "cluster-reach")
-    met = join_dealt(opened, blocks.select(*keys, "block", "cluster", "n", "q", "s"), counts, [*keys, "block"], "__id")
-    distance = _mean_distance(F.struct("n", "q", "s"), size)
+    if unrolled:
+        weights = [(2.0 * F.col("s")[i] / F.col("n")).alias(f"__w{i}") for i in sides]
+        centres = blocks.select(*keys, "block", "cluster", (F.col("q") / F.col("n")).alias("__base"), *weights)
+        distance = F.col("__xx") + (F.col("__base") - _total([F.col(f"__x{i}") * F.col(f"__w{i}") for i in sides]))
+    else:
+        centres = blocks.select(*keys, "block", "cluster", "n", "q", "s")
+        distance = _mean_distance(F.struct("n", "q", "s"), size)
+    met = join_dealt(opened, centres, counts, [*keys, "block"], "__id")
     closer = met.where((F.col("cluster") != F.col("__cluster")) & (distance < F.col("__limit")))
     best = closer.groupBy("__id").agg(F.min(distance).alias("__best"))
     nearest = F.least(F.coalesce("__best", far), "__limit")

@@ -160,6 +160,39 @@ def test_blocks_of_clusters_meet_every_nearest_one(spark, monkeypatch, shift):
     assert again["k"] == pytest.approx(wanted, abs=1e-7)
 
 
+def test_rows_meet_few_of_some_thousand_clusters(spark, monkeypatch):
+    cell = F.col("x").cast("int") * 100 + F.col("y").cast("int")
+    spots = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(size * 1000)) / 1000).alias(name) for i, (name, size) in enumerate({"x": 50, "y": 100}.items())]
+    rows = spark.range(20_000).select(*spots).withColumn("prediction", cell)
+    written = {}
+
+    def kept(df, name="table", by=()):
+        written[name] = materialize(df, name, by)
+        return written[name]
+
+    monkeypatch.setattr(clustering, "materialize", kept)
+    got = silhouette(rows, ["x", "y"]).first()
+    sizes = written["cluster-near"].groupBy("block").agg(F.count("*").alias("clusters"))
+    pairs = written["cluster-reached"].join(sizes, "block").agg(F.sum("clusters")).first()[0]
+    assert pairs < 200 * got.rows
+    local = rows.toPandas()
+    wanted, clusters = by_sums((local["prediction"].to_numpy(), local[["x", "y"]].to_numpy()))
+    assert (got.rows, got.clusters) == (20_000, clusters) and clusters > 4000
+    assert got.silhouette == pytest.approx(wanted, abs=1e-7)
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 1e200])
+def test_odd_numbers_rule_no_block_out(spark, monkeypatch, odd):
+    monkeypatch.setattr(clustering, "PACKED_BYTES", 1000)
+    monkeypatch.setattr(clustering, "BLOCK_CLUSTERS", 8)
+    rows = [(i % 60, float(i % 60) * 10 + i % 7, float(i % 3)) for i in range(600)] + [(60, odd, 0.0), (60, odd, 1.0), (61, 0.0, odd)]
+    df = spark.createDataFrame(rows, "prediction int, x double, y double").withColumn("key", F.lit(1))
+    found = silhouette(df, ["x", "y"], keys=["key"]).first()
+    plain = spark.createDataFrame(rows[:600], "prediction int, x double, y double").withColumn("key", F.lit(1))
+    assert (found.rows, found.clusters) == (603, 62)
+    assert silhouette(plain, ["x", "y"], keys=["key"]).first().silhouette == pytest.approx(by_pairs([(r[0], r[1:]) for r in rows[:600]]), abs=1e-9)
+
+
 def test_a_hundred_thousand_clusters(spark, monkeypatch):
     number = F.col("id") % 100_000
     hashed = [F.pmod(F.xxhash64(number, F.lit(i)), F.lit(1000)) + F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) / 100 for i in (0, 1)]
