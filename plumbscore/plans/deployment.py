@@ -49,7 +49,9 @@ def window_metrics(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Binary summary per window and key."""
-    return metrics_of_counts(window_counts(scored, time, period, score_column, y, keys), ["date", *keys], rows_per_slice)
+    # These counts have one row per score: to sum them again would hold every score in three hash tables of a task.
+    counts, by = window_counts(scored, time, period, score_column, y, keys), ["date", *keys]
+    return binary_summary(threshold_curve(counts, by, rows_per_slice), by)
 
 
 def metrics_of_counts(

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbscore.operators.nearest import nearest
+from plumbscore.plans import deployment
 from plumbscore.plans.deployment import (
     ab_compare,
     ab_rates,
@@ -77,6 +78,17 @@ def test_window_metrics_equal_metrics_of_summed_counts(spark, folder):
     assert whole.count() > 3
 
 
+def test_scores_of_windows_are_grouped_once(spark, folder, monkeypatch):
+    curve, plans = deployment.threshold_curve, []
+    monkeypatch.setattr(deployment, "threshold_curve", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or curve(df, *a))
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    rows = events.select("ts", F.lit("m").alias("model"), F.col("value").alias("score"), (F.col("user_id") % 2).alias("y"))
+    found = window_metrics(rows, "ts", "1 day")
+    assert len(plans) == 1 and plans[0].count("Aggregate [") == 1
+    again = deployment.metrics_of_counts(deployment.window_counts(rows, "ts", "1 day"))
+    assert found.exceptAll(again).isEmpty() and again.exceptAll(found).isEmpty()
+
+
 def test_canary(spark):
     rng = random.Random(3)
     start = dt.datetime(2024, 1, 1)
