@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "neuralNetwork": {"blockSize": 128, "maxIter": 100},
 }
 HIDDEN_LAYERS = (3, 3)
+SCALED = "scaledFeatures"
 
 
 def class_count(df: DataFrame, label: str = "label") -> int:
@@ -75,14 +76,19 @@ def fit(
     """Fit one model.
 
     With ``columns`` the pipeline starts with its own assembler and can score raw tables;
-    otherwise ``train`` already has ``features``.
+    otherwise ``train`` already has ``features``. A neural network is fitted on standardized
+    features, which the pipeline derives itself.
     """
-    if columns is None:
-        return Pipeline(stages=[estimator(name, train, label, **params)]).fit(train)
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    assembled = assembler.transform(train)
-    fitted = estimator(name, assembled, label, **params).fit(assembled)
-    return PipelineModel([assembler, fitted])
+    stages = [] if columns is None else [VectorAssembler(inputCols=list(columns), outputCol="features")]
+    assembled = PipelineModel(stages).transform(train)
+    model = estimator(name, assembled, label, **params)
+    if name == "neuralNetwork":
+        # Its solver reads all rows at every step, and needs far fewer steps on features of one size.
+        scaler = StandardScaler(inputCol="features", outputCol=SCALED, withMean=True).fit(assembled)
+        stages.append(scaler)
+        assembled = scaler.transform(assembled)
+        model.setFeaturesCol(SCALED)
+    return PipelineModel([*stages, model.fit(assembled)])
 
 
 def score(

@@ -67,6 +67,23 @@ def test_classifiers_recover_a_threshold(spark, points, name):
     assert scored.where("prediction != label").count() <= 10
 
 
+def test_network_fit_does_not_depend_on_units(spark, points):
+    steps, wrong = [], []
+    for unit in (1, 1024):
+        data = prepare(points.withColumn("x", F.col("x") * unit), "two", ["x"]).data
+        model = fit("neuralNetwork", data, seed=1)
+        steps.append(model.stages[-1].summary().totalIterations)
+        wrong.append(score(model, data).where("prediction != label").count())
+    assert steps[0] == steps[1] and steps[0] < 60
+    assert wrong == [0, 0]
+
+
+def test_network_fit_with_constant_feature(spark, points):
+    data = prepare(points.withColumn("same", F.lit(7.0)), "two", ["x", "same"]).data
+    scored = fit_score("neuralNetwork", data, data, seed=1)
+    assert scored.where("prediction != label").count() <= 10
+
+
 def test_coefficients(spark, points):
     two = prepare(points, "two", ["x", "noise"])
     rows = coefficients(fit("logisticRegression", two.data), two.features)
