@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbscore.catalog.registered import hash_sql, query, rounded, summary_sql, table
-from plumbscore.operators.features import hash_split, prepare, split_part
+from plumbscore.operators.features import hash_split, prepare
 from plumbscore.plans.deployment import baseline_silhouette, canary, champion, window_metrics
-from plumbscore.plans.training import coefficient_table, fit, fit_score, score, score_all, train_evaluate
+from plumbscore.plans.training import coefficient_table, fit, fit_score, prepare_parts, score, score_all, train_evaluate
 from plumbscore.session import materialize, scratch_path, spread
 from plumbscore.sources.model_store import feature_pipeline_path, load_model, model_path, registry, save_model
 
@@ -28,10 +28,7 @@ def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rule_predictions(spark: SparkSession, folder: str, name: str, **params: int) -> DataFrame:
-    prepared = prepare(rule_lines(spark, folder), "target", ["l_quantity"])
-    # Labels, scaling, the fit and the scores each read the rows: write the vectors of both parts once instead.
-    written = materialize(prepared.data.select("features", "label", split_part(LINE_KEY).alias("part")), "split", ["part"])
-    train, test = (written.where(F.col("part") == number).drop("part") for number in (0, 1))
+    prepared, (train, test) = prepare_parts(rule_lines(spark, folder), "target", ["l_quantity"], LINE_KEY)
     names = F.array(*[F.lit(value) for value in prepared.labels])
     scored = fit_score(name, train, test, **params)
     return (

@@ -39,6 +39,11 @@ def _as_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: F.col(f).cast("int") for f in features if isinstance(df.schema[f].dataType, T.BooleanType)})
 
 
+def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with truth values of ``features`` as 0 and 1, and their missing numbers as 0."""
+    return fill_numbers(_as_numbers(df, features), features)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A fitted assembler and indexer with the table they produced."""
@@ -78,7 +83,7 @@ def prepare(
     features = feature_columns(df, target, columns)
     check_features(df, features)
     missing = df.agg(F.count_if(F.col(target).isNull()).alias("rows_without_target"))
-    known = fill_numbers(_as_numbers(df.where(F.col(target).isNotNull()), features), features)
+    known = filled(df.where(F.col(target).isNotNull()), features)
     labels = class_labels(known, target, max_labels) if index else []
     stages = [VectorAssembler(inputCols=features, outputCol="features")]
     if index:
@@ -89,8 +94,7 @@ def prepare(
 
 def feature_array(df: DataFrame, features: Sequence[str], output: str = "feature_array") -> DataFrame:
     """The filled features as an array of doubles, in column order."""
-    filled = fill_numbers(_as_numbers(df, features), features)
-    return filled.withColumn(output, F.array(*[F.col(f).cast("double") for f in features]))
+    return filled(df, features).withColumn(output, F.array(*[F.col(f).cast("double") for f in features]))
 
 
 def label_frequency(df: DataFrame, target: str) -> DataFrame:

@@ -21,7 +21,15 @@ from pyspark.sql import functions as F
 from plumbscore.functions import result_json
 from plumbscore.operators.clustering import vector_silhouette
 from plumbscore.operators.curves import binary_counts, binary_summary, roc_extract, score_pairs, threshold_curve
-from plumbscore.operators.features import prepare, random_split, split_part
+from plumbscore.operators.features import (
+    Prepared,
+    check_features,
+    feature_columns,
+    filled,
+    prepare,
+    random_split,
+    split_part,
+)
 from plumbscore.session import materialize
 from plumbscore.sources.model_store import feature_pipeline_path, model_path, save_model
 
@@ -36,6 +44,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 HIDDEN_LAYERS = (3, 3)
 SCALED = "scaledFeatures"
+PART = "__part"
 
 
 def class_count(df: DataFrame, label: str = "label") -> int:
@@ -154,6 +163,32 @@ def coefficient_map(weights: Mapping[str, float]) -> Column:
     return F.create_map(*[F.lit(part) for pair in weights.items() for part in pair])
 
 
+def prepare_parts(
+    df: DataFrame,
+    target: str,
+    columns: Sequence[str] | None = None,
+    key: str | Sequence[str] | None = None,
+    weights: Sequence[float] = (0.8, 0.2),
+    salt: str = "split",
+    index: bool = True,
+) -> tuple[Prepared, list[DataFrame]]:
+    """:func:`prepare`, and its data split by a hash of ``key``, or of all columns without one.
+
+    The features and the target are written once, as plain columns beside the number of the part: counting labels,
+    each pass of a fit and the scores read them from there, and none of them derives ``df`` again.
+    """
+    features = feature_columns(df, target, columns)
+    check_features(df, features)
+    part = split_part(key or df.columns, weights, salt).alias(PART)
+    written = materialize(filled(df, features).select(*dict.fromkeys([*features, target]), part), "split")
+    prepared = prepare(written, target, features, index)
+    kept = ["features", "label"] if index else ["features"]
+    # Spark leaves a filter above the functions that make vectors, so each part is taken before.
+    known = written.where(F.col(target).isNotNull())
+    rows = [known.where(F.col(PART) == number) for number in range(len(weights))]
+    return prepared, [prepared.model.transform(part_rows).select(*kept) for part_rows in rows]
+
+
 def train_evaluate(
     df: DataFrame,
     target: str,
@@ -179,17 +214,15 @@ def train_evaluate(
     Rows without a target are left out and counted in ``rowsWithoutTarget``. A clustering needs
     no label, so its target may have any number of values.
     """
-    prepared = prepare(df, target, columns, index=name not in CLUSTERERS)
-    kept = ["features"] if name in CLUSTERERS else ["features", "label"]
-    # Iterative fits read their input several times: write the vectors once instead.
+    index = name not in CLUSTERERS
+    # Iterative fits read their input several times: write it once instead.
     if random:
+        prepared = prepare(df, target, columns, index)
         train, test = random_split(prepared.data, weights, seed)
-        train = materialize(train.select(*kept), "train")
+        train = materialize(train.select(*(["features", "label"] if index else ["features"])), "train")
     else:
         salt = split_salt or ("split" if seed is None else f"split-{seed}")
-        part = split_part(key or df.columns, weights, salt).alias("part")
-        written = materialize(prepared.data.select(*kept, part), "split", ["part"])
-        train, test = (written.where(F.col("part") == number).select(*kept) for number in (0, 1))
+        prepared, (train, test) = prepare_parts(df, target, columns, key, weights, salt, index)
     if seed is not None and name != "logisticRegression":
         params = {"seed": seed, **params}
     model = fit(name, train, **params)
@@ -201,7 +234,9 @@ def train_evaluate(
         clustered = materialize(scored.select("features", "prediction"), "clustered")
         return vector_silhouette(clustered).select(F.lit(name).alias("estimator"), "rows", "clusters", "silhouette")
 
-    curve = threshold_curve(binary_counts(score_pairs(scored, positive_label=positive_label)))
+    # Filters on a score repeat the model's functions: write the scores once instead.
+    pairs = materialize(score_pairs(scored, positive_label=positive_label), "pairs")
+    curve = threshold_curve(binary_counts(pairs))
     points = roc_extract(curve, roc_size, roc_mode).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("threshold")).alias("order"), "fpr", "tpr"))).alias("points")
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from plumbscore.operators.features import prepare
+from plumbscore.operators.features import hash_split, prepare
 from plumbscore.plans.training import (
     CLASSIFIERS,
     as_json,
@@ -17,6 +17,7 @@ from plumbscore.plans.training import (
     estimator,
     fit,
     fit_score,
+    prepare_parts,
     score,
     score_all,
     train_evaluate,
@@ -148,6 +149,36 @@ def test_train_evaluate(spark, points, name):
     assert len(load_model(feature_pipeline_path(root)).stages) == 2
 
 
+def test_train_evaluate_derives_its_input_once(spark, points):
+    derived = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        derived.add(1)
+        return value
+
+    rows = points.withColumn("two", F.udf(seen)("two"))
+    row = train_evaluate(rows, "two", "logisticRegression", ["x"], "id", seed=5).first()
+    assert row.areaUnderROC == 1 and row.rowsWithoutTarget == 0
+    assert derived.value == 300
+
+
+def test_parts_are_those_of_the_hash_split(spark, points):
+    rows = points.withColumn("flag", F.when(F.col("id") % 3 != 0, F.col("id") % 2 == 0)).withColumn(
+        "two", F.when(F.col("id") % 10 != 0, F.col("two"))
+    )
+    columns = ["x", "noise", "flag", "x"]
+    for key in ("id", None):
+        prepared, parts = prepare_parts(rows, "two", columns, key, (0.5, 0.3, 0.2), "salt")
+        plain = prepare(rows, "two", columns)
+        assert prepared.labels == plain.labels and prepared.features == plain.features
+        assert prepared.rows_without_target.collect() == plain.rows_without_target.collect()
+        wanted = hash_split(plain.data, key or rows.columns, (0.5, 0.3, 0.2), "salt")
+        for found, part in zip(parts, wanted, strict=True):
+            assert found.columns == ["features", "label"]
+            assert sorted(map(str, found.collect())) == sorted(map(str, part.select("features", "label").collect()))
+        assert sum(part.count() for part in parts) == 270
+
+
 def test_train_evaluate_three_classes(spark, points):
     row = train_evaluate(points, "three", "logisticRegression", ["x", "noise"], "id").first()
     assert row.areaUnderROC > 0.9 and len(row.coefficients) == 9
